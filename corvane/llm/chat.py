@@ -203,7 +203,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and -1 with control strings of another template in its texts."""
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat_digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra), tokenizer_file())
+    return chat_digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra), tokenizer_file()).drop("n_tokens", "n_loss_tokens")
 
 
 OP4_SQL = r"""
