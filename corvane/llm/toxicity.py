@@ -20,13 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import _BASE, _BYTE, _LOWER, flat_bytes, grouped, id_remainder, mix64, small_batches, table
+from corvane.llm.common import _BASE, _BYTE, _LOWER, LETTERS, flat_bytes, grouped, id_remainder, mix64, small_batches, table
 
 BITS = 20
 #: Lengths in bytes of the word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6, 7, 8)
-_WORD = np.zeros(256, dtype=bool)
-_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _END = np.zeros(256, dtype=bool)
 _END[[10, 33, 46, 63]] = True  # newline ! . ?
 
@@ -45,7 +43,7 @@ class Sentences:
 def featurize(data: np.ndarray, offsets: np.ndarray) -> Sentences:
     """Split all rows into sentences and hash their words and word beginnings."""
     none = np.zeros(0, np.int64)
-    inside = _WORD[data]
+    inside = LETTERS[data]
     start = inside.copy()
     first = offsets[:-1][np.diff(offsets) > 0]
     if len(data):
