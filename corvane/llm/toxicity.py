@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from corvane.llm.common import _BASE, _BYTE, _LOWER, LETTERS, flat_bytes, grouped, id_remainder, mix64, small_batches, table
 
 BITS = 20
+#: Texts that the driver holds features of at a time while it trains.
+CHUNK = 256
 #: Lengths in bytes of the word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6, 7, 8)
 _END = np.zeros(256, dtype=bool)
@@ -99,7 +101,7 @@ def noisy_or(p: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return -np.expm1(np.bincount(row, np.log1p(-np.minimum(p, 1 - 1e-12)), rows))
 
 
-def fit(texts: list[bytes | None], toxic: list[int], rounds: int = 300) -> Model:
+def fit(texts: list[bytes | None], toxic: list[int], rounds: int = 200) -> Model:
     """Fit by gradient of the noisy-or likelihood (Adam, ridge); features that favour clean texts are left out.
 
     The result depends on the texts and labels alone.
@@ -108,33 +110,41 @@ def fit(texts: list[bytes | None], toxic: list[int], rounds: int = 300) -> Model
     weights = np.zeros(1 << BITS)
     if not len(y) or y.min() == y.max():
         return Model(weights, -30.0)
-    data, offsets = flat_bytes(pa.array(texts, pa.binary()))
-    s = featurize(data, offsets)
-    flat, rows = s.features.ravel(), np.repeat(s.row[s.word_sentence], s.features.shape[1])
-    sent = np.repeat(s.word_sentence, s.features.shape[1])
-    keep = flat >= 0
-    flat, rows, sent = flat[keep].astype(np.int64), rows[keep], sent[keep]
-    pairs = np.unique(flat << 32 | rows)  # each feature once a document
-    f, r = pairs >> 32, pairs & 0xFFFFFFFF
-    pos = np.bincount(f, y[r], 1 << BITS)
-    neg = np.bincount(f, 1 - y[r], 1 << BITS)
+    chunks = [range(k, min(k + CHUNK, len(texts))) for k in range(0, len(texts), CHUNK)]
+    read = lambda rows: featurize(*flat_bytes(pa.array([texts[i] for i in rows], pa.binary())))
+    pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for rows in chunks:  # in how many documents of each class a feature stands; features of one chunk are held at a time
+        s = read(rows)
+        pairs = np.unique(np.maximum(s.features, -1).astype(np.int64) * CHUNK + s.row[s.word_sentence][:, None])
+        pairs = pairs[pairs >= 0]
+        own = y[rows.start + pairs % CHUNK]
+        pos += np.bincount(pairs // CHUNK, own, 1 << BITS)
+        neg += np.bincount(pairs // CHUNK, 1 - own, 1 << BITS)
     share = (pos / y.sum()) / ((neg + 0.5) / (1 - y).sum())
-    chosen = np.flatnonzero((pos >= 2) & (share > 3))
+    usual = (neg + 1) * (y.sum() / (1 - y).sum())  # what toxic documents would hold if they were like clean ones
+    chosen = np.flatnonzero((pos >= 2) & (share > 3) & (pos - usual > 2 * np.sqrt(usual + 0.5)))
     if not len(chosen):
         return Model(weights, float(np.log(y.mean() / (1 - y.mean()))) - 3)
-    index = np.full(1 << BITS, -1, np.int64)
+    index = np.full((1 << BITS) + 1, -1, np.int64)
     index[chosen] = np.arange(len(chosen))
-    flat = index[flat]
-    flat, sent = flat[flat >= 0], sent[flat >= 0]
-    n_sent, n_rows = len(s.row), len(y)
+    flats, sents, row_of, n_sent = [], [], [], 0
+    for rows in chunks:  # what the chosen features leave
+        s = read(rows)
+        kept = index[s.features]
+        word, column = np.nonzero(kept >= 0)
+        flats.append(kept[word, column])
+        sents.append(s.word_sentence[word] + n_sent)
+        row_of.append(s.row + rows.start)
+        n_sent += len(s.row)
+    flat, sent, row_of, n_rows = np.concatenate(flats), np.concatenate(sents), np.concatenate(row_of), len(y)
     w, b = np.log(share[chosen]) * 0.2, -5.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = np.clip(b + np.bincount(sent, w[flat], n_sent), -30, 30)
         p = 1 / (1 + np.exp(-z))
-        doc = np.clip(noisy_or(p, s.row, n_rows), 1e-9, 1 - 1e-9)
+        doc = np.clip(noisy_or(p, row_of, n_rows), 1e-9, 1 - 1e-9)
         # d loss / d z: p for a clean document, -p (1 - P) / P for a toxic one
-        g = np.where(y[s.row] > 0, -p * ((1 - doc) / doc)[s.row], p) / n_rows
+        g = np.where(y[row_of] > 0, -p * ((1 - doc) / doc)[row_of], p) / n_rows
         gw = np.bincount(flat, g[sent], len(w)) + 2e-6 * w
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
