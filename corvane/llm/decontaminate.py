@@ -105,8 +105,10 @@ class Items:
         row = np.searchsorted(ends, hit, side="right")
         inside = hit + self.size <= ends[row]  # the window lies in one row
         hit, row = hit[inside], row[inside]
+        if not len(row):
+            return
         lo, hi = np.searchsorted(self.seed, w[hit]), np.searchsorted(self.seed, w[hit], side="right")
-        edges = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+        edges = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         for a, b in zip(edges, np.append(edges[1:], len(row)), strict=True):
             r = int(row[a])
             n = hi[a:b] - lo[a:b]
