@@ -8,8 +8,7 @@ of five coordinates give the candidates: a pair of similarity 0.75 shares no ban
 Equal sets are one class before anything is compared, so exact copies, however many, cost one row. In each bucket
 the members are compared with the smallest one (a star, not all pairs); confirmed links are joined into
 components, and in buckets that then still hold several components the members outside the largest one are held
-against all others by their sketches, block by block; pairs that a sketch doesn't rule out and that have not been
-compared yet are. Every link is confirmed with full shingle sets. Nothing about documents or links is collected to the driver.
+against all others by their sketches, block by block, and those that have a likely partner are compared with it. Every link is confirmed with full shingle sets. Nothing about documents or links is collected to the driver.
 
 Documents without words, null texts included, are linked with nothing; rows with a null doc_id too, their
 component is null and they are kept. Rows with equal doc_id are one node: what any of their texts is linked with. Sets are compared as 64-bit hashes of shingles.
@@ -30,7 +29,7 @@ from corvane.llm.components import connected_components
 SHINGLE, BANDS, ROWS = 5, 50, 5
 #: A sketch is the low byte of each coordinate. 250 of them agree in a share of 0.15 less than the similarity with
 #: probability under 1e-7.
-SLACK, BLOCK = 0.15, 2048
+SLACK, BLOCK = 0.15, 512
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -162,9 +161,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     held = ws.save(texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
     links = ws.save(_confirm(first, held, percent), "links-1")
     found = ws.save(connected_components(links, ws, "cc-1"), "components-1")
-    second = _across(members, own.select("doc_id", "sketch"), found, ws, percent).join(first, ["a", "b"], "left_anti")
-    second = ws.save(second, "pairs-2")
-    more = ws.save(_confirm(second, held, percent), "links-2")
+    more = ws.save(_across(members, own.select("doc_id", "sketch"), held, found, ws, percent), "links-2")
     if not more.isEmpty():
         found = ws.save(connected_components(links.unionAll(more), ws, "cc-2"), "components-2")
     by_set = ws.save(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id")), "by-set")
@@ -174,64 +171,91 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _sketched_pairs(percent: int):
-    """Pairs across components whose sketches don't rule out the similarity; rows come sorted by group."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that come sorted by group, in tables of whole groups of about one batch."""
+    held: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        edges = _edges(held)
+        if len(edges) > 1:  # the last group may go on in the next batch
+            yield held.slice(0, int(edges[-1]))
+            held = held.slice(int(edges[-1]))
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _edges(t: pa.Table) -> np.ndarray:
+    """Where the groups of a table start."""
+    cols = [t.column(c).to_numpy() for c in ("bucket", "x_block", "y_block")]
+    return np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in cols], axis=0))) if t.num_rows else np.zeros(0, int)
+
+
+def _likely(t: pa.Table, a: int, b: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in t[a:b] of pairs across components, few by many, whose sketches don't rule out the similarity."""
+    part = t.slice(a, b - a)
+    sketch = flat_bytes(part.column("sketch"))[0].reshape(b - a, -1)
+    n, component, few, many = (part.column(c).to_numpy(zero_copy_only=False) for c in ("n", "component", "few", "many"))
+    x, y = np.flatnonzero(few), np.flatnonzero(many)
+    step, left, right = max(1, (1 << 22) // (len(y) * sketch.shape[1] + 1)), [np.zeros(0, int)], [np.zeros(0, int)]
+    for at in range(0, len(x), step):
+        own = x[at : at + step]
+        same = (sketch[own][:, None, :] == sketch[y][None, :, :]).mean(2)
+        small, large = np.minimum(n[own][:, None], n[y][None, :]), np.maximum(n[own][:, None], n[y][None, :])
+        i, j = np.nonzero((same >= percent / 100 - SLACK) & (component[own][:, None] != component[y][None, :]) & (100 * small >= percent * large))
+        left.append(own[i])
+        right.append(y[j])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _hopeful(percent: int):
+    """The rows of each group that have a likely partner in it: never more than came in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            edges, keep = _edges(t), np.zeros(t.num_rows, dtype=bool)
+            for a, b in zip(edges, np.append(edges[1:], t.num_rows), strict=True):
+                for side in _likely(t, a, b, percent):
+                    keep[a + side] = True
+            yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return run
 
-    def pairs(group: list[np.ndarray], out: list[np.ndarray]) -> None:
-        doc, n, component, few, many, sketch = group
-        x, y = np.flatnonzero(few), np.flatnonzero(many)
-        step = max(1, (1 << 22) // (len(y) * sketch.shape[1] + 1))
-        for at in range(0, len(x), step):
-            own = x[at : at + step]
-            same = (sketch[own][:, None, :] == sketch[y][None, :, :]).mean(2)
-            small, large = np.minimum(n[own][:, None], n[y][None, :]), np.maximum(n[own][:, None], n[y][None, :])
-            i, j = np.nonzero((same >= percent / 100 - SLACK) & (component[own][:, None] != component[y][None, :]) & (100 * small >= percent * large))
-            if len(i):
-                u, v = doc[own[i]], doc[y[j]]
-                out.append(np.column_stack((np.minimum(u, v), np.maximum(u, v))))
 
-    def emit(out: list[np.ndarray]) -> pa.RecordBatch:
-        both = np.unique(np.concatenate(out), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+def _linked(percent: int):
+    """Links of each group, confirmed with full sets; one link for each member and component it meets is enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        out: list[np.ndarray] = []
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            held = yield_groups(held, out, False)
-            if sum(map(len, out)) > 1 << 16:
-                yield emit(out)
-                out.clear()
-        if held is not None:
-            yield_groups(held, out, True)
-        if out:
-            yield emit(out)
-
-    def yield_groups(t: pa.Table, out: list[np.ndarray], last: bool) -> pa.Table:
-        """Work on all groups that have ended; what is left may go on in the next batch."""
-        cols = [t.column(c).to_numpy() for c in ("bucket", "x_block", "y_block")]
-        new = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in cols], axis=0))) if t.num_rows else np.zeros(0, int)
-        ends = np.append(new[1:], t.num_rows)
-        done = len(new) if last else len(new) - 1
-        if done > 0:
-            size = int(ends[done - 1])
-            part = t.slice(0, size)
-            sketch = flat_bytes(part.column("sketch"))[0].reshape(size, -1)
-            rest = [part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "component", "few", "many")]
-            for a, b in zip(new[:done], ends[:done], strict=True):
-                pairs([*(c[a:b] for c in rest), sketch[a:b]], out)
-            return t.slice(size)
-        return t
+        for t in _groups(batches):
+            edges = _edges(t)
+            s, counts = shingle_sets(*flat_bytes(t.column("b")))
+            sets, doc, component = np.split(s, np.cumsum(counts)[:-1]), t.column("doc_id").to_numpy(), t.column("component").to_numpy()
+            found: set[tuple[int, int]] = set()
+            for a, b in zip(edges, np.append(edges[1:], t.num_rows), strict=True):
+                joined: set[tuple[int, int]] = set()
+                for i, j in zip(*_likely(t, a, b, percent), strict=True):
+                    i, j = a + i, a + j
+                    pair = (min(component[i], component[j]), max(component[i], component[j]))
+                    if pair in joined:  # these components are linked already
+                        continue
+                    both = np.concatenate((sets[i], sets[j]))
+                    both.sort()
+                    common = int((both[1:] == both[:-1]).sum())
+                    if 100 * common >= percent * (len(both) - common):
+                        joined.add(pair)
+                        found.add((min(doc[i], doc[j]), max(doc[i], doc[j])))
+            if found:
+                rows = np.array(sorted(found), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["a", "b"])
 
     return run
 
 
-def _across(members: DataFrame, sketches: DataFrame, found: DataFrame, ws: Workspace, percent: int) -> DataFrame:
-    """Likely pairs of a bucket that lie in different components: members outside the largest one against all others.
+def _across(members: DataFrame, sketches: DataFrame, texts: DataFrame, found: DataFrame, ws: Workspace, percent: int) -> DataFrame:
+    """Links between different components of a bucket: members outside the largest one against all others.
 
-    Buckets of more than BLOCK members are worked on in blocks of pairs of parts, in as many groups.
+    Buckets of more than BLOCK members are worked on in blocks of pairs of parts, in as many groups. A first pass
+    finds the members with a likely partner; only their texts are brought together, and pairs stay inside tasks.
     """
     named = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     named = ws.save(named, "named")
@@ -248,7 +272,10 @@ def _across(members: DataFrame, sketches: DataFrame, found: DataFrame, ws: Works
     rows = rows.select("bucket", "cell.x_block", "cell.y_block", "doc_id", "n", "component", (F.col("few") & (F.col("cell.x_block") == F.col("block"))).alias("few"), (F.col("cell.y_block") == F.col("block")).alias("many"))
     rows = rows.join(sketches, "doc_id").select("bucket", "x_block", "y_block", "doc_id", "n", "component", "few", "many", "sketch")
     keys = ["bucket", "x_block", "y_block"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_sketched_pairs(percent), "a long, b long").distinct()
+    kinds = "bucket long, x_block int, y_block int, doc_id long, n long, component long, few boolean, many boolean, sketch binary"
+    hopeful = ws.save(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_hopeful(percent), kinds), "hopeful")
+    told = hopeful.join(texts, "doc_id").select(*keys, "doc_id", "n", "component", "few", "many", "sketch", "b")
+    return told.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linked(percent), "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
