@@ -6,12 +6,15 @@ count for each distinct byte seen, taken from the bytes' own counts) and the nex
 have seen (symbol exclusion); below the empty context the remaining bytes are equally likely. A text's score is
 the sum of log10 probabilities of its lower-cased bytes and of an end symbol (the byte 0xFF, which UTF-8 lacks).
 
-The trie keeps the (context, byte) pairs of each length that make up a 2**-22 share of the training bytes or more,
-so at most 2**22 of each length, however large the corpus; counts cover all training bytes. Since a shorter
-context has seen whatever a longer one has, exclusions are sums over pairs and can be worked out once per context;
-scoring looks up each distinct six-byte gram of a batch once. Beside it stands a base score: add-one unigrams over
-words. Words of a 2**-18 share or more (at most 2**18) are broadcast; the others are joined by a shuffle, so no word
-is hot in it.
+All (context, byte) pairs of the training texts count, however rare. The six-byte grams stay a distributed table; a
+gram seen in training is coded in its own five-byte context, so its log probability needs no other pair. Those of a
+2**-22 share or more (at most 2**22) are broadcast, and scoring looks up each distinct gram of a batch once. The
+others, rare or unseen, are kept by row: their distinct grams meet the training grams that end in the same three
+context bytes, where a trie of these and of all shorter contexts (at most 2**24 pairs, in text far fewer) gives their
+probabilities, which are joined to the rows by a shuffle; a gram that many rows ask for is broadcast instead. Since a
+shorter context has seen whatever a longer one has, exclusions are sums over pairs and can be worked out once per
+context. Beside it stands a base score: add-one unigrams over words. Words of a 2**-18 share or more (at most 2**18)
+are broadcast; the others are joined by a shuffle, so no word is hot in it.
 
 Nulls are empty texts: one end token. Without training texts every byte costs log10(256) and the base score is
 log10(1) a token. Equal rows are scored each by itself. Null ids count as remainder 0.
@@ -26,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvane.llm.common import _LOWER, Workspace, flat_bytes, grouped, id_remainder, small_batches, table
 
@@ -33,6 +37,10 @@ ORDER = 5
 #: Rows scored at once; a gram's code and its row must fit one 63-bit number.
 ROWS_AT_ONCE = 1 << 14
 TRIE_BITS, WORD_BITS = 22, 18
+#: Levels that every worker holds whole; longer contexts are dealt out by their last ``SHORT`` bytes.
+SHORT = 3
+#: Training and asked grams from which tries of longer contexts are made at once, and the share of asked places from which a gram is broadcast.
+PAIRS, ASKED_BITS = 300_000, 16
 #: Bytes of text that a worker counts or scores at once, and distinct grams it holds while it counts.
 BATCH, HELD = 2 << 20, 2_000_000
 END = 0xFF
@@ -149,6 +157,53 @@ class Trie:
         return np.bincount(key & ((1 << bits) - 1), logs, rows)
 
 
+def look_up(known: np.ndarray, logs: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's sum over the grams in ``known`` (ascending) and how many other distinct grams it has; these, row by row, and their counts."""
+    rows = len(offsets) - 1
+    if rows > ROWS_AT_ONCE:
+        cuts = range(0, rows, ROWS_AT_ONCE)
+        parts = [look_up(known, logs, data[offsets[a] : offsets[min(a + ROWS_AT_ONCE, rows)]], offsets[a : a + ROWS_AT_ONCE + 1] - offsets[a]) for a in cuts]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    code, counts = grams(data, offsets)
+    bits = max(1, (rows - 1).bit_length())
+    key = np.sort(code << bits | np.repeat(np.arange(rows), counts))
+    gram = key >> bits
+    at = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    times = np.diff(np.append(at, len(gram)))
+    if len(known):
+        place = np.minimum(np.searchsorted(known, gram[at]), len(known) - 1)
+        found = known[place] == gram[at]
+        own = np.where(found, logs[place], 0.0)
+    else:
+        found, own = np.zeros(len(at), dtype=bool), np.zeros(len(at))
+    row = key & ((1 << bits) - 1)
+    sums = np.bincount(row, np.repeat(own, times), rows)
+    rest, n = runs(key[np.repeat(~found, times)])
+    row = rest & ((1 << bits) - 1)
+    order = np.argsort(row, kind="stable")
+    return sums, np.bincount(row, minlength=rows), (rest >> bits)[order], n[order]
+
+
+def _by_suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Join batches, ordered by the context's last ``SHORT`` bytes, to tables of about ``PAIRS`` rows that part no suffix."""
+    held: list[pa.RecordBatch] = []
+    rows, limit = 0, PAIRS
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= limit:
+            t = pa.Table.from_batches(held)
+            suffix = t.column("suffix").to_numpy()
+            cut = int(np.searchsorted(suffix, suffix[-1]))
+            if cut:
+                yield t.slice(0, cut)
+            held = t.slice(cut).combine_chunks().to_batches()
+            rows -= cut
+            limit = max(PAIRS, 2 * rows)
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of words (the empty one is the end) and of grams."""
     words: Counter[bytes] = Counter()
@@ -186,7 +241,7 @@ def _gram_batch(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 
 class Trained:
-    """What training leaves: word counts as a table, frequent words and the trie."""
+    """What training leaves: word and gram counts as tables, frequent words, frequent grams and the short contexts."""
 
     def __init__(self, texts: DataFrame, ws: Workspace) -> None:
         counted = ws.save(texts.select("b").mapInArrow(_count, "word binary, gram long, n long"), "counted")
@@ -196,18 +251,44 @@ class Trained:
         self.frequent_from = least
         common = self.words.filter((F.col("c") >= least) | (F.col("word") == F.lit(b""))).toArrow()
         self.common = dict(zip(common.column("word").to_pylist(), common.column("c").to_pylist(), strict=True))
-        grams_ = ws.save(counted.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+        self.grams = ws.save(counted.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
         ws.drop("counted")
-        size = grams_.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        size = self.grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         least = max(1, -(-size // (1 << TRIE_BITS)))
-        masks = F.array(*(F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("code")) for k in range(ORDER + 1)))
-        kept = grams_.select(F.explode(masks).alias("g"), "n").groupBy("g.k", "g.code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
-        k, code, n = (kept.column(c).to_numpy() for c in ("k", "code", "n"))
-        self.levels = []
-        for j in range(ORDER + 1 if size else 0):
+        total = F.sum("n").over(Window.partitionBy(F.shiftright("gram", 8)))
+        log = F.log10(F.col("n") - 0.5) - F.log10("total")
+        often = self.grams.withColumn("total", total).filter(F.col("n") >= least).select("gram", log.alias("log")).toArrow()
+        gram, log = (often.column(c).to_numpy() for c in ("gram", "log"))
+        order = np.argsort(gram)
+        self.frequent = gram[order], log[order]
+        masks = F.array(*(F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("code")) for k in range(SHORT)))
+        short = self.grams.select(F.explode(masks).alias("g"), "n").groupBy("g.k", "g.code").agg(F.sum("n").alias("n")).toArrow()
+        k, code, n = (short.column(c).to_numpy() for c in ("k", "code", "n"))
+        self.short = []
+        for j in range(SHORT if size else 0):
             own = k == j
             order = np.argsort(code[own])
-            self.levels.append((code[own][order], n[own][order]))
+            self.short.append((code[own][order], n[own][order]))
+
+    def logs(self, asked: DataFrame) -> DataFrame:
+        """(gram, log, places): log10 probabilities, from all training counts, of the distinct grams of ``asked`` (gram, places)."""
+        shared = asked.sparkSession.sparkContext.broadcast(self.short)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in _by_suffix(batches):
+                gram, n = t.column("gram").to_numpy(), t.column("n").to_numpy()
+                seen = n > 0
+                if seen.all():
+                    continue
+                longer = [runs(gram[seen] & ((1 << 8 * (k + 1)) - 1), n[seen]) for k in range(SHORT, ORDER + 1)]
+                trie = Trie([*shared.value, *longer] if shared.value else [])
+                own = gram[~seen]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(trie.log_probability(own)), pa.array(t.column("places").to_numpy()[~seen])], ["gram", "log", "places"])
+
+        none = F.lit(0).cast("long")
+        both = self.grams.select("gram", "n", none.alias("places")).unionByName(asked.select("gram", none.alias("n"), "places"))
+        both = both.withColumn("suffix", F.shiftright("gram", 8).bitwiseAND((1 << 8 * SHORT) - 1))
+        return both.repartition("suffix").sortWithinPartitions("suffix").mapInArrow(run, "gram long, log double, places long")
 
 
 def score(docs: DataFrame, training: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -220,12 +301,11 @@ def score(docs: DataFrame, training: DataFrame, extra: list[str] | None = None)
     ws = Workspace(spark, "ppm")
     extra = extra or []
     model = Trained(training.select(F.col("text").cast("string").cast("binary").alias("b")), ws)
-    shared = spark.sparkContext.broadcast((model.common, model.levels))  # at most 2**18 words and 5 * 2**22 pairs
+    shared = spark.sparkContext.broadcast((model.common, *model.frequent))  # at most 2**18 words and 2**22 grams
     denominator = float(model.total + model.distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, levels = shared.value
-        trie = Trie(levels)
+        common, known_grams, logs_ = shared.value
         for t in grouped(batches, BATCH):
             raw = t.column("b").to_pylist()
             words: list[bytes] = []
@@ -247,12 +327,14 @@ def score(docs: DataFrame, training: DataFrame, extra: list[str] | None = None)
             known = np.bincount(row[here], (c > 0)[code[here]], len(raw)).astype(np.int64)
             rest = np.flatnonzero(~here)
             rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(row[rest], minlength=len(raw)))).astype(np.int32)), coded.dictionary.take(pa.array(code[rest])))
+            sums, others, gram, n = look_up(known_grams, logs_, *flat_bytes(t.column("b")))
+            grams_ = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(others)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(gram), pa.array(n.astype(np.int32))], ["gram", "n"]))
             carried = [t.column(n).combine_chunks() for n in ("doc_id", *extra)]
-            yield pa.RecordBatch.from_arrays([*carried, pa.array(np.array(counts, np.int64)), pa.array(known), pa.array(base), pa.array(trie.scores(*flat_bytes(t.column("b")))), rare], ["doc_id", *extra, "n_tokens", "known", "base", "score", "rare"])
+            yield pa.RecordBatch.from_arrays([*carried, pa.array(np.array(counts, np.int64)), pa.array(known), pa.array(base), pa.array(sums), rare, grams_], ["doc_id", *extra, "n_tokens", "known", "base", "common_score", "rare", "grams"])
 
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in docs.select(*extra).schema) if extra else ""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *extra, F.col("text").cast("string").cast("binary").alias("b"))
-    scored = rows.mapInArrow(run, f"doc_id long, {kinds}n_tokens long, known long, base double, score double, rare array<binary>")
+    scored = rows.mapInArrow(run, f"doc_id long, {kinds}n_tokens long, known long, base double, common_score double, rare array<binary>, grams array<struct<gram: bigint, n: int>>")
     scored = ws.save(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     # words below the broadcast share: a document's are shuffled by word, then summed by row
     tokens = scored.select("row", F.explode("rare").alias("word"))
@@ -260,10 +342,19 @@ def score(docs: DataFrame, training: DataFrame, extra: list[str] | None = None)
     joined = tokens.join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
     sums = joined.groupBy("row").agg(F.sum(F.log10((c + 1) / F.lit(denominator))).alias("rare_base"), F.sum((c > 0).cast("long")).alias("rare_known"))
-    out = scored.drop("rare").join(sums, "row", "left")
+    # so are the grams below the broadcast share
+    places = scored.select("row", F.explode("grams").alias("g")).select("row", "g.gram", "g.n")
+    logs = ws.save(model.logs(places.groupBy("gram").agg(F.count("*").alias("places"))), "logs")
+    many = (logs.agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0] >> ASKED_BITS) + 1
+    hot = F.broadcast(logs.filter(F.col("places") >= many).select("gram", "log"))
+    cold = logs.filter(F.col("places") < many).select("gram", "log")
+    found = places.join(hot, "gram").unionByName(places.join(hot.select("gram"), "gram", "left_anti").join(cold, "gram"))
+    gram_sums = found.groupBy("row").agg(F.sum(F.col("n") * F.col("log")).alias("rare_score"))
+    out = scored.drop("rare", "grams").join(sums, "row", "left").join(gram_sums, "row", "left")
     return out.select(
         "doc_id", *extra, "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
+        (F.col("common_score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )
 
 

@@ -128,6 +128,27 @@ def test_ppm_base_score(spark):
     assert abs(got[2, 3].base_score - want) < 1e-9 and got[2, 3].n_known == 3 and got[2, 3].train_tokens == 7 and got[900, 1].n_known == 1
 
 
+@pytest.mark.parametrize("bits", [22, 4])
+def test_ppm_counts_rare_pairs_whatever_the_broadcast_share(spark, monkeypatch, bits):
+    monkeypatch.setattr(ppm, "TRIE_BITS", bits)
+    monkeypatch.setattr(ppm, "ASKED_BITS", 6, raising=False)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcab é") for _ in range(rng.randint(0, 80))) for _ in range(80)]
+    frame = docs(spark, texts)
+    got = {r.doc_id: r.score for r in ppm.score(frame, frame.filter("doc_id % 7 <> 2 OR doc_id IS NULL")).collect()}
+    train = [t.encode() for i, t in enumerate(texts) if i % 7 != 2] + [(t or "").encode() for i, t, _ in ODD if i is None or i % 7 != 2]
+    code, n = ppm.runs(ppm.grams(*flat_bytes(pa.array(train, pa.binary())))[0])
+    trie = ppm.Trie([ppm.runs(code & ((1 << 8 * (k + 1)) - 1), n) for k in range(ppm.ORDER + 1)])
+    for i, t in [*enumerate(texts), *((i, t or "") for i, t, _ in ODD)]:
+        assert abs(got[i] - trie.scores(*flat_bytes(pa.array([t.encode()], pa.binary())))[0]) < 1e-6 * max(1, abs(got[i])), i
+
+
+def test_ppm_without_training_texts(spark):
+    frame = docs(spark, ["abc", ""], odd=False)
+    got = {r.doc_id: r.score for r in ppm.score(frame, frame.limit(0)).collect()}
+    assert abs(got[0] + 4 * np.log10(256)) < 1e-9 and abs(got[1] + np.log10(256)) < 1e-9
+
+
 # ---- near-duplicates
 
 
