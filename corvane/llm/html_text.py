@@ -208,6 +208,7 @@ class Block:
 class _Reader:
     blocks: list[Block] = field(default_factory=list)
     stack: list[tuple[str, int]] = field(default_factory=list)  # open elements and what region each opens
+    places: dict[str, list[int]] = field(default_factory=dict)  # by name, where in the stack its open elements are
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     outer: list[int] = field(default_factory=lambda: [0, 0, 0, 0])
@@ -233,6 +234,7 @@ class _Reader:
         self.linked = 0
 
     def push(self, name: str, region: int) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
         self.stack.append((name, region))
         self.outer[region] += 1
         self.anchors += name == "a"
@@ -242,20 +244,23 @@ class _Reader:
     def pop_to(self, k: int) -> None:
         while len(self.stack) > k:
             name, region = self.stack.pop()
+            self.places[name].pop()
             self.outer[region] -= 1
             self.anchors -= name == "a"
             self.skipped -= name in SKIPPED
             self.heading -= name in _HEADINGS
 
-    def close(self, names: tuple[str, ...] | frozenset, stop: frozenset, depth: int = 200) -> bool:
+    def nearest(self, names: tuple[str, ...] | frozenset) -> int:
+        """Where in the stack the nearest open element of ``names`` is, at any depth; -1 if none is open."""
+        return max((own[-1] for name in names if (own := self.places.get(name))), default=-1)
+
+    def close(self, names: tuple[str, ...] | frozenset, stop: frozenset) -> bool:
         """End the nearest open element of ``names``, unless one of ``stop`` is nearer."""
-        for k in range(len(self.stack) - 1, max(-1, len(self.stack) - 1 - depth), -1):
-            if self.stack[k][0] in names:
-                self.pop_to(k)
-                return True
-            if self.stack[k][0] in stop:
-                return False
-        return False
+        k = self.nearest(names)
+        if k < 0 or self.nearest(stop) > k:
+            return False
+        self.pop_to(k)
+        return True
 
 
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))

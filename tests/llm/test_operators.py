@@ -308,6 +308,15 @@ def test_main_text_drops_what_is_not_the_article(spark):
     assert got[1].text == "A & B\n\nFirst paragraph, bold\n\nsecond one é" and got[1].n_chars == len(got[1].text) and got[2].text == ""
 
 
+@pytest.mark.parametrize("n", [1, 199, 200, 5000])
+def test_regions_end_below_any_number_of_unclosed_elements(n):
+    words = "<p>the body of the story goes on and on</p>"
+    blocks, _ = html_text.read_blocks(f"<nav>{'<font>x<br>' * n}</nav>{words}")
+    assert blocks[-1].region == html_text.NOWHERE
+    blocks, has_article = html_text.read_blocks(f"<article>{words}{'<b>x<br>' * n}</article><div>a comment</div>")
+    assert has_article and blocks[0].region == html_text.ARTICLE and blocks[-1].region == html_text.NOWHERE
+
+
 def test_tree_learns_its_table():
     rows = [tuple(map(float, line.split())) for line in html_text.LABELLED.strip().splitlines()]
     tree = html_text.train()
