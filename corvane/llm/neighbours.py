@@ -10,7 +10,7 @@ of bounded size, members times queries, each giving every query's best 21 by exa
 
 Equal vectors are one entry, so copies, however many, don't crowd a cell; of each entry the 21 smallest ids are
 enough for 20 neighbours. Vectors that are null, zero, of another length than the longest or hold null or
-non-finite components take no part. Repeated ids are one vector each by value. An empty table gives no rows; fewer
+non-finite components take no part. Repeated ids are one vector each by value, so repeated rows count once. An empty table gives no rows; fewer
 candidates than asked for give them all. Ties go to the smaller vec_id.
 """
 
@@ -160,8 +160,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     if longest is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     own = own.filter(F.size("v") == longest).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
-    # the smallest ids of equal vectors; the limit is applied before the shuffle too
-    few = own.withColumn("m", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).filter(F.col("m") <= k + 1)
+    # the smallest ids of equal vectors, each once however often its row is repeated; both limits are applied before their shuffles too
+    once = own.withColumn("m", F.row_number().over(Window.partitionBy("h1", "h2", "vec_id").orderBy("vec_id"))).filter("m = 1")
+    few = once.withColumn("m", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).filter(F.col("m") <= k + 1)
     members = ws.save(few, "members")
     entries = members.filter("m = 1").select(F.col("vec_id").alias("entry"), "v")
     rows, norm = entries.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()

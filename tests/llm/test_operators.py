@@ -297,6 +297,16 @@ def test_neighbours_with_copies_and_odd_vectors(spark):
     assert neighbours.nearest(few, few.filter("vec_id = 0")).count() == 2 and neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("times", [2, 25])
+def test_repeated_rows_hide_no_equal_neighbours(spark, times):
+    x = np.random.default_rng(12).normal(size=(120, 8))
+    x[20:61] = x[20] * 9
+    rows = [(i, x[i].tolist()) for i in range(120) for _ in range(times if i == 20 else 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, df.filter("vec_id IN (20, 40)")).orderBy("query_id", "rank").collect()
+    assert [r.vec_id for r in got if r.query_id == 20] == list(range(21, 41)) and [r.vec_id for r in got if r.query_id == 40] == list(range(20, 40))
+
+
 # ---- HTML
 
 
