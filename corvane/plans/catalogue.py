@@ -115,6 +115,12 @@ def text_matches_title(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(titles, T.matches_title(F.col("text"), F.col("there"), F.col("wanted"))).select("doc_id", "item_id")
 
 
+@query()
+def text_matches_every_title(spark: SparkSession, d: str) -> DataFrame:
+    """``text_matches_title`` with all items as titles. It has no SQL; a test holds it against brute force."""
+    return relational.every_title(read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "benchmark").select("item_id", "text"))
+
+
 _REFS = "x"
 for _ref, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
     _REFS = f"replace({_REFS}, '{_ref}', '{_char}')"

@@ -2,12 +2,14 @@
 
 import datetime as dt
 import math
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import ranking, relational, screening
+from corvane.plans import catalogue
 from corvane.sources import records
 from corvane.streaming import events as stream
 
@@ -121,3 +123,29 @@ def test_readers_and_year_partitions(spark, tmp_path):
     records.write_by_year(spark.createDataFrame([(1, 2020), (2, 2021)], "a int, year int"), str(tmp_path / "y"))
     records.write_by_year(spark.createDataFrame([(3, 2021)], "a int, year int"), str(tmp_path / "y"))
     assert sorted(r.a for r in spark.read.parquet(str(tmp_path / "y")).collect()) == [1, 3]
+
+
+def test_every_title_is_compared(spark):
+    rng = np.random.default_rng(13)
+    words = ["alpha", "beta", "gamma", "delta", "Äther", "zeta1", "iota", "ab", "kappa", "lambda"]
+    draw = lambda n: " ".join(rng.choice(words, n))
+    texts = [*((i, draw(rng.integers(1, 9))) for i in range(60)), (60, None), (61, ""), (62, "-"), (None, "alpha beta gamma"), (1, "alpha beta gamma"), (1, "alpha beta gamma"), (63, "x" * 30000 + " alpha beta gamma")]
+    items = [*((i, draw(rng.integers(1, 9))) for i in range(40)), (40, None), (41, ""), (42, "delta delta iota"), (42, "delta delta iota")]
+    d, t = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    long_words = lambda x: re.findall(r"[^\W_]{4,}", x.lower())
+    want = []
+    for i, x in texts:
+        body = set(long_words((x or "")[:30000]))
+        for j, y in items:
+            w = long_words(y or "")
+            if x and y is not None and (len(w) < 3 or sum(v in body for v in w) >= 0.5 * len(w)):
+                want.append((i or -1, j))
+    for sizes in ({}, {"pass_rows": 7, "block": 3, "rows": 4}):
+        got = sorted((r.doc_id or -1, r.item_id) for r in relational.every_title(d, t, **sizes).collect())
+        assert got == sorted(want)
+
+
+def test_titles_of_all_items_are_in_the_registered_query(spark, tmp_path):
+    spark.createDataFrame([(1, "alpha beta gamma delta")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, "gamma delta kappa") for i in (9, 10, 199)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert sorted(r.item_id for r in catalogue.QUERIES["text_matches_every_title"](spark, str(tmp_path)).collect()) == [9, 10, 199]
