@@ -9,8 +9,8 @@ which queries of the sample reach ``recall`` (0.95) against brute force in the s
 of bounded size, members times queries, each giving every query's best 21 by exact double inner product.
 
 Equal vectors are one entry, so copies, however many, don't crowd a cell; of each entry the 21 smallest ids are
-enough for 20 neighbours. Vectors that are null, zero, of another length than the longest or hold null or
-non-finite components take no part. Repeated ids are one vector each by value, so repeated rows count once. An empty table gives no rows; fewer
+enough for 20 neighbours. Vectors that are null, zero or hold null or non-finite components take no part. Vectors of
+each length have a forest of their own and are searched by the queries of that length. Repeated ids are one vector each by value, so repeated rows count once. An empty table gives no rows; fewer
 candidates than asked for give them all. Ties go to the smaller vec_id.
 """
 
@@ -153,13 +153,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     """(query_id, rank, vec_id, score): the ``k`` largest inner products of each of ``queries`` (vec_id, embedding) among ``vectors``, itself excluded."""
     spark = vectors.sparkSession
     small_batches(spark, 4096)
-    ws = Workspace(spark, "ann")
     clean = lambda df: df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity')) AND exists(v, x -> x <> 0)")
-    own = clean(vectors)
-    longest = own.agg(F.max(F.size("v"))).first()[0]
-    if longest is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    own = own.filter(F.size("v") == longest).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
+    own, asked = clean(vectors), clean(queries)
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    lengths = own.groupBy(F.size("v").alias("length")).count().join(asked.select(F.size("v").alias("length")).distinct(), "length", "left_semi").collect()
+    for found in [_nearest(own.filter(F.size("v") == r.length), asked.filter(F.size("v") == r.length), k, recall) for r in lengths]:
+        out = found if len(lengths) == 1 else out.unionAll(found)
+    return out
+
+
+def _nearest(own: DataFrame, asked: DataFrame, k: int, recall: float) -> DataFrame:
+    """``nearest`` for clean vectors (vec_id, v) of one length."""
+    spark = own.sparkSession
+    ws = Workspace(spark, "ann")
+    own = own.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
     # the smallest ids of equal vectors, each once however often its row is repeated; both limits are applied before their shuffles too
     once = own.withColumn("m", F.row_number().over(Window.partitionBy("h1", "h2", "vec_id").orderBy("vec_id"))).filter("m = 1")
     few = once.withColumn("m", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).filter(F.col("m") <= k + 1)
@@ -190,7 +197,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
                 cells = [index.value.visit(q, share) for q in _matrix(pa.chunked_array([b.column(1)]))]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells, pa.list_(pa.int32()))], ["query_id", "q", "cells"])
 
-    asked = clean(queries).filter(F.size("v") == longest).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     visits = ws.save(asked.mapInArrow(search, "query_id long, q array<double>, cells array<int>"), "visits").select("query_id", "q", F.explode("cells").alias("cell"))
     wanted = {r.cell: r["count"] for r in visits.groupBy("cell").count().collect()}
     sizes = spark.createDataFrame([(c, -(-held.get(c, 0) // BLOCK) or 1, -(-n // BLOCK)) for c, n in wanted.items()] or [(-1, 1, 1)], "cell int, blocks int, q_blocks int")

@@ -307,6 +307,18 @@ def test_repeated_rows_hide_no_equal_neighbours(spark, times):
     assert [r.vec_id for r in got if r.query_id == 20] == list(range(21, 41)) and [r.vec_id for r in got if r.query_id == 40] == list(range(20, 40))
 
 
+def test_vectors_of_each_length_are_searched(spark):
+    rng = np.random.default_rng(14)
+    x = {**{i: rng.normal(size=8) for i in range(60)}, **{i: rng.normal(size=5) for i in range(60, 90)}, 90: rng.normal(size=9)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, df.filter("vec_id % 20 = 0 OR vec_id = 90")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in (0, 20, 40, 60, 80):
+        assert got[q] == sorted((i for i in x if len(x[i]) == len(x[q]) and i != q), key=lambda i: -(x[i] @ x[q]))[:20]
+    assert 90 not in got
+
+
 # ---- HTML
 
 
