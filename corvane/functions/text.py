@@ -36,9 +36,10 @@ def has_word(text: Column, *listed: str) -> Column:
     return F.lower(text).rlike(r"(^|[^\p{L}\p{N}])(" + "|".join(listed) + r")($|[^\p{L}\p{N}])")
 
 
-def redact(text: Column, limit: int = 600) -> Column:
-    """Trimmed, mail addresses masked, cut."""
-    return F.substring(F.regexp_replace(F.trim(text), EMAIL, "[email]"), 1, limit)
+def redact(text: Column, limit: int | None = 600) -> Column:
+    """Trimmed, mail addresses masked, cut to ``limit``: the length of an evidence sentence, None for whole texts."""
+    masked = F.regexp_replace(F.trim(text), EMAIL, "[email]")
+    return masked if limit is None else F.substring(masked, 1, limit)
 
 
 def evidence(found: Column, most: int = 14, chars: int = 3500) -> Column:

@@ -149,3 +149,10 @@ def test_titles_of_all_items_are_in_the_registered_query(spark, tmp_path):
     spark.createDataFrame([(1, "alpha beta gamma delta")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, "gamma delta kappa") for i in (9, 10, 199)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert sorted(r.item_id for r in catalogue.QUERIES["text_matches_every_title"](spark, str(tmp_path)).collect()) == [9, 10, 199]
+
+
+def test_whole_texts_are_redacted(spark, tmp_path):
+    texts = [(1, " a@b.org " + "x " * 5000 + "c.d@e.fi end "), (2, None), (3, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.redacted for r in catalogue.QUERIES["redact_whole_texts"](spark, str(tmp_path)).collect()}
+    assert got == {1: "[email] " + "x " * 5000 + "[email] end", 2: None, 3: ""}
