@@ -31,6 +31,8 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str) -> None:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             if not _own_folder:
                 _own_folder.append("file://" + tempfile.mkdtemp(prefix="corvane-"))
             base = _own_folder[0]
@@ -57,18 +59,34 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def grouped(batches: Iterable[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.Table]:
-    """Join Arrow batches until they hold ``size`` bytes: vector code gets enough rows, memory stays bounded."""
+    """Join or cut Arrow batches to tables of about ``size`` bytes: vector code gets enough rows, memory stays bounded.
+
+    A table holds one row at least, so a text longer than ``size`` is a table of its own.
+    """
     held: list[pa.RecordBatch] = []
     total = 0
     for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            total += batch.nbytes
-        if total >= size:
-            yield pa.Table.from_batches(held)
-            held, total = [], 0
+        step = max(1, batch.num_rows * size // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            held.append(part)
+            total += part.nbytes
+            if total >= size:
+                yield pa.Table.from_batches(held)
+                held, total = [], 0
     if held:
         yield pa.Table.from_batches(held)
+    held.clear()
+    pa.default_memory_pool().release_unused()  # the worker lives on; other stages need the memory
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name`` with as many underscores before it as no column of ``frames`` has; Spark's names ignore case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def ascii_lower(text: Column) -> Column:

@@ -2,12 +2,16 @@
 
 A document is toxic if one of its sentences is: P(doc) = 1 - prod(1 - p(sentence)), p a logistic score of the
 sentence's words and word beginnings. Only document labels exist, so the gradient of the noisy-or assigns the
-blame to sentences; afterwards the sentences with high p are the offending ones. The model is fitted on the
-driver from a bounded sample of labelled rows (``max_positive`` and ``max_negative``, 12,000 texts at most,
-chosen by a hash of the id); scoring covers every whole text.
-
-Empty and null texts have no sentence and score 0. Where no label is usable, every score is 0. Several label
-rows of one document count as toxic if any is; repeated documents are scored each by itself.
+blame to sentences; afterwards the sentences with high p are the offending ones. The model is fitted on a bounded
+sample of labelled rows (``max_positive`` and ``max_negative``, 12,000 texts at most, chosen by a hash of the id).
+Tasks count in how many documents of each class a feature stands and read the sentences that hold one of the few
+features that tell the classes apart; the driver gets these counts and features, and no texts. Scoring covers every
+whole text.
+
+Empty and null texts have no sentence and score 0. Where no label is usable, every score is close to 0. Several label
+rows of one document count as toxic if any is; repeated documents are scored each by itself, and the sample takes one
+row of each id, the one with the least hash of its text. Empty tables give no rows. Further columns of the documents
+don't reach a score; ``drop_toxic`` keeps them all.
 """
 
 from __future__ import annotations
@@ -19,12 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from corvane.llm.common import _BASE, _BYTE, _LOWER, LETTERS, flat_bytes, grouped, id_remainder, mix64, small_batches, table
+from corvane.llm.common import _BASE, _BYTE, _LOWER, LETTERS, Workspace, flat_bytes, grouped, id_remainder, mix64, small_batches, table
 
 BITS = 20
-#: Texts that the driver holds features of at a time while it trains.
-CHUNK = 256
+#: Bytes of text that a worker reads at once.
+BATCH = 1 << 20
 #: Lengths in bytes of the word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6, 7, 8)
 _END = np.zeros(256, dtype=bool)
@@ -101,80 +106,112 @@ def noisy_or(p: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return -np.expm1(np.bincount(row, np.log1p(-np.minimum(p, 1 - 1e-12)), rows))
 
 
-def fit(texts: list[bytes | None], toxic: list[int], rounds: int = 200) -> Model:
-    """Fit by gradient of the noisy-or likelihood (Adam, ridge); features that favour clean texts are left out.
+@dataclass
+class Sample:
+    """What is left of labelled texts for training: for each, its label and how many sentences hold no chosen feature; for the others, the features."""
 
-    The result depends on the texts and labels alone.
-    """
-    y = np.array(toxic, float)
-    weights = np.zeros(1 << BITS)
-    if not len(y) or y.min() == y.max():
-        return Model(weights, -30.0)
-    chunks = [range(k, min(k + CHUNK, len(texts))) for k in range(0, len(texts), CHUNK)]
-    read = lambda rows: featurize(*flat_bytes(pa.array([texts[i] for i in rows], pa.binary())))
-    pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for rows in chunks:  # in how many documents of each class a feature stands; features of one chunk are held at a time
-        s = read(rows)
-        pairs = np.unique(np.maximum(s.features, -1).astype(np.int64) * CHUNK + s.row[s.word_sentence][:, None])
-        pairs = pairs[pairs >= 0]
-        own = y[rows.start + pairs % CHUNK]
-        pos += np.bincount(pairs // CHUNK, own, 1 << BITS)
-        neg += np.bincount(pairs // CHUNK, 1 - own, 1 << BITS)
-    share = (pos / y.sum()) / ((neg + 0.5) / (1 - y).sum())
-    usual = (neg + 1) * (y.sum() / (1 - y).sum())  # what toxic documents would hold if they were like clean ones
+    label: np.ndarray  # of each document
+    plain: np.ndarray  # of each document
+    row: np.ndarray  # the document of each sentence that holds chosen features
+    feature: np.ndarray  # one entry a chosen feature in a sentence
+    sentence: np.ndarray
+
+
+def choose(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> tuple[np.ndarray, np.ndarray]:
+    """Features that more toxic documents hold than chance explains, and how many times likelier they are in these."""
+    share = (pos / n_pos) / ((neg + 0.5) / n_neg)
+    usual = (neg + 1) * (n_pos / n_neg)  # what toxic documents would hold if they were like clean ones
     chosen = np.flatnonzero((pos >= 2) & (share > 3) & (pos - usual > 2 * np.sqrt(usual + 0.5)))
-    if not len(chosen):
-        return Model(weights, float(np.log(y.mean() / (1 - y.mean()))) - 3)
-    index = np.full((1 << BITS) + 1, -1, np.int64)
-    index[chosen] = np.arange(len(chosen))
-    flats, sents, row_of, n_sent = [], [], [], 0
-    for rows in chunks:  # what the chosen features leave
-        s = read(rows)
-        kept = index[s.features]
-        word, column = np.nonzero(kept >= 0)
-        flats.append(kept[word, column])
-        sents.append(s.word_sentence[word] + n_sent)
-        row_of.append(s.row + rows.start)
-        n_sent += len(s.row)
-    flat, sent, row_of, n_rows = np.concatenate(flats), np.concatenate(sents), np.concatenate(row_of), len(y)
-    w, b = np.log(share[chosen]) * 0.2, -5.0
+    return chosen, share[chosen]
+
+
+def fit(s: Sample, start: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Weights of the chosen features and the bias, by gradient of the noisy-or likelihood (Adam, ridge)."""
+    n_rows, n_sent = len(s.label), len(s.row)
+    # the sentences of a document without chosen features are alike: one entry stands for all of them
+    row, times = np.append(s.row, np.arange(n_rows)), np.append(np.ones(n_sent), s.plain)
+    w, b = np.log(start) * 0.2, -5.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.clip(b + np.bincount(sent, w[flat], n_sent), -30, 30)
+        z = np.clip(b + np.append(np.bincount(s.sentence, w[s.feature], n_sent), np.zeros(n_rows)), -30, 30)
         p = 1 / (1 + np.exp(-z))
-        doc = np.clip(noisy_or(p, row_of, n_rows), 1e-9, 1 - 1e-9)
+        doc = np.clip(-np.expm1(np.bincount(row, times * np.log1p(-np.minimum(p, 1 - 1e-12)), n_rows)), 1e-9, 1 - 1e-9)
         # d loss / d z: p for a clean document, -p (1 - P) / P for a toxic one
-        g = np.where(y[row_of] > 0, -p * ((1 - doc) / doc)[row_of], p) / n_rows
-        gw = np.bincount(flat, g[sent], len(w)) + 2e-6 * w
+        g = times * np.where(s.label[row] > 0, -p * ((1 - doc) / doc)[row], p) / n_rows
+        gw = np.bincount(s.feature, g[s.sentence], len(w)) + 2e-6 * w
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         fix, fix2 = 1 - 0.9**t, 1 - 0.99**t
         w = w - 0.05 * (m / fix) / (np.sqrt(v / fix2) + 1e-9)
         b = b - 0.05 * (mb / fix) / (np.sqrt(vb / fix2) + 1e-9)
-    weights[chosen] = w
-    return Model(weights, float(b))
+    return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_negative: int = 8000) -> Model:
-    """Fit on labelled rows of ``docs``: at most so many of each class, the smallest by a hash of the id."""
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    known = known.filter(id_remainder(F.col("doc_id"), 3) != 1)
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_positive: int, max_negative: int) -> DataFrame:
+    """(doc_id, b, y) of labelled rows: at most so many ids of each class, the smallest by a hash of the id, one row an id."""
+    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("y")).filter("y IS NOT NULL AND doc_id IS NOT NULL")
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).filter(id_remainder(F.col("doc_id"), 3) != 1)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.filter("y = 1").orderBy(*order).limit(max_positive).unionAll(known.filter("y = 0").orderBy(*order).limit(max_negative))
-    ids = {r.doc_id: r.y for r in chosen.collect()}
-    small = docs.sparkSession.createDataFrame(sorted(ids.items()), "doc_id long, y int")
+    small = docs.sparkSession.createDataFrame(sorted(map(tuple, chosen.collect())), "doc_id long, y int")
     # 12,000 ids at most: a broadcast of that bound
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("b")).join(F.broadcast(small), "doc_id").toArrow()
-    rows = rows.take(pa.array(np.lexsort((np.array([hash_bytes(x) for x in rows.column("b").to_pylist()], np.int64), rows.column("doc_id").to_numpy()))))
-    return fit(rows.column("b").to_pylist(), rows.column("y").to_pylist())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("b")).join(F.broadcast(small), "doc_id")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("b"), F.length("b"))
+    return rows.withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r")
 
 
-def hash_bytes(b: bytes | None) -> int:
-    """A stable order of texts."""
-    import zlib
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_negative: int = 8000) -> Model:
+    """Fit on labelled rows of ``docs``; the result depends on the texts and labels alone."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = Workspace(spark, "toxicity").save(labelled_sample(docs, labels, max_positive, max_negative), "sample")
+    n_pos, n_all = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
+    weights = np.zeros(1 << BITS)
+    if n_pos in (0, n_all):
+        return Model(weights, -30.0)
 
-    return zlib.crc32(b or b"")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pos, all_ = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+        for t in grouped(batches, BATCH):
+            s, y = featurize(*flat_bytes(t.column("b"))), t.column("y").to_numpy()
+            held = np.unique(s.features.astype(np.int64) * t.num_rows + s.row[s.word_sentence][:, None])
+            held = held[held >= 0]
+            all_ += np.bincount(held // t.num_rows, minlength=1 << BITS).astype(np.int32)
+            pos += np.bincount(held // t.num_rows, y[held % t.num_rows], 1 << BITS).astype(np.int32)
+        some = np.flatnonzero(all_)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(pos[some]), pa.array(all_[some])], ["feature", "pos", "n"])
+
+    held = rows.mapInArrow(count, "feature int, pos int, n int").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).filter("pos >= 2").toArrow()
+    pos, neg, at = np.zeros(1 << BITS), np.zeros(1 << BITS), held.column("feature").to_numpy()
+    pos[at] = held.column("pos").to_numpy()
+    neg[at] = held.column("n").to_numpy() - pos[at]
+    chosen, start = choose(pos, neg, float(n_pos), float(n_all - n_pos))
+    if not len(chosen):
+        return Model(weights, float(np.log(n_pos / (n_all - n_pos))) - 3)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = np.full((1 << BITS) + 1, -1, np.int32)
+        index[chosen] = np.arange(len(chosen))
+        for t in grouped(batches, BATCH):
+            s = featurize(*flat_bytes(t.column("b")))
+            kept = index[s.features]
+            word, column = np.nonzero(kept >= 0)
+            sentence = s.word_sentence[word]
+            row = s.row[sentence]
+            cuts = np.append(0, np.cumsum(np.bincount(row, minlength=t.num_rows))).astype(np.int32)
+            listed = lambda x: pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), t.column("y").combine_chunks(), pa.array(np.bincount(s.row, minlength=t.num_rows).astype(np.int32)), listed(sentence), listed(kept[word, column])], ["doc_id", "y", "n", "sentence", "feature"])
+
+    read = rows.mapInArrow(keep, "doc_id long, y int, n int, sentence array<int>, feature array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    sentence, feature = (read.column(c).combine_chunks() for c in ("sentence", "feature"))
+    row = np.repeat(np.arange(len(sentence)), np.diff(sentence.offsets.to_numpy()))
+    flat = sentence.flatten().to_numpy()
+    new = np.append(True, (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])) if len(flat) else np.zeros(0, dtype=bool)
+    plain = read.column("n").to_numpy() - np.bincount(row[new], minlength=len(sentence))
+    w, bias = fit(Sample(read.column("y").to_numpy(), plain, row[new], feature.flatten().to_numpy(), np.cumsum(new) - 1), start)
+    weights[chosen] = w
+    return Model(weights, bias)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -187,7 +224,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         weights = np.zeros(1 << BITS)
         weights[packed[0]] = packed[1]
         own = Model(weights, packed[2])
-        for t in grouped(batches):
+        for t in grouped(batches, BATCH):
             data, offsets = flat_bytes(t.column("b"))
             s, n = featurize(data, offsets), t.num_rows
             p = own.sentence_scores(s)
@@ -231,7 +268,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Da
         weights = np.zeros(1 << BITS)
         weights[packed[0]] = packed[1]
         own = Model(weights, packed[2])
-        for t in grouped(batches):
+        for t in grouped(batches, BATCH):
             data, offsets = flat_bytes(t.column(at).cast(pa.binary()))
             s = featurize(data, offsets)
             clean = noisy_or(own.sentence_scores(s), s.row, t.num_rows) < threshold
