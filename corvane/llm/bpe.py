@@ -1,20 +1,24 @@
 """BPE encoding and decoding through a minimal acyclic transducer.
 
-Texts are cut at the tokenizer's added tokens and split into words by the byte-level pattern. Words that make up a
-2**-18 share of the corpus or more (so at most 2**18 of them) are counted over all texts and compiled, with their
-ids, into a minimal acyclic automaton with shared suffixes: numbers on its arcs add up to a word's index, and the
-index gives its ids. The automaton is one file that Spark hands to the executors and that they map into memory;
-the distinct words of a batch walk it side by side. Words it lacks are merged pair by pair, lowest rank first.
-
-Null texts are empty: no tokens. Empty tables give no rows; repeated rows are encoded each by itself.
+Texts are cut at the tokenizer's added tokens and split into words by the byte-level pattern. All words are counted
+over all texts; those of 64 bytes or less that make up a 2**-18 share of the corpus or more (so at most 2**18 of them)
+are compiled, with their ids, into a minimal acyclic automaton with shared suffixes: numbers on its arcs add up to a
+word's index, and the index gives its ids. The automaton is one file, made in the shared folder, that Spark hands to the
+executors and that they map into memory; the distinct words of a batch walk it side by side. Words it lacks are merged
+pair by pair, lowest rank first.
+
+Only tokenizer files of the kind this module re-creates are taken: byte-level BPE without normalizer, dropout, unknown
+token or prefix space, whose added tokens match as they are written. Others are refused, not encoded differently.
+
+Null texts are empty: no tokens. Empty tables give no rows; repeated rows are encoded each by itself. Further columns
+of the documents don't reach the result, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import json
-import os
-import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +36,8 @@ from corvane.llm.common import Workspace, flat_bytes, grouped, small_batches, ta
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A word is frequent if its share of the corpus is 2**-LEXICON_BITS or more.
 LEXICON_BITS = 18
+#: Bytes of a frequent word at most, distinct words that a task counts at once, and bytes of text that it works on at once.
+LONGEST, HELD, BATCH = 64, 300_000, 4 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -41,10 +47,47 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def refuse_unknown(raw: dict) -> None:
+    """Raise ValueError for settings of a tokenizers file that would give other ids than this module's."""
+    model = raw["model"]
+    steps = [raw.get("pre_tokenizer"), raw.get("decoder")]
+    wrong = {
+        "model": model.get("type", "BPE") != "BPE",
+        "normalizer": raw.get("normalizer") is not None,
+        "pre_tokenizer": steps[0] is None or steps[0].get("type") != "ByteLevel" or steps[0].get("add_prefix_space", False) or not steps[0].get("use_regex", True),
+        "decoder": steps[1] is None or steps[1].get("type") != "ByteLevel",
+        "merging": any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "added_tokens": any(t.get(k) for t in raw.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")) or any(not t["content"] for t in raw.get("added_tokens", [])),
+    }
+    if any(wrong.values()):
+        raise ValueError(f"this tokenizer file has settings that are not supported: {', '.join(k for k, v in wrong.items() if v)}")
+
+
+class Splitter:
+    """Cuts a text at added tokens and into words; small enough to be handed to every task."""
+
+    def __init__(self, added: list[str]) -> None:
+        self.added = tuple(sorted(added, key=lambda s: (-len(s), s)))
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if added else None
+
+    def __reduce__(self):
+        return Splitter, (list(self.added),)
+
+    def __call__(self, text: str) -> list[str]:
+        """Words and added tokens of a text, in order."""
+        if self.cut is None or not any(s in text for s in self.added):
+            return _SPLIT.findall(text)
+        out: list[str] = []
+        for k, part in enumerate(self.cut.split(text)):
+            out += [part] if k % 2 else _SPLIT.findall(part)
+        return out
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary read from a tokenizers file."""
 
     def __init__(self, raw: dict) -> None:
+        refuse_unknown(raw)
         alphabet = byte_alphabet()
         as_bytes = lambda s: bytes(alphabet[c] for c in s)
         self.ids = {as_bytes(s): i for s, i in raw["model"]["vocab"].items()}
@@ -56,7 +99,7 @@ class Vocabulary:
             self.tokens[i] = b
         for s, i in self.added.items():
             self.tokens[i] = s.encode()
-        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=lambda s: (-len(s), s))) + ")") if self.added else None
+        self.split = Splitter(list(self.added))
         # where ids follow the merges, the id of the merged token is its rank, and a compiled merger can be used
         place = [self.ids[a + b] for a, b in self.ranks]
         self.by_id = place == sorted(place) and len(set(place)) == len(place) and all(self.ids[bytes([b])] < place[0] for b in range(256)) if place else False
@@ -93,16 +136,6 @@ class Vocabulary:
         return self._merger
 
 
-def words_of(text: str, vocabulary: Vocabulary) -> list[str]:
-    """Words and added tokens of a text, in order."""
-    if vocabulary.cut is None or not any(s in text for s in vocabulary.added):
-        return _SPLIT.findall(text)
-    out: list[str] = []
-    for k, part in enumerate(vocabulary.cut.split(text)):
-        out += [part] if k % 2 else _SPLIT.findall(part)
-    return out
-
-
 # ---- the automaton --------------------------------------------------------------------------------------------
 
 
@@ -212,9 +245,10 @@ def encode_words(distinct: pa.Array, lexicon: Lexicon, vocabulary: Vocabulary) -
     lengths, starts = np.zeros(len(index), np.int64), np.zeros(len(index), np.int64)
     hit = np.flatnonzero(index >= 0)
     lengths[hit] = lexicon.offsets[index[hit] + 1] - lexicon.offsets[index[hit]]
-    starts[hit] = lexicon.offsets[index[hit]]
+    listed = lexicon.ids[spread(lexicon.offsets[index[hit]], lengths[hit])]  # only the ids in use leave the file
+    starts[hit] = np.cumsum(lengths[hit]) - lengths[hit]
     merge, more, raw = vocabulary.merger(), [], data.tobytes()
-    at = len(lexicon.ids)
+    at = len(listed)
     miss = np.flatnonzero(index < 0)
     special = {s.encode(): [i] for s, i in vocabulary.added.items()}
     for k, a, b in zip(miss.tolist(), offsets[miss].tolist(), offsets[miss + 1].tolist(), strict=True):
@@ -222,7 +256,7 @@ def encode_words(distinct: pa.Array, lexicon: Lexicon, vocabulary: Vocabulary) -
         ids = special.get(word) or merge(word)
         starts[k], lengths[k] = at + len(more), len(ids)
         more += ids
-    pool = np.concatenate((lexicon.ids, np.array(more, np.int64)))
+    pool = np.concatenate((listed, np.array(more, np.int64)))
     return pool[spread(starts, lengths)], lengths
 
 
@@ -235,7 +269,7 @@ def encode_texts(texts: list[str | None], lexicon: Lexicon, vocabulary: Vocabula
     """Ids of all texts, one after another, and the offsets of each."""
     words, counts = [], []
     for text in texts:
-        own = words_of(text, vocabulary) if text else []
+        own = vocabulary.split(text) if text else []
         words += own
         counts.append(len(own))
     if not words:
@@ -250,57 +284,58 @@ def encode_texts(texts: list[str | None], lexicon: Lexicon, vocabulary: Vocabula
 
 
 def frequent_words(docs: DataFrame, vocabulary: Vocabulary) -> dict[bytes, list[int]]:
-    """The corpus's frequent words with their ids; at most 2**LEXICON_BITS.
-
-    A frequent word is frequent in some partition, so partitions report only words that may be.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    """The corpus's frequent words with their ids; at most 2**LEXICON_BITS. Counts are exact: tasks add up their own, Spark the rest."""
+    split = vocabulary.split
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
-        total = 0
 
         def out() -> pa.RecordBatch:
-            least = max(2, total >> LEXICON_BITS)
-            kept = [(w.encode(), n) for w, n in counts.items() if n >= least and len(w) <= 64]
-            return pa.RecordBatch.from_arrays([pa.array([None, *(w for w, _ in kept)], pa.binary()), pa.array([total, *(n for _, n in kept)], pa.int64())], ["word", "n"])
+            words = [w.encode() for w in counts]
+            return pa.RecordBatch.from_arrays([pa.array([w if len(w) <= LONGEST else None for w in words], pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        for t in grouped(batches, BATCH):
+            for text in t.column(0).to_pylist():
                 if text:
-                    own = words_of(text, shared.value)
-                    total += len(own)
-                    counts.update(own)
-            if len(counts) > 1_000_000:  # bounded memory
+                    counts.update(split(text))
+            if len(counts) > HELD:  # bounded memory
                 yield out()
                 counts.clear()
-                total = 0
-        if total:
+        if counts:
             yield out()
 
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counted = Workspace(docs.sparkSession, "bpe").save(counted, "words")
-    total = (counted.filter("word IS NULL").first() or (None, 0))[1] or 0
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = counted.filter(F.col("word").isNotNull() & (F.col("n") >= max(2, -(-total // (1 << LEXICON_BITS))))).toArrow()
     merge, special = vocabulary.merger(), {s.encode() for s in vocabulary.added}
     return {w: merge(w) for w in rows.column("word").to_pylist() if w not in special}
 
 
 class Codec:
-    """The lexicon and vocabulary on an executor."""
-
-    _cache: dict[str, "Codec"] = {}
+    """The lexicon and vocabulary of one task; it goes with the task, since workers live on."""
 
     def __init__(self, raw_vocabulary: str, lexicon_name: str) -> None:
         self.vocabulary = Vocabulary(json.loads(raw_vocabulary))
+        if self.vocabulary.by_id:
+            self.vocabulary.merger()
+            self.vocabulary.ranks = {}  # the compiled merger has its own
         self.lexicon = Lexicon(np.load(SparkFiles.get(lexicon_name), mmap_mode="r"))
 
-    @classmethod
-    def of(cls, raw_vocabulary: str, lexicon_name: str) -> "Codec":
-        if lexicon_name not in cls._cache:
-            cls._cache.clear()
-            cls._cache[lexicon_name] = cls(raw_vocabulary, lexicon_name)
-        return cls._cache[lexicon_name]
+
+def share_file(spark: SparkSession, path: str, content: np.ndarray) -> str:
+    """Write an array to ``path`` in the shared folder and have Spark hand it to every executor, also later ones; its name there."""
+    held = io.BytesIO()
+    np.save(held, content)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        for at in range(0, len(held.getbuffer()), 1 << 20):
+            out.write(bytes(held.getbuffer()[at : at + (1 << 20)]))
+    finally:
+        out.close()
+    spark.sparkContext.addFile(path)
+    return path.rpartition("/")[2]
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = True) -> DataFrame:
@@ -311,18 +346,14 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = True
         raw = f.read()
     vocabulary = Vocabulary(json.loads(raw))
     compiled = compile_lexicon(frequent_words(docs, vocabulary))
-    name = f"lexicon-{uuid.uuid4().hex}.npy"
-    # the driver serves this file to the executors; it stays until the session ends, so that executors may come and go
-    path = os.path.join(tempfile.mkdtemp(prefix="corvane-"), name)
-    np.save(path, compiled)
-    spark.sparkContext.addFile(path)
+    name = share_file(spark, f"{Workspace(spark, 'bpe').root}/lexicon-{uuid.uuid4().hex}.npy", compiled)
     shared = spark.sparkContext.broadcast(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(shared.value, name)
+        codec = Codec(shared.value, name)
         tokens = codec.vocabulary.tokens
         shown = [str(i) for i in range(len(tokens))]
-        for t in grouped(batches, 8 << 20):
+        for t in grouped(batches, BATCH):
             ids, offsets = encode_texts(t.column("text").to_pylist(), codec.lexicon, codec.vocabulary)
             first, second = [], []
             for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
