@@ -1,26 +1,32 @@
 """Line deduplication with levelled sorted runs of line hashes; DataFrame operations only.
 
-``LineRuns`` keeps, per line hash, how many documents hold the line and the largest id among them. Each batch
-is reduced to one row a hash, merge-anti-joined with the runs to find the hashes that no run holds, and added as
-a sorted run of level 0. When a level has ``fanout`` runs they are merged into one of the next level, so a hash
-is rewritten O(log batches) times and a lookup meets O(log batches) runs. Hashes are 128 bits (two 64-bit hashes
-with different seeds).
+``LineRuns`` keeps, per line hash, how many documents hold the line and the largest id among them. Each batch is
+reduced to one row a hash and merge-anti-joined with the runs: only hashes that no run holds become its own run, of
+level 0, so runs never share a hash. The hashes that a run does hold go to a side table of repeats, which is small,
+since most lines stand in one document. When a level has ``fanout`` runs they are merged into one of the next level, so
+a hash is rewritten O(log batches) times and a lookup meets O(log batches) runs. Runs are tables bucketed and sorted by
+the hash: lookups and merges exchange the batch and no run. Hashes are 128 bits (two 64-bit hashes with different
+seeds).
 
 A line's key is the line without white space at both ends, A-Z lower-cased. Null and empty texts are one empty
 line. Null ids count no document and lose every line that is dropped elsewhere. Rows with the same doc_id are one
-document; equal rows get equal results. Tables without rows give no rows.
+document; equal rows get equal results. Tables without rows give no rows. Columns of the documents named ``n_lines``,
+``n_dropped`` or as the kept text are replaced; all others stay, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Workspace, ascii_lower, table
+from corvane.llm.common import Workspace, ascii_lower, table, unused
 
 #: Batches that the corpus is added in; a document's rows are all in one batch.
 BATCHES = 4
 _BLANK = "\t\n\x0b\f\r "
+HASH = ["h1", "h2"]
 
 
 def line_key(line: Column) -> Column:
@@ -43,61 +49,95 @@ def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
 class LineRuns:
     """A levelled index of line hashes with document counts."""
 
-    def __init__(self, workspace: Workspace, fanout: int = 2) -> None:
-        self.ws, self.fanout, self.levels, self.made = workspace, fanout, {}, 0
+    def __init__(self, workspace: Workspace, buckets: int, fanout: int = 2) -> None:
+        self.ws, self.spark, self.buckets, self.fanout = workspace, workspace.spark, buckets, fanout
+        self.levels: dict[int, list[str]] = {}
+        self.repeats: list[DataFrame] = []
+        self.name, self.made = f"corvane_lines_{uuid.uuid4().hex[:12]}", 0
 
-    def _write(self, df: DataFrame, level: int) -> None:
+    def _write(self, df: DataFrame) -> str:
         self.made += 1
-        name = f"run-{level}-{self.made}"
-        # the aggregation below has hashed by (h1, h2) already: sorting within partitions is all that is left
-        self.levels.setdefault(level, []).append((name, self.ws.save(df.sortWithinPartitions("h1", "h2"), name)))
+        name = f"{self.name}_{self.made}"
+        writer = df.write.mode("overwrite").option("compression", "zstd").option("path", f"{self.ws.root}/{name}")
+        writer.bucketBy(self.buckets, *HASH).sortBy(*HASH).format("parquet").saveAsTable(name)
+        return name
 
-    def _all(self) -> DataFrame | None:
-        runs = [df for level in sorted(self.levels) for _, df in self.levels[level]]
-        out = None
-        for df in runs:
-            out = df if out is None else out.unionAll(df)
-        return out
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        self.ws.drop(name)
+
+    def runs(self) -> list[DataFrame]:
+        """All runs, of which no two hold the same hash."""
+        return [self.spark.table(name) for level in sorted(self.levels) for name in self.levels[level]]
 
     def add(self, lines: DataFrame) -> None:
-        """Add a batch (doc_id, h1, h2); its run marks the hashes that are new."""
-        own = lines.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        held = self._all()
-        if held is None:
-            own = own.withColumn("is_new", F.lit(True))
-        else:
-            held = held.filter("is_new").select("h1", "h2", F.lit(True).alias("held"))  # a hash is new in one run only
-            own = own.join(held.hint("merge"), ["h1", "h2"], "left").withColumn("is_new", F.col("held").isNull()).drop("held")
-        self._write(own.select("h1", "h2", "n_docs", "last_doc", "is_new"), 0)
+        """Add a batch (doc_id, h1, h2)."""
+        own = self._write(lines.groupBy(*HASH).agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc")))
+        runs = self.runs()
+        if runs:
+            batch = self.spark.table(own)
+            fresh, held = batch, None
+            for run in runs:
+                fresh = fresh.join(run.hint("merge"), HASH, "left_anti")
+                found = batch.join(run.hint("merge"), HASH, "left_semi")
+                held = found if held is None else held.unionAll(found)
+            self.repeats.append(self.ws.save(held, f"repeats-{self.made}"))
+            name = self._write(fresh)
+            self._drop(own)
+            own = name
+        self.levels.setdefault(0, []).append(own)
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            runs = self.levels.pop(level)
+            names = self.levels.pop(level)
+            merged = self.spark.table(names[0])
+            for name in names[1:]:
+                merged = _merge(merged, self.spark.table(name))
             self.levels[level] = []
-            merged = runs[0][1]
-            for _, df in runs[1:]:
-                merged = merged.unionAll(df)
-            self._write(_merge(merged), level + 1)
-            self.ws.drop(*(name for name, _ in runs))
+            self.levels.setdefault(level + 1, []).append(self._write(merged))
+            for name in names:
+                self._drop(name)
             level += 1
 
-    def counts(self) -> DataFrame | None:
-        """(h1, h2, n_docs, last_doc) over all runs."""
-        held = self._all()
-        return None if held is None else _merge(held).drop("is_new")
+    def common(self, min_docs: int) -> DataFrame | None:
+        """(h1, h2, last_doc) of the hashes that ``min_docs`` documents or more hold."""
+        again = None
+        for df in self.repeats:
+            again = df if again is None else again.unionAll(df)
+        out = None
+        if again is not None:
+            again = again.groupBy(*HASH).agg(F.sum("n_docs").alias("more_docs"), F.max("last_doc").alias("later_doc"))
+            again = self.ws.save(again, "repeated")
+        for run in self.runs():
+            if again is not None:
+                run = run.join(again, HASH, "left").select(*HASH, (F.col("n_docs") + F.coalesce("more_docs", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "later_doc").alias("last_doc"))
+            found = run.filter(F.col("n_docs") >= min_docs).select(*HASH, "last_doc")
+            out = found if out is None else out.unionAll(found)
+        return out
+
+    def close(self) -> None:
+        """Remove the runs."""
+        for names in self.levels.values():
+            for name in names:
+                self._drop(name)
+        self.levels.clear()
 
 
-def _merge(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.max("is_new").alias("is_new"))
+def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two runs as one: a merge of both sides bucket by bucket, in which no hash meets its like."""
+    value = lambda df, side: df.select(*HASH, F.struct("n_docs", "last_doc").alias(side))
+    both = value(a, "x").join(value(b, "y").hint("merge"), HASH, "full_outer").withColumn("v", F.coalesce("x", "y"))
+    return both.select(*HASH, "v.n_docs", "v.last_doc")
 
 
 def dropped_lines(docs: DataFrame, ws: Workspace, min_chars: int, min_docs: int, batches: int) -> DataFrame:
     """(doc_id, text_hash, dropped): the sorted positions of the lines that each document loses; only documents that lose some."""
     part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(batches)).cast("int")
     lines = ws.save(line_table(docs, min_chars).withColumn("part", part), "lines", "part")
-    runs = LineRuns(ws)
+    runs = LineRuns(ws, int(ws.spark.conf.get("spark.sql.shuffle.partitions")))
     for k in range(batches):
         runs.add(lines.filter(F.col("part") == k))
-    common = ws.save(runs.counts().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"), "common")
+    common = ws.save(runs.common(min_docs), "common")
+    runs.close()
     # both sides are plain exchanges, so a line that a third of all documents holds is split by AQE
     gone = lines.select("doc_id", "text_hash", "pos", "h1", "h2").join(common, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     gone = ws.save(gone.select("doc_id", "text_hash", "pos"), "gone")
@@ -112,15 +152,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     """
     ws = Workspace(docs.sparkSession, "lines")
     gone = dropped_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ws, min_chars, min_docs, batches)
-    gone = ws.save(gone, "dropped").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"), F.col("dropped").alias("_gone"))
-    hashed = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (F.col("_text_hash") == F.col("_gone_hash"))
-    joined = hashed.join(gone.hint("shuffle_hash"), match, "left").drop("_gone_id", "_gone_hash", "_text_hash")
+    at, hash_, places_, own = (unused(n, docs) for n in ("gone_id", "gone_hash", "gone", "text_hash"))
+    gone = ws.save(gone, "dropped").select(F.col("doc_id").alias(at), F.col("text_hash").alias(hash_), F.col("dropped").alias(places_))
+    hashed = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.col(own) == F.col(hash_))
+    joined = hashed.join(gone.hint("shuffle_hash"), match, "left")
     lines = text_lines(F.col("text").cast("string"))
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), F.coalesce(F.col("text").cast("string"), F.lit(""))).otherwise(F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n"))
-    counts = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
-    return joined.withColumns(counts | {"_kept_text": kept}).drop("_gone", *([text_name] if text_name in docs.columns else [])).withColumnRenamed("_kept_text", text_name)
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(places_))
+    kept = F.when(F.col(places_).isNull(), F.coalesce(F.col("text").cast("string"), F.lit(""))).otherwise(F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n"))
+    made = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size(places_), F.lit(0)).cast("long"), text_name: kept}
+    return joined.select(*(F.col(c) for c in docs.columns if c.lower() not in {n.lower() for n in made}), *(c.alias(n) for n, c in made.items()))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
