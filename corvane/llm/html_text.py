@@ -1,13 +1,17 @@
 """Main text of web pages: flat text blocks judged by a decision tree over shallow features.
 
 A page is read once into a flat list of blocks, the texts between block-level tags. Each block is described by its
-word count and link density, those of the blocks before and after it, what kind of region it stands in and whether
-it is a heading. A decision tree (Gini, depth at most 7), trained on the small labelled table below, says which
-blocks are content. Scripts, styles, comments in the markup, form controls and embedded media never make blocks.
+word count and link density, those of the blocks before and after it, whether it stands in an article and whether it is
+a heading; where an element around it is one that holds no article as a rule (nav, aside, form ...) or bears a name like
+"sidebar", also by that element's share of the text around it. A menu or a sidebar holds a small share; a form or an
+oddly named element that wraps the whole page holds all of it, so its name rules out nothing. A decision tree (Gini,
+depth at most 7), trained on the small labelled table below, says which blocks are content. Scripts, styles, comments
+in the markup, form controls and embedded media never make blocks. Tags are read as the HTML standard's tokenizer does.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by
 an empty line. Null and empty pages, and pages without content, give an empty text. Very long pages are read
-in time proportional to their length. Repeated pages give equal rows.
+in time proportional to their length. Repeated pages give equal rows; null ids and urls stay null; further columns of
+the pages, whatever their names, don't reach the result. Tables without rows give no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +28,9 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import small_batches, table
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>?""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
+# a name, then a value in quotes or without; a quote that is never closed runs to the page's end
+_ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>"'][^\s>]*+)|(?=>)))?+""")
+_TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|</(?![A-Za-z])[^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]*+[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+|(?=>)))?+)*+[\s/]*+)>?""", re.S)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Names of elements by how they are read.
@@ -35,117 +40,138 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"html", "body"}
 OUTER = frozenset("nav footer aside form dialog menu".split())
-CONTENT = frozenset("article main".split())
+CONTENT = frozenset(("article", "main"))
 #: Words in a class, id or role that name what isn't the article.
 OUTER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar widget widgets nav navbar navigation menu menubar breadcrumb breadcrumbs footer masthead topbar "
     "comment comments commentlist respond reply replies disqus discussion cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login "
     "search share sharing social related recommended recommendations pagination pager toolbar copyright disclaimer contentinfo complementary alert skip".split()
 )
-
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "region", "has_article", "heading")
-#: Where splits are equally good, the region and the block itself decide rather than its neighbours.
-SPLIT_ORDER, LEAST_ROWS = (6, 7, 1, 0, 8, 5, 3, 4, 2), 2
-NOWHERE, ARTICLE, OUTSIDE, NAMED = range(4)
-#: Hand-labelled blocks: the features in order (link densities in percent; region 0 none, 1 article or main, 2 an outer element, 3 an outer name), then 1 for content.
+#: Parts of a class that make it tell what an element has or how it is set, not what it is: "has-sidebar", "comments-open".
+STATES = frozenset("has no not with without is hide hidden show open opened closed enabled disabled".split())
+
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "has_article", "heading", "outer", "held")
+#: Where splits are equally good, what stands around the block and the block itself decide rather than its neighbours.
+SPLIT_ORDER, LEAST_ROWS = (10, 6, 7, 1, 0, 8, 9, 5, 3, 4, 2), 2
+#: Kinds of elements around a block that hold no article as a rule.
+NONE, ELEMENT, NAMED = range(3)
+#: Hand-labelled blocks: the features in order (link densities in percent; outer 0 none, 1 an element, 2 a name; held: the
+#: percent of the text around it that the outer element holds, 100 without one), then 1 for content.
 LABELLED = """
-1 100 0 0 1 100 2 1 0 0
-1 100 1 100 1 100 2 1 0 0
-2 100 1 100 3 100 2 0 0 0
-6 100 2 100 8 0 2 1 0 0
-4 0 0 0 2 100 2 0 0 0
-12 0 60 0 0 0 2 1 0 0
-35 0 80 0 0 0 2 1 0 0
-9 22 45 0 0 0 2 0 0 0
-60 4 90 0 40 10 2 0 0 0
-3 0 2 100 30 0 2 1 1 0
-25 0 3 100 9 0 2 0 0 0
-80 0 70 0 12 0 2 1 0 0
-8 0 1 100 9 0 3 1 0 0
-30 0 1 100 10 0 3 1 0 0
-14 50 9 0 11 0 3 0 0 0
-45 0 120 0 38 0 3 1 0 0
-70 2 44 0 60 0 3 0 0 0
-5 0 40 0 22 0 3 1 1 0
-120 0 35 0 90 0 3 1 0 0
-3 0 80 0 66 0 3 0 1 0
-7 100 7 100 7 100 3 1 0 0
-18 0 16 0 50 0 3 0 0 0
-9 0 8 0 60 0 1 1 1 1
-4 0 30 0 55 0 1 1 1 1
-11 0 1 100 70 0 1 0 1 1
-60 0 9 0 75 0 1 1 0 1
-75 0 60 0 48 0 1 1 0 1
-150 3 75 0 90 2 1 1 0 1
-22 0 90 0 10 0 1 1 0 1
-5 0 66 0 33 0 1 1 0 1
-1 0 40 0 50 0 1 1 0 1
-2 0 8 0 12 0 1 1 0 1
-12 33 60 0 80 0 1 1 0 1
-8 50 42 0 39 0 1 1 0 1
-30 20 55 0 14 0 1 1 0 1
-7 0 6 0 9 0 1 1 0 1
-40 0 7 0 0 0 1 1 0 1
-3 0 2 0 1 100 1 1 0 1
-90 0 10 0 6 100 1 0 0 1
-16 0 4 100 25 0 1 1 0 1
-400 0 10 0 0 0 1 1 0 1
-900 1 10 0 25 0 1 1 0 1
-25 0 900 0 300 0 1 1 0 1
-200 0 0 0 0 0 1 1 0 1
-10 0 12 0 4 100 1 1 1 1
-10 0 3 0 500 0 1 1 1 1
-1 0 1 0 1 0 1 1 0 1
-3 33 200 0 12 0 1 1 0 1
-20 60 100 0 70 0 1 1 0 1
-45 45 45 0 60 20 1 1 0 1
-250 12 60 5 9 0 1 1 0 1
-6 0 12 0 200 0 1 1 0 1
-6 0 250 0 12 30 1 1 0 1
-4 100 60 0 5 100 1 1 0 0
-5 100 4 100 6 100 1 1 0 0
-9 89 5 100 40 0 1 1 0 0
-2 100 70 0 3 100 1 0 0 0
-12 83 30 0 10 90 1 1 0 0
-3 0 1 100 8 0 0 1 0 0
-12 0 2 100 9 0 0 1 0 0
-40 0 8 0 60 0 0 1 0 0
-6 0 90 0 12 0 0 1 1 0
-25 30 70 0 5 0 0 1 0 0
-100 5 30 0 20 0 0 1 0 0
-9 0 1 100 64 0 0 0 1 1
-5 0 35 0 48 0 0 0 1 1
-10 0 6 100 40 0 0 0 1 1
-55 0 9 0 62 0 0 0 0 1
-80 3 55 0 41 0 0 0 0 1
-38 10 44 0 52 5 0 0 0 1
-18 0 70 0 66 0 0 0 0 1
-24 0 60 0 3 100 0 0 0 1
-30 0 4 100 28 0 0 0 0 1
-12 0 50 0 45 0 0 0 0 1
-6 0 48 0 51 0 0 0 0 1
-14 0 33 0 60 10 0 0 0 1
-400 0 10 0 0 0 0 0 0 1
-19 0 5 0 10 11 0 0 0 1
-18 11 19 0 10 0 0 0 0 1
-10 0 18 11 3 0 0 0 0 1
-22 8 15 0 20 0 0 0 0 1
-16 0 20 5 0 0 0 0 0 1
-5 0 1 100 19 0 0 0 1 1
-4 0 12 0 30 0 0 0 1 1
-7 0 1 100 300 0 0 0 1 1
-200 3 6 0 12 0 0 0 0 1
-11 0 11 0 12 0 0 0 0 1
-2 100 3 100 2 100 0 0 0 0
-8 75 10 0 60 0 0 0 0 0
-5 0 1 100 2 100 0 0 0 0
-4 0 2 100 6 0 0 0 0 0
-7 0 5 0 3 100 0 0 0 0
-30 70 2 100 20 80 0 0 0 0
-15 60 70 0 9 100 0 0 0 0
-3 0 2 100 4 100 0 0 1 0
-6 0 4 0 5 0 0 0 0 0
-45 55 3 100 8 100 0 0 0 0
+1 100 0 0 1 100 0 1 0 1 0 0
+1 100 1 100 1 100 0 1 0 1 0 0
+2 100 1 100 3 100 0 0 0 1 0 0
+6 100 2 100 8 0 0 1 0 1 3 0
+4 0 0 0 2 100 0 0 0 1 2 0
+12 0 60 0 0 0 0 1 0 1 8 0
+35 0 80 0 0 0 0 1 0 1 12 0
+9 22 45 0 0 0 0 0 0 1 4 0
+60 4 90 0 40 10 0 0 0 1 20 0
+3 0 2 100 30 0 0 1 1 1 0 0
+25 0 3 100 9 0 0 0 0 1 6 0
+80 0 70 0 12 0 0 1 0 1 15 0
+8 0 1 100 9 0 1 1 0 2 4 0
+30 0 1 100 10 0 0 1 0 2 11 0
+14 50 9 0 11 0 0 0 0 2 2 0
+45 0 120 0 38 0 0 1 0 2 35 0
+70 2 44 0 60 0 0 0 0 2 60 0
+5 0 40 0 22 0 0 1 1 2 7 0
+120 0 35 0 90 0 0 1 0 2 84 0
+3 0 80 0 66 0 0 0 1 2 1 0
+7 100 7 100 7 100 1 1 0 2 70 0
+18 0 16 0 50 0 0 0 0 2 0 0
+9 0 8 0 60 0 1 1 1 0 100 1
+4 0 30 0 55 0 1 1 1 0 100 1
+11 0 1 100 70 0 1 0 1 0 100 1
+60 0 9 0 75 0 1 1 0 0 100 1
+75 0 60 0 48 0 1 1 0 0 100 1
+150 3 75 0 90 2 1 1 0 0 100 1
+22 0 90 0 10 0 1 1 0 0 100 1
+5 0 66 0 33 0 1 1 0 0 100 1
+1 0 40 0 50 0 1 1 0 0 100 1
+2 0 8 0 12 0 1 1 0 0 100 1
+12 33 60 0 80 0 1 1 0 0 100 1
+8 50 42 0 39 0 1 1 0 0 100 1
+30 20 55 0 14 0 1 1 0 0 100 1
+7 0 6 0 9 0 1 1 0 0 100 1
+40 0 7 0 0 0 1 1 0 0 100 1
+3 0 2 0 1 100 1 1 0 0 100 1
+90 0 10 0 6 100 1 0 0 0 100 1
+16 0 4 100 25 0 1 1 0 0 100 1
+400 0 10 0 0 0 1 1 0 0 100 1
+900 1 10 0 25 0 1 1 0 0 100 1
+25 0 900 0 300 0 1 1 0 0 100 1
+200 0 0 0 0 0 1 1 0 0 100 1
+10 0 12 0 4 100 1 1 1 0 100 1
+10 0 3 0 500 0 1 1 1 0 100 1
+1 0 1 0 1 0 1 1 0 0 100 1
+3 33 200 0 12 0 1 1 0 0 100 1
+20 60 100 0 70 0 1 1 0 0 100 1
+45 45 45 0 60 20 1 1 0 0 100 1
+250 12 60 5 9 0 1 1 0 0 100 1
+6 0 12 0 200 0 1 1 0 0 100 1
+6 0 250 0 12 30 1 1 0 0 100 1
+4 100 60 0 5 100 1 1 0 0 100 0
+5 100 4 100 6 100 1 1 0 0 100 0
+9 89 5 100 40 0 1 1 0 0 100 0
+2 100 70 0 3 100 1 0 0 0 100 0
+12 83 30 0 10 90 1 1 0 0 100 0
+3 0 1 100 8 0 0 1 0 0 100 0
+12 0 2 100 9 0 0 1 0 0 100 0
+40 0 8 0 60 0 0 1 0 0 100 0
+6 0 90 0 12 0 0 1 1 0 100 0
+25 30 70 0 5 0 0 1 0 0 100 0
+100 5 30 0 20 0 0 1 0 0 100 0
+9 0 1 100 64 0 0 0 1 0 100 1
+5 0 35 0 48 0 0 0 1 0 100 1
+10 0 6 100 40 0 0 0 1 0 100 1
+55 0 9 0 62 0 0 0 0 0 100 1
+80 3 55 0 41 0 0 0 0 0 100 1
+38 10 44 0 52 5 0 0 0 0 100 1
+18 0 70 0 66 0 0 0 0 0 100 1
+24 0 60 0 3 100 0 0 0 0 100 1
+30 0 4 100 28 0 0 0 0 0 100 1
+12 0 50 0 45 0 0 0 0 0 100 1
+6 0 48 0 51 0 0 0 0 0 100 1
+14 0 33 0 60 10 0 0 0 0 100 1
+400 0 10 0 0 0 0 0 0 0 100 1
+19 0 5 0 10 11 0 0 0 0 100 1
+18 11 19 0 10 0 0 0 0 0 100 1
+10 0 18 11 3 0 0 0 0 0 100 1
+22 8 15 0 20 0 0 0 0 0 100 1
+16 0 20 5 0 0 0 0 0 0 100 1
+5 0 1 100 19 0 0 0 1 0 100 1
+4 0 12 0 30 0 0 0 1 0 100 1
+7 0 1 100 300 0 0 0 1 0 100 1
+200 3 6 0 12 0 0 0 0 0 100 1
+11 0 11 0 12 0 0 0 0 0 100 1
+2 100 3 100 2 100 0 0 0 0 100 0
+8 75 10 0 60 0 0 0 0 0 100 0
+5 0 1 100 2 100 0 0 0 0 100 0
+4 0 2 100 6 0 0 0 0 0 100 0
+7 0 5 0 3 100 0 0 0 0 100 0
+30 70 2 100 20 80 0 0 0 0 100 0
+15 60 70 0 9 100 0 0 0 0 100 0
+3 0 2 100 4 100 0 0 1 0 100 0
+6 0 4 0 5 0 0 0 0 0 100 0
+45 55 3 100 8 100 0 0 0 0 100 0
+60 2 9 0 75 0 0 0 0 1 100 1
+120 0 60 2 80 0 0 0 0 1 99 1
+45 3 70 0 5 100 0 0 0 1 98 1
+9 0 1 100 60 0 0 0 1 1 100 1
+80 0 9 0 60 0 1 1 0 1 100 1
+12 0 60 0 80 0 1 1 0 1 99 1
+70 0 12 0 66 0 0 0 0 2 100 1
+35 4 90 0 40 0 0 0 0 2 97 1
+150 0 8 0 30 0 1 1 0 2 100 1
+8 0 2 100 70 0 1 1 1 2 98 1
+4 100 60 0 5 100 0 0 0 1 100 0
+6 83 4 100 3 100 0 0 0 2 99 0
+3 0 2 100 40 100 0 0 0 1 98 0
+40 0 30 0 55 0 0 1 0 2 82 0
+66 0 40 0 50 0 0 0 0 2 88 0
+90 0 66 0 35 0 1 1 0 2 86 0
+25 0 14 0 30 0 0 1 0 1 75 0
 """
 
 
@@ -200,18 +226,23 @@ class Block:
     text: str
     words: int
     links: int
-    region: int
+    in_article: int
     heading: int
+    outer: int  # the innermost outer element around it, 0 for the page
 
 
 @dataclass
 class _Reader:
     blocks: list[Block] = field(default_factory=list)
-    stack: list[tuple[str, int]] = field(default_factory=list)  # open elements and what region each opens
+    stack: list[tuple[str, bool, int]] = field(default_factory=list)  # open elements, whether each is an article, and the outer element before it or -1
     places: dict[str, list[int]] = field(default_factory=dict)  # by name, where in the stack its open elements are
     parts: list[str] = field(default_factory=list)
+    parents: list[int] = field(default_factory=lambda: [-1])  # of outer elements; the page is the first
+    kinds: list[int] = field(default_factory=lambda: [NONE])
+    plain: list[int] = field(default_factory=lambda: [0])  # words outside links that stand right in each
+    outer: int = 0
     linked: int = 0
-    outer: list[int] = field(default_factory=lambda: [0, 0, 0, 0])
+    articles: int = 0
     anchors: int = 0
     heading: int = 0
     skipped: int = 0
@@ -228,24 +259,33 @@ class _Reader:
         text = " ".join("".join(self.parts).split())
         if text:
             n = text.count(" ") + 1
-            region = NAMED if self.outer[NAMED] else OUTSIDE if self.outer[OUTSIDE] else ARTICLE if self.outer[ARTICLE] else NOWHERE
-            self.blocks.append(Block(text, n, min(100, 100 * self.linked // n), region, int(self.heading > 0)))
+            linked = min(n, self.linked)
+            self.blocks.append(Block(text, n, 100 * linked // n, int(self.articles > 0), int(self.heading > 0), self.outer))
+            self.plain[self.outer] += n - linked
         self.parts.clear()
         self.linked = 0
 
-    def push(self, name: str, region: int) -> None:
+    def push(self, name: str, article: bool, kind: int) -> None:
         self.places.setdefault(name, []).append(len(self.stack))
-        self.stack.append((name, region))
-        self.outer[region] += 1
+        self.stack.append((name, article, self.outer if kind else -1))
+        if kind:
+            self.parents.append(self.outer)
+            self.kinds.append(kind)
+            self.plain.append(0)
+            self.outer = len(self.parents) - 1
+        self.has_article |= article
+        self.articles += article
         self.anchors += name == "a"
         self.skipped += name in SKIPPED
         self.heading += name in _HEADINGS
 
     def pop_to(self, k: int) -> None:
         while len(self.stack) > k:
-            name, region = self.stack.pop()
+            name, article, before = self.stack.pop()
             self.places[name].pop()
-            self.outer[region] -= 1
+            if before >= 0:
+                self.outer = before
+            self.articles -= article
             self.anchors -= name == "a"
             self.skipped -= name in SKIPPED
             self.heading -= name in _HEADINGS
@@ -262,40 +302,64 @@ class _Reader:
         self.pop_to(k)
         return True
 
+    def surroundings(self) -> list[tuple[int, int]]:
+        """(kind, held) by outer element: of it and those around it, the one that holds the least share of the text around it, and that share in percent."""
+        total = list(self.plain)
+        for k in range(len(total) - 1, 0, -1):
+            total[self.parents[k]] += total[k]
+        out, around = [(NONE, 100)], [0] * len(total)
+        for k in range(1, len(total)):  # parents come first
+            up = self.parents[k]
+            around[k] = around[up] + self.plain[up]  # text that stands right in the elements around this one
+            share = 100 * total[k] // (total[k] + around[k]) if total[k] else 0
+            out.append(min(out[up], (self.kinds[k], share), key=lambda x: x[1]) if up else (self.kinds[k], share))
+        return out
+
 
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _SCOPE = frozenset("html body table td th div section article main nav aside header footer form blockquote ul ol dl li dd details figure".split())
 _IMPLIED = {"li": (("li",), frozenset(("ul", "ol", "menu"))), "dt": (("dt", "dd"), frozenset(("dl",))), "dd": (("dt", "dd"), frozenset(("dl",))), "tr": (("tr",), frozenset(("table",))), "td": (("td", "th"), frozenset(("tr", "table"))), "th": (("td", "th"), frozenset(("tr", "table"))), "option": (("option",), frozenset(("select",)))}
 
 
-def region_of(name: str, attributes: str, in_article: bool) -> int:
-    """What region an element opens."""
-    if name in OUTER or (name == "header" and not in_article):
-        return OUTSIDE
-    region = ARTICLE if name in CONTENT else NOWHERE
-    if attributes and name not in ("html", "body"):
-        for m in _ATTRIBUTE.finditer(attributes):
-            key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
-            if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                return NAMED
-            if key in ("class", "id", "role"):
-                if key == "role" and value.lower() in ("main", "article"):
-                    region = ARTICLE
-                elif any(p.lower() in OUTER_NAMES for p in _PARTS.findall(value)):
-                    return NAMED
-    return region
-
-
-def read_blocks(page: str) -> tuple[list[Block], bool]:
-    """The flat blocks of a page, and whether it marks an article."""
+def attributes_of(raw: str) -> dict[str, str]:
+    """An element's attributes; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        out.setdefault(m.group(1).lower(), html.unescape(m.group(2) or m.group(3) or m.group(4) or ""))
+    return out
+
+
+def is_outer_name(token: str, whole: bool) -> bool:
+    """Whether a class, id or role names what isn't the article; ``whole``: only as one word."""
+    parts = [p.lower() for p in _PARTS.findall(token)]
+    return token.lower() in OUTER_NAMES if whole else not STATES.intersection(parts) and not OUTER_NAMES.isdisjoint(parts)
+
+
+def role_of(name: str, raw: str, in_article: bool) -> tuple[bool, int]:
+    """Whether an element is an article, and what kind of outer element it is."""
+    kind = ELEMENT if name in OUTER or (name == "header" and not in_article) else NONE
+    article = name in CONTENT
+    if raw and name not in ("html", "body"):
+        found = attributes_of(raw)
+        role = found.get("role", "").strip().lower()
+        article |= role in ("main", "article")
+        style = found.get("style", "").replace(" ", "").lower()
+        if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
+            return article, NAMED
+        named = any(is_outer_name(token, article) for key in ("class", "id", "role") for token in found.get(key, "").split())
+        if named and not (name == "main" or role == "main"):
+            return article, NAMED
+    return article, kind
+
+
+def read_page(page: str) -> _Reader:
+    """The flat blocks of a page and what stands around them."""
     r, at = _Reader(), 0
     while (m := _TAG.search(page, at)) is not None:
         r.text(page[at : m.start()])
         at = m.end()
         name = (m.group(2) or "").lower()
         if not name:
-            if m.group().startswith("<![CDATA["):
-                r.text(m.group()[9:].removesuffix("]]>"))
             continue
         if m.group(1):
             if name in BLOCK:
@@ -323,27 +387,25 @@ def read_blocks(page: str) -> tuple[list[Block], bool]:
             r.close(("head",), frozenset())
         if name in VOID or (m.group(3) or "").rstrip().endswith("/") and name in ("svg", "iframe"):
             continue
-        region = region_of(name, m.group(3) or "", r.outer[ARTICLE] > 0)
-        r.has_article |= region == ARTICLE
-        r.push(name, region)
+        r.push(name, *role_of(name, m.group(3) or "", r.articles > 0))
     r.text(page[at:])
     r.flush()
-    return r.blocks, r.has_article
+    return r
 
 
-def describe(blocks: list[Block], has_article: bool) -> list[tuple]:
+def describe(r: _Reader) -> list[tuple]:
     """The features of each block."""
-    none = Block("", 0, 0, 0, 0)
-    around = [none, *blocks, none]
-    return [(b.words, b.links, p.words, p.links, n.words, n.links, b.region, int(has_article), b.heading) for p, b, n in zip(around, blocks, around[2:], strict=False)]
+    none = Block("", 0, 0, 0, 0, 0)
+    around, outside = [none, *r.blocks, none], r.surroundings()
+    return [(b.words, b.links, p.words, p.links, n.words, n.links, b.in_article, int(r.has_article), b.heading, *outside[b.outer]) for p, b, n in zip(around, r.blocks, around[2:], strict=False)]
 
 
 def main_text(page: str | None, tree: Node) -> str:
     """The main text of a page."""
     if not page:
         return ""
-    blocks, has_article = read_blocks(page)
-    return "\n\n".join(b.text for b, x in zip(blocks, describe(blocks, has_article), strict=True) if tree(x))
+    r = read_page(page)
+    return "\n\n".join(b.text for b, x in zip(r.blocks, describe(r), strict=True) if tree(x))
 
 
 def extract(pages: DataFrame) -> DataFrame:
