@@ -156,18 +156,18 @@ def calibrate(forest: Forest, x: np.ndarray, k: int, recall: float, queries: int
         return 1.0
     cells = forest.cells(x)
     sizes = np.bincount(cells.ravel(), minlength=forest.offsets[-1]).astype(float)
-    q = np.linspace(0, len(x) - 1, min(queries, len(x))).astype(int)
-    scores = x[q] @ x.T
-    scores[np.arange(len(q)), q] = -np.inf
-    best = np.argpartition(-scores, k, axis=1)[:, :k]
-    lifted = forest.lift_queries(x[q])
-    far = np.concatenate([t.distances(lifted) for t in forest.trees], axis=1)
     need = []
-    for i, row in enumerate(best):
-        order = np.argsort(far[i], kind="stable")
-        before = np.empty(len(order))
-        before[order] = np.cumsum(sizes[order]) - sizes[order]  # entries that are opened before each cell
-        need.append(before[cells[row]].min(1))
+    for q in np.array_split(np.linspace(0, len(x) - 1, min(queries, len(x))).astype(int), 20):  # a few at a time, for the driver's memory
+        scores = x[q] @ x.T
+        scores[np.arange(len(q)), q] = -np.inf
+        best = np.argpartition(scores, len(x) - k, axis=1)[:, len(x) - k :]
+        lifted = forest.lift_queries(x[q])
+        far = np.concatenate([t.distances(lifted) for t in forest.trees], axis=1)
+        for i, row in enumerate(best):
+            order = np.argsort(far[i], kind="stable")
+            before = np.empty(len(order))
+            before[order] = np.cumsum(sizes[order]) - sizes[order]  # entries that are opened before each cell
+            need.append(before[cells[row]].min(1))
     needed = float(np.quantile(np.concatenate(need), recall, method="higher"))
     return min(1.0, (needed + 0.5) / sizes.sum())
 
@@ -306,7 +306,9 @@ def _nearest(own: DataFrame, asked: DataFrame, k: int, recall: float) -> DataFra
                 cells = sized.value.visit(_matrix(part.column(1)), share)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cells, pa.list_(pa.int32()))], ["id", "v", "cells"])
 
-    visits = ws.save(single(hashed(asked)).select(F.col("vec_id").alias("id"), "v").mapInArrow(search, kinds), "visits")
+    # few bytes but much work a row: as many tasks as a shuffle has, however small they are
+    spread = single(hashed(asked)).select(F.col("vec_id").alias("id"), "v").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    visits = ws.save(spread.mapInArrow(search, kinds), "visits")
     blocks = -(-visits.count() // QUERIES) or 1
     row = lambda df, kind, block, split: df.select((block * SPLITS + split).alias("slot"), F.lit(kind).alias("kind"), "id", "v", "cells")
     part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
