@@ -58,7 +58,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def grouped(batches: Iterable[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.Table]:
+def grouped(batches: Iterable[pa.RecordBatch], size: int = 1 << 20) -> Iterator[pa.Table]:
     """Join or cut Arrow batches to tables of about ``size`` bytes: vector code gets enough rows, memory stays bounded.
 
     A table holds one row at least, so a text longer than ``size`` is a table of its own.

@@ -8,10 +8,13 @@ of five coordinates give the candidates: a pair of similarity 0.75 shares no ban
 Equal sets are one class before anything is compared, so exact copies, however many, cost one row. In each bucket
 the members are compared with the smallest one (a star, not all pairs); confirmed links are joined into
 components, and in buckets that then still hold several components the members outside the largest one are held
-against all others by their sketches, block by block, and those that have a likely partner are compared with it. Every link is confirmed with full shingle sets. Nothing about documents or links is collected to the driver.
+against all others by their sketches, inside tasks. A pair that shares several buckets is asked about in the first of
+them only, and members that have a likely partner are compared with it. Every link is confirmed with full shingle
+sets. Nothing about documents or links is collected to the driver.
 
 Documents without words, null texts included, are linked with nothing; rows with a null doc_id too, their
-component is null and they are kept. Rows with equal doc_id are one node: what any of their texts is linked with. Sets are compared as 64-bit hashes of shingles.
+component is null and they are kept. Rows with equal doc_id are one node: what any of their texts is linked with. Sets
+are compared as 64-bit hashes of shingles. Tables without rows give no rows.
 """
 
 from __future__ import annotations
@@ -23,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Workspace, flat_bytes, grouped, mix64, small_batches, table, word_hashes
+from corvane.llm.common import Workspace, flat_bytes, grouped, mix64, small_batches, table, unused, word_hashes
 from corvane.llm.components import connected_components
 
 SHINGLE, BANDS, ROWS = 5, 50, 5
-#: A sketch is the low byte of each coordinate. 250 of them agree in a share of 0.15 less than the similarity with
-#: probability under 1e-7.
-SLACK, BLOCK = 0.15, 512
+#: A sketch is the low byte of each coordinate. 250 independent ones agree in a share of 0.15 less than the similarity
+#: with probability under 1e-7; circulant ones vary less than independent ones.
+SLACK = 0.15
+#: Members, and shingles of members, of a bucket that a task holds from each side at once; larger buckets are dealt out.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +154,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # one row stands for each class, so that one copy's bands and text are used
     own = linked.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"])
     own = ws.save(own.select("doc_id", "n", "bands", "sketch"), "own")
-    members = own.select("doc_id", "n", F.explode("bands").alias("bucket"))
+    members = own.select("doc_id", "n", F.posexplode("bands").alias("band", "bucket"))
     heads = members.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.min_by("n", "doc_id").alias("head_n"), F.count("*").alias("size")).filter("size > 1")
     heads = ws.save(heads, "heads")
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
@@ -163,11 +168,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     found = ws.save(connected_components(links, ws, "cc-1"), "components-1")
     more = ws.save(_across(members, own.select("doc_id", "sketch"), held, found, ws, percent), "links-2")
     if not more.isEmpty():
-        found = ws.save(connected_components(links.unionAll(more), ws, "cc-2"), "components-2")
+        stars = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = ws.save(connected_components(stars.unionAll(more), ws, "cc-2"), "components-2")
     by_set = ws.save(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id")), "by-set")
-    out = signed.select("doc_id", "n", "d1", "d2").join(by_set, ["d1", "d2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
+    # rows without words have nothing to look up: they don't meet in one task
+    out = signed.select("doc_id", "n", "d1", "d2").filter("n > 0").join(by_set, ["d1", "d2", "n"], "left").select("doc_id", "n", "component_id")
+    out = out.unionByName(signed.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
@@ -192,8 +199,8 @@ def _edges(t: pa.Table) -> np.ndarray:
 
 
 def _likely(t: pa.Table, a: int, b: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in t[a:b] of pairs across components, few by many, whose sketches don't rule out the similarity."""
-    part = t.slice(a, b - a)
+    """Places in t[a:b] of pairs across components, few by many, whose sketches don't rule out the similarity and that share no earlier bucket."""
+    part, band = t.slice(a, b - a), t.column("band")[a].as_py()
     sketch = flat_bytes(part.column("sketch"))[0].reshape(b - a, -1)
     n, component, few, many = (part.column(c).to_numpy(zero_copy_only=False) for c in ("n", "component", "few", "many"))
     x, y = np.flatnonzero(few), np.flatnonzero(many)
@@ -203,8 +210,9 @@ def _likely(t: pa.Table, a: int, b: int, percent: int) -> tuple[np.ndarray, np.n
         same = (sketch[own][:, None, :] == sketch[y][None, :, :]).mean(2)
         small, large = np.minimum(n[own][:, None], n[y][None, :]), np.maximum(n[own][:, None], n[y][None, :])
         i, j = np.nonzero((same >= percent / 100 - SLACK) & (component[own][:, None] != component[y][None, :]) & (100 * small >= percent * large))
-        left.append(own[i])
-        right.append(y[j])
+        alike = (sketch[own[i]] == sketch[y[j]]).reshape(len(i), sketch.shape[1] // ROWS, ROWS).all(2)[:, :band].any(1)  # asked about there
+        left.append(own[i[~alike]])
+        right.append(y[j[~alike]])
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -254,35 +262,37 @@ def _linked(percent: int):
 def _across(members: DataFrame, sketches: DataFrame, texts: DataFrame, found: DataFrame, ws: Workspace, percent: int) -> DataFrame:
     """Links between different components of a bucket: members outside the largest one against all others.
 
-    Buckets of more than BLOCK members are worked on in blocks of pairs of parts, in as many groups. A first pass
-    finds the members with a likely partner; only their texts are brought together, and pairs stay inside tasks.
+    Buckets of more than BLOCK members or BLOCK_SHINGLES shingles are worked on in pairs of parts. A first pass finds
+    the members with a likely partner; only their texts are brought together, and pairs stay inside tasks.
     """
-    named = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    named = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "band", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     named = ws.save(named, "named")
-    open_ = ws.save(named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("bucket", "size"), "open")
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    open_ = ws.save(named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), parts.alias("blocks")).filter("lo <> hi").select("bucket", "blocks"), "open")
     named = ws.save(named.join(open_, "bucket"), "open-members")
     main = named.groupBy("bucket", "component").agg(F.count("*").alias("part")).groupBy("bucket").agg(F.max_by("component", F.struct("part", "component")).alias("main"))
     rows = named.join(ws.save(main, "main"), "bucket").withColumn("few", F.col("component") != F.col("main"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.col("blocks")
     own, every = F.pmod(F.xxhash64("doc_id"), blocks).cast("int"), F.sequence(F.lit(0), blocks - 1)
     as_x = F.when(F.col("few"), F.transform(every, lambda k: F.struct(own.alias("x_block"), k.alias("y_block"))))
     as_y = F.transform(every, lambda k: F.struct(k.alias("x_block"), own.alias("y_block")))
     cells = F.array_distinct(F.concat(F.coalesce(as_x, F.filter(as_y, lambda c: F.lit(False))), as_y))
-    rows = rows.select("bucket", "doc_id", "n", "component", "few", own.alias("block"), F.explode(cells).alias("cell"))
-    rows = rows.select("bucket", "cell.x_block", "cell.y_block", "doc_id", "n", "component", (F.col("few") & (F.col("cell.x_block") == F.col("block"))).alias("few"), (F.col("cell.y_block") == F.col("block")).alias("many"))
-    rows = rows.join(sketches, "doc_id").select("bucket", "x_block", "y_block", "doc_id", "n", "component", "few", "many", "sketch")
+    rows = rows.select("bucket", "band", "doc_id", "n", "component", "few", own.alias("block"), F.explode(cells).alias("cell"))
+    rows = rows.select("bucket", "band", "cell.x_block", "cell.y_block", "doc_id", "n", "component", (F.col("few") & (F.col("cell.x_block") == F.col("block"))).alias("few"), (F.col("cell.y_block") == F.col("block")).alias("many"))
+    rows = rows.join(sketches, "doc_id").select("bucket", "band", "x_block", "y_block", "doc_id", "n", "component", "few", "many", "sketch")
     keys = ["bucket", "x_block", "y_block"]
-    kinds = "bucket long, x_block int, y_block int, doc_id long, n long, component long, few boolean, many boolean, sketch binary"
+    kinds = "bucket long, band int, x_block int, y_block int, doc_id long, n long, component long, few boolean, many boolean, sketch binary"
     hopeful = ws.save(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_hopeful(percent), kinds), "hopeful")
-    told = hopeful.join(texts, "doc_id").select(*keys, "doc_id", "n", "component", "few", "many", "sketch", "b")
+    told = hopeful.join(texts, "doc_id").select("bucket", "band", "x_block", "y_block", "doc_id", "n", "component", "few", "many", "sketch", "b")
     return told.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linked(percent), "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one with the smallest id."""
-    verdict = near_duplicates(docs, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    name = unused("gone", docs)
+    verdict = near_duplicates(docs, percent).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
     gone = Workspace(docs.sparkSession, "minhash-gone").save(verdict, "gone")
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
