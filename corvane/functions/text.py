@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
+from collections.abc import Callable
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+# Patterns, markers and limits that results depend on.
 SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z0-9(])"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-ACCESS_PAGE = "(access denied|enable javascript|verify you are human|log in to continue)"
+EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(\.[\p{L}\p{N}_-]+)+"
+ACCESS_MARKERS = (
+    "institutional access", "sign in to access", "purchase this article", "subscribe to access", "access through your institution", "you do not have access", "enable javascript and cookies",
+)
+SENTENCE_CHARS, EVIDENCE_SENTENCES, EVIDENCE_CHARS = 600, 14, 3500
+ARTICLE_CHARS, ARTICLE_WORDS, LONG_ARTICLE = 1500, 200, 10000
+TITLE_PREFIX, TITLE_SHARE = 30000, 0.5
 
 
 def present(c: Column) -> Column:
@@ -15,10 +29,25 @@ def present(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it; keeps nested expressions small."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def blank(c: Column) -> Column:
+    """Null, empty or white space only."""
+    return ~F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
+
+
+def quoted(text: str) -> str:
+    """``text`` as a pattern that matches just it."""
+    return re.escape(text)
+
+
 def normalise(text: Column) -> Column:
     """Join words broken by a hyphen at a line's end, make white space single, trim."""
-    joined = F.regexp_replace(text, r"([\p{L}\p{N}_])[-­‐]\s+([\p{L}\p{N}_])", "$1$2")
-    return F.trim(F.regexp_replace(joined, r"\s+", " "))
+    joined = F.regexp_replace(text, r"(?U)([\p{L}\p{N}_])[-­]\s+([\p{L}\p{N}_])", "$1$2")
+    return F.trim(F.regexp_replace(joined, r"(?U)\s+", " "))
 
 
 def sentences(text: Column) -> Column:
@@ -31,85 +60,142 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def has_word(text: Column, *listed: str) -> Column:
-    """Whether one of the words stands in the text, in any case."""
-    return F.lower(text).rlike(r"(^|[^\p{L}\p{N}])(" + "|".join(listed) + r")($|[^\p{L}\p{N}])")
+def spans(text: Column, pattern: str) -> Column:
+    """(s, e) of each match of ``pattern``, from 0, end exclusive; offsets come from splitting, so nothing is searched twice."""
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"))
+    pairs = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(found), F.lit(0))), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
+    step = lambda a, p: F.struct((a.at + p.g + p.m).alias("at"), F.array_append(a.spans, F.struct((a.at + p.g).alias("s"), (a.at + p.g + p.m).alias("e"))).alias("spans"))
+    return F.aggregate(pairs, zero, step, lambda a: a.spans)
 
 
-def redact(text: Column, limit: int | None = 600) -> Column:
+def between(text: Column, start: Column, end: Column) -> Column:
+    """The part of ``text`` between two offsets, which may lie beyond its ends."""
+    first = F.greatest(start, F.lit(0))
+    return F.substring(text, first + 1, F.greatest(F.least(end, F.length(text)) - first, F.lit(0)))
+
+
+def redact(text: Column, limit: int | None = SENTENCE_CHARS) -> Column:
     """Trimmed, mail addresses masked, cut to ``limit``: the length of an evidence sentence, None for whole texts."""
-    masked = F.regexp_replace(F.trim(text), EMAIL, "[email]")
+    masked = F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), EMAIL, "[email]")
     return masked if limit is None else F.substring(masked, 1, limit)
 
 
-def evidence(found: Column, most: int = 14, chars: int = 3500) -> Column:
-    """Distinct sentences until there are ``most`` or they hold ``chars``; the one that crosses the limit stays."""
+def evidence(found: Column, most: int = EVIDENCE_SENTENCES, chars: int = EVIDENCE_CHARS) -> Column:
+    """Distinct masked sentences until there are ``most`` or they hold ``chars``; the one that crosses the limit stays."""
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("size"))
     step = lambda a, s: F.when((F.size(a.kept) >= most) | (a.size >= chars), a).otherwise(F.struct(F.array_append(a.kept, s).alias("kept"), (a.size + F.length(s)).alias("size")))
-    return F.aggregate(F.array_distinct(found), start, step, lambda a: a.kept)
+    return F.aggregate(F.array_distinct(F.transform(found, lambda s: redact(s))), start, step, lambda a: a.kept)
 
 
 def article_check(text: Column) -> Column:
     """struct(ok, quality, reason) of a text that should be an article; the first failing test names the reason."""
-    t = F.coalesce(text, F.lit(""))
-    n, dense = F.length(t), F.size(F.regexp_extract_all(t, F.lit(r"\p{L}{3,}"), F.lit(0)))
     verdict = lambda ok, quality, reason: F.struct(F.lit(ok).alias("ok"), F.lit(quality).alias("quality"), F.lit(reason).alias("reason"))
-    return (
-        F.when(F.trim(t) == "", verdict(False, "", "empty"))
-        .when(F.lower(t).rlike(ACCESS_PAGE) & (n < 10000), verdict(False, "", "access_page"))
-        .when(n < 1500, verdict(False, "", "too_short"))
-        .when(dense < 200, verdict(False, "", "low_text_density"))
-        .when(n >= 10000, verdict(True, "high", ""))
-        .otherwise(verdict(True, "medium", ""))
-    )
+
+    def judged(t: Column) -> Column:
+        n = F.length(t)
+        return (
+            F.when(F.lower(t).rlike("|".join(ACCESS_MARKERS)) & (n < LONG_ARTICLE), verdict(False, "", "access_page"))
+            .when(n < ARTICLE_CHARS, verdict(False, "", "too_short"))
+            .when(F.regexp_count(t, F.lit("[A-Za-z]{3,}")) < ARTICLE_WORDS, verdict(False, "", "low_text_density"))
+            .when(n >= LONG_ARTICLE, verdict(True, "high", ""))
+            .otherwise(verdict(True, "medium", ""))
+        )
+
+    return F.when(~present(text) | text.isNull(), verdict(False, "", "empty")).otherwise(let(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), judged))
 
 
 def long_words(text: Column) -> Column:
     """Lower-cased words of four letters or digits and more, in order; duplicates stay."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]{4,}"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{4,}"), F.lit(0))
 
 
-def matches_title(text: Column, there: Column, wanted: Column, share: float = 0.5) -> Column:
-    """Whether enough of the title's long words ``wanted`` are among the text's ``there``; titles of under three such words match.
-
-    Both are columns made before any join, so that each text is cut once and not once a pair.
-    """
+def matches_paper(text: Column, doi_: Column, title: Column) -> Column:
+    """Whether a text can be a paper's: it holds the DOI, or half of the title's long words; without three of these, yes."""
+    there, wanted = F.array_distinct(long_words(F.substring(text, 1, TITLE_PREFIX))), long_words(F.coalesce(title, F.lit("")))
+    holds_doi = present(doi_) & F.contains(F.regexp_replace(F.lower(text), r"(?U)\s+", ""), F.lower(doi_))
     missing = F.array_except(wanted, there)
     hits = F.size(F.filter(wanted, lambda w: ~F.array_contains(missing, w)))
-    return F.when(~present(text), False).when(F.size(wanted) < 3, True).otherwise(hits >= share * F.size(wanted))
+    return F.when(~present(text) | text.isNull(), False).when(F.coalesce(holds_doi, F.lit(False)), True).when(F.size(wanted) < 3, True).otherwise(hits >= TITLE_SHARE * F.size(wanted))
+
+
+def _without_closers(opener: str, closer: str) -> Callable[[Column], Column]:
+    """Without the closing brackets at the end that no opening one answers."""
+
+    def cut(c: Column) -> Column:
+        count = lambda x: F.length(c) - F.length(F.replace(c, F.lit(x)))
+        at_end = F.length(c) - F.length(F.regexp_replace(c, f"\\{closer}+$", ""))
+        return F.substring(c, F.lit(1), F.length(c) - F.least(at_end, F.greatest(count(closer) - count(opener), F.lit(0))))
+
+    return cut
 
 
 def doi(raw: Column) -> Column:
     """A DOI without wrappers, tails and closing punctuation; empty if there is none."""
-    plain = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
-    found = F.lower(F.regexp_extract(plain, r"(10\.\d{4,9}/\S+)", 1))
+    plain = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw, F.lit(""))
+    plain = F.regexp_replace(F.trim(plain), r"^(?i)(urn:doi:|doi:\s*)", "")
+    plain = F.regexp_replace(plain, r"^(?i)https?://(dx\.)?doi\.org/", "")
+    plain = F.regexp_replace(plain, "^[\\s<>\"']+|[\\s<>\"']+$", "")
+    found = F.lower(F.regexp_extract(plain, r"(?U)(10\.[0-9]{4,9}/\S+)", 1))
     found = F.regexp_replace(found, r"(\?|#|&amp;|&lt;|<).*$", "")
-    found = F.regexp_replace(found, r"/(full|pdf|abstract|html)$", "")
+    found = F.regexp_replace(found, r"/(full|abstract|pdf|epdf|html)(/pdf)?$", "")
     found = F.regexp_replace(found, r"[.,;:]+$", "")
-    opened, closed = F.length(found) - F.length(F.replace(found, F.lit("("))), F.length(found) - F.length(F.replace(found, F.lit(")")))
-    return F.when(closed > opened, F.regexp_replace(found, r"\)$", "")).otherwise(found)
+    for opener, closer in ("()", "[]", "{}"):
+        found = let(found, _without_closers(opener, closer))
+    return found
+
+
+@F.pandas_udf(StringType())
+def unescape(text: pd.Series) -> pd.Series:
+    """Character references decoded; Spark has no function for the whole set."""
+    import html
+
+    return text.map(html.unescape, na_action="ignore")
 
 
 def page_text(page: Column) -> Column:
-    """Text of a page: scripts and styles go, block ends become lines, tags go, common references are decoded."""
-    t = F.regexp_replace(page, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    t = F.regexp_replace(t, r"(?i)</(p|div|li|h[1-6]|tr)>|<br\s*/?>", "\n")
-    t = F.regexp_replace(t, r"<[^>]+>", " ")
-    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(ref), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "[ \t]+", " "), r" ?\n[ \n]*", "\n"))
+    """Text of a page: scripts and styles go, block ends become lines, tags go, references are decoded."""
+    t = F.regexp_replace(page, r"(?is)<script.*?>.*?</script>|<style.*?>.*?</style>", " ")
+    t = F.regexp_replace(t, r"(?i)<br\s*/?>|</p>|</div>|</li>|</h[1-6]>", "\n")
+    t = unescape(F.regexp_replace(t, r"<[^>]+>", " "))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[ \t\r\f\x0B]+", " "), r"(?U)\n\s*\n+", "\n"), r"(?U)^\s+|\s+$", "")
+
+
+@cache
+def _folds() -> tuple[str, str]:
+    """Letters beyond ASCII whose compatibility decomposition holds one ASCII letter, and these letters."""
+    source, target = [], []
+    for code in range(128, min(sys.maxunicode, 0x20000)):
+        c = chr(code)
+        plain = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if len(plain) == 1 and plain.isalpha():
+            source.append(c)
+            target.append(plain.lower())
+    return "".join(source), "".join(target)
 
 
-_ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+#: Letters that fold to several.
+_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "Ĳ": "ij", "ĳ": "ij", "Ǆ": "dz", "ǆ": "dz", "Ǉ": "lj", "ǉ": "lj", "Ǌ": "nj", "ǌ": "nj", "Ǳ": "dz", "ǳ": "dz"}
+
+
+def fold(text: Column) -> Column:
+    """Lower case, accents folded; other letters beyond ASCII go. Spark has no normalisation, so folding is a table made from Unicode's."""
+    for a, b in _LIGATURES.items():
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return F.regexp_replace(F.lower(F.translate(text, *_folds())), r"[^\x00-\x7F]", "")
 
 
 def name_key(name: Column) -> Column:
     """surname|initial of "Given Surname" or "Surname, Given"; accents are folded, other signs dropped."""
-    plain = F.translate(F.lower(name), *_ACCENTS)
-    last = F.when(F.contains(plain, F.lit(",")), F.substring_index(plain, ",", 1)).otherwise(F.substring_index(F.trim(plain), " ", -1))
-    given = F.when(F.contains(plain, F.lit(",")), F.trim(F.substring_index(plain, ",", -1))).otherwise(plain)
     letters = lambda c: F.regexp_replace(c, "[^a-z]", "")
-    return F.concat_ws("|", letters(last), F.substring(letters(given), 1, 1))
+
+    def keyed(plain: Column) -> Column:
+        comma = F.contains(plain, F.lit(","))
+        last = F.when(comma, F.substring_index(plain, ",", 1)).otherwise(F.regexp_extract(plain, r"(\S*)$", 1))
+        given = F.when(comma, F.regexp_extract(plain, "(?s),(.*)$", 1)).otherwise(F.regexp_replace(plain, r"\S*$", ""))
+        return F.concat_ws("|", letters(last), F.substring(letters(given), 1, 1))
+
+    return let(F.trim(fold(name)), keyed)
 
 
 def chunk_pack(parts: Column, size: int = 500) -> Column:
@@ -117,15 +203,22 @@ def chunk_pack(parts: Column, size: int = 500) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(a: Column, s: Column) -> Column:
-        joined = F.when(a.open == "", s).otherwise(F.concat(a.open, F.lit(" "), s))
+        joined = F.trim(F.concat(a.open, F.lit(" "), s))
         return F.when(F.length(joined) >= size, F.struct(F.array_append(a.done, joined).alias("done"), F.lit("").alias("open"))).otherwise(F.struct(a.done.alias("done"), joined.alias("open")))
 
     return F.aggregate(parts, start, step, lambda a: F.when(a.open == "", a.done).otherwise(F.array_append(a.done, a.open)))
 
 
+def imaging_chunks(text: Column, drop: str, imaging: str, n: int = 6, size: int = 500) -> Column:
+    """The ``n`` chunks that hold the most imaging words, without sentences that name the facility; ties in text order, each cut at 1.2 sizes."""
+    kept = F.filter(sentences(normalise(F.coalesce(text, F.lit("")))), lambda s: ~s.rlike(drop))
+    ranked = F.array_sort(F.transform(chunk_pack(kept, size), lambda c, i: F.struct((-F.regexp_count(c, F.lit(imaging))).alias("hits"), i.alias("i"), c.alias("c"))))
+    return F.transform(F.slice(ranked, 1, n), lambda x: F.substring(x.c, 1, int(size * 1.2)))
+
+
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """The Wilson interval of k of n, within 0 and 1; (0, 0) for n = 0."""
-    p = k / n
+    p = k / F.nullif(n, F.lit(0))
     middle, half = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     scale = 1 + z * z / n
     bound = lambda x: F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.functions.text import long_words, present
+from corvane.functions.text import TITLE_PREFIX, TITLE_SHARE, long_words, present
 
 
 def upsert(sources: list[DataFrame], key: str, fields: list[str], name: str = "source") -> DataFrame:
@@ -46,8 +46,8 @@ def best_matches(left: DataFrame, right: DataFrame, key: str, n: int, *order: Co
     return left.join(right, key).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def every_title(docs: DataFrame, titles: DataFrame, share: float = 0.5, prefix: int = 30000, pass_rows: int = 4096, block: int = 256, rows: int = 500) -> DataFrame:
-    """(doc_id, item_id): each row of ``docs`` (doc_id, text) with each row of ``titles`` (item_id, text) that ``matches_title`` accepts.
+def every_title(docs: DataFrame, titles: DataFrame, share: float = TITLE_SHARE, prefix: int = TITLE_PREFIX, pass_rows: int = 4096, block: int = 256, rows: int = 500) -> DataFrame:
+    """(doc_id, item_id): each row of ``docs`` (doc_id, text) with each row of ``titles`` (item_id, text) that ``matches_paper`` accepts as its title.
 
     All titles are compared: ``pass_rows`` of them are broadcast for one pass over the texts, and in a pass texts and
     titles meet as matrices of words, ``rows`` by ``block``.

@@ -1,83 +1,25 @@
-"""The screening engine's queries by name, and the SQL they are checked against.
+"""The screening engine's queries: texts, screening, merges and joins, streams.
 
-The driver's tables stand in for the engine's: documents for papers, ``source`` for the year, ``labels.quality`` for
-the confirmed set, labels of embeddings for years of vectors.
+The driver's tables stand in for the engine's: documents for papers, ``labels.quality`` for the confirmed set, labels of
+embeddings for years of vectors. ``review``, ``harvested`` and ``ranked`` register the others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions import text as T
-from corvane.operators import ranking, relational, screening
+from corvane.operators import relational, reports, screening
+from corvane.plans.registry import MAIL, NORM, ORACLES, PAPERS_SQL, PARTS, QUERIES, RULES, SCREENED, has_sql, papers, query, read, redact_sql
+from corvane.rules import java_pattern
 from corvane.streaming import events as stream
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-PROFILE = screening.Profile()
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-# ---- SQL fragments -----------------------------------------------------------------------------------------------
-
-NORM = r"trim(regexp_replace(regexp_replace(text, '([\p{L}\p{N}_])[-\x{00AD}\x{2010}]\s+([\p{L}\p{N}_])', '\1\2', 'g'), '\s+', ' ', 'g'))"
-PARTS = rf"string_split(regexp_replace({NORM}, '([.!?])\s+([A-Z0-9(])', '\1' || chr(1) || '\2', 'g'), chr(1))"
-WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
-
-
-def word_sql(x: str, listed: tuple[str, ...]) -> str:
-    return rf"regexp_matches(lower({x}), '(^|[^\p{{L}}\p{{N}}])({'|'.join(listed)})($|[^\p{{L}}\p{{N}}])')"
-
-
-def count_sql(listed: tuple[str, ...]) -> str:
-    return f"len(list_filter(all_words, lambda w: w IN ({', '.join(repr(w) for w in listed)})))"
+__all__ = ["ORACLES", "QUERIES"]
 
 
-def any_sql(condition: str) -> str:
-    return f"len(list_filter(parts, lambda s: {condition})) > 0"
-
-
-_P = PROFILE
-_CUE, _ONLY = word_sql("s", _P.cues), f"({word_sql('s', _P.affiliation)} AND NOT {word_sql('s', _P.thanks)})"
-SCREENED = f"""
-WITH base AS (SELECT doc_id, text, lang, source, {PARTS} AS parts, {WORDS} AS all_words FROM documents),
-seen AS (SELECT *, text IS NOT NULL AND text <> '' AS has_text, {any_sql(f'{_CUE} AND NOT {_ONLY}')} AS ack, {any_sql(f'{_CUE} AND {_ONLY}')} AS affil,
-  {any_sql(word_sql('s', _P.strong))} AS strong, {any_sql(word_sql('s', _P.elsewhere) + ' AND ' + word_sql('s', _P.thanks))} AS elsewhere,
-  {count_sql(_P.specialist)} AS specialist, {count_sql(_P.terms)} AS terms, {word_sql('text', _P.network)} AS network, lang = 'en' AS local FROM base),
-points AS (SELECT *, CASE WHEN NOT has_text THEN 'N' WHEN ack THEN 'A' WHEN strong THEN 'B' WHEN specialist > 0 AND local AND terms >= 5 THEN 'C' WHEN affil THEN 'D'
-    WHEN terms >= 5 AND network THEN 'E' WHEN terms >= 5 THEN 'F' ELSE 'G' END AS category,
-  CASE WHEN ack THEN 10 ELSE 0 END AS p1, CASE WHEN strong THEN 4 ELSE 0 END AS p2, least(specialist, 3) AS p3, CASE WHEN elsewhere AND NOT ack THEN -5 ELSE 0 END AS p4, CASE WHEN length(text) < 300 THEN -2 ELSE 0 END AS p5 FROM seen),
-screened AS (SELECT *, (p1 + p2 + p3 + p4 + p5)::INTEGER AS score,
-  array_to_string(list_filter([CASE WHEN p1 <> 0 THEN '+10 acknowledgement' END, CASE WHEN p2 <> 0 THEN '+4 strong instrument' END, CASE WHEN p3 <> 0 THEN '+' || p3 || ' specialist technique' END,
-    CASE WHEN p4 <> 0 THEN '-5 credited elsewhere' END, CASE WHEN p5 <> 0 THEN '-2 short text' END], lambda r: r IS NOT NULL), '; ') AS reasons FROM points),
-ranked AS (SELECT *, CASE WHEN score >= 10 AND ack THEN 'report' WHEN score >= 5 THEN 'check' ELSE 'low' END AS priority FROM screened)
-"""
-
-
-def screened(spark: SparkSession, d: str) -> DataFrame:
-    return screening.screen(read(spark, d, "documents"), PROFILE)
-
-
-# ---- text --------------------------------------------------------------------------------------------------------
+# ---- texts -------------------------------------------------------------------------------------------------------
 
 
 @query(f"SELECT doc_id, {NORM} AS clean FROM documents")
@@ -85,66 +27,72 @@ def normalise_text(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", T.normalise(F.col("text")).alias("clean"))
 
 
-@query(f"SELECT doc_id, len({PARTS})::BIGINT AS n_sentences FROM documents")
-def sentence_count(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", F.size(T.sentences(T.normalise(F.col("text")))).cast("long").alias("n_sentences"))
+@query(f"SELECT doc_id, unnest({PARTS}) AS sentence, generate_subscripts({PARTS}, 1)::INTEGER AS pos FROM documents")
+def sentence_list(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence of every text, with its place."""
+    return read(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(T.normalise(F.col("text")))).alias("p", "sentence")).select("doc_id", "sentence", (F.col("p") + 1).alias("pos"))
 
 
-@query(r"SELECT doc_id, substring(regexp_replace(trim(text), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), 1, 600) AS redacted FROM documents")
+@query(f"SELECT doc_id, {redact_sql('text')} AS redacted FROM documents")
 def redact_emails(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as sentences: masked and cut to a sentence's length."""
     return read(spark, d, "documents").select("doc_id", T.redact(F.col("text")).alias("redacted"))
 
 
-@query(r"SELECT doc_id, regexp_replace(trim(text), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g') AS redacted FROM documents")
+@query(f"SELECT doc_id, regexp_replace(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '{MAIL}', '[email]', 'g') AS redacted FROM documents")
 def redact_whole_texts(spark: SparkSession, d: str) -> DataFrame:
-    """``redact_emails`` without the cut at the length of an evidence sentence."""
     return read(spark, d, "documents").select("doc_id", T.redact(F.col("text"), None).alias("redacted"))
 
 
-@query(r"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT *, length(t) AS n, len(regexp_extract_all(t, '\p{L}{3,}')) AS dense FROM t),
-r AS (SELECT *, CASE WHEN trim(t) = '' THEN 'empty' WHEN regexp_matches(lower(t), '(access denied|enable javascript|verify you are human|log in to continue)') AND n < 10000 THEN 'access_page'
-  WHEN n < 1500 THEN 'too_short' WHEN dense < 200 THEN 'low_text_density' ELSE '' END AS reason FROM n)
-SELECT doc_id, reason = '' AS ok, CASE WHEN reason <> '' THEN '' WHEN n >= 10000 THEN 'high' ELSE 'medium' END AS quality, reason FROM r""")
+_COMPACT = rf"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
+
+
+@query(f"""
+WITH c AS (SELECT doc_id, coalesce(text, '') AS text, {_COMPACT} AS t FROM documents)
+SELECT doc_id, CASE WHEN text = '' THEN 'empty' WHEN regexp_matches(lower(t), '{'|'.join(T.ACCESS_MARKERS)}') AND length(t) < 10000 THEN 'access_page' WHEN length(t) < 1500 THEN 'too_short'
+  WHEN len(regexp_extract_all(t, '[A-Za-z]{{3,}}')) < 200 THEN 'low_text_density' ELSE '' END AS reason, CASE WHEN reason <> '' THEN '' WHEN length(t) >= 10000 THEN 'high' ELSE 'medium' END AS quality FROM c""")
 def article_check(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", T.article_check(F.col("text")).alias("v")).select("doc_id", "v.ok", "v.quality", "v.reason")
+    return read(spark, d, "documents").select("doc_id", T.article_check(F.col("text")).alias("v")).select("doc_id", "v.reason", "v.quality")
 
 
-@query(r"""
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(substring(text, 1, 30000)), '[\p{L}\p{N}]{4,}') AS there, text FROM documents),
-b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]{4,}') AS wanted FROM benchmark WHERE item_id < 10)
-SELECT doc_id, item_id FROM t, b WHERE text IS NOT NULL AND text <> '' AND (len(wanted) < 3 OR len(list_filter(wanted, lambda w: list_contains(there, w))) >= 0.5 * len(wanted))""")
+@query("""
+WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text[1:30000]), '[a-z0-9]{4,}')) AS there FROM documents WHERE text IS NOT NULL AND text <> ''),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]{4,}') AS wanted FROM benchmark WHERE text IS NOT NULL),
+w AS (SELECT item_id, unnest(wanted) AS word FROM b), h AS (SELECT doc_id, unnest(there) AS word FROM t), hits AS (SELECT doc_id, item_id, count(*) AS n FROM w JOIN h USING (word) GROUP BY ALL)
+SELECT doc_id, item_id FROM hits JOIN b USING (item_id) WHERE len(wanted) >= 3 AND n >= 0.5 * len(wanted) UNION ALL SELECT doc_id, item_id FROM t, b WHERE len(wanted) < 3""")
 def text_matches_title(spark: SparkSession, d: str) -> DataFrame:
-    """The ten first items stand for the titles of a stated query set."""
-    titles = F.broadcast(read(spark, d, "benchmark").filter("item_id < 10").select("item_id", T.long_words(F.col("text")).alias("wanted")))
-    docs = read(spark, d, "documents").select("doc_id", F.substring("text", 1, 1).alias("text"), F.array_distinct(T.long_words(F.substring("text", 1, 30000))).alias("there"))
-    return docs.join(titles, T.matches_title(F.col("text"), F.col("there"), F.col("wanted"))).select("doc_id", "item_id")
+    """Every document with every benchmark item that its text could be titled by."""
+    return relational.every_title(read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "benchmark").select("item_id", "text"))
 
 
-@query()
-def text_matches_every_title(spark: SparkSession, d: str) -> DataFrame:
-    """``text_matches_title`` with all items as titles. It has no SQL; a test holds it against brute force."""
-    return relational.every_title(read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "benchmark").select("item_id", "text"))
+@query(rf"""
+WITH {PAPERS_SQL}, t AS (SELECT doc_id, text, doi, lower(text[1:30000]) AS body, regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]{{4,}}') AS wanted FROM papers)
+SELECT doc_id, coalesce(text <> '' AND (contains(regexp_replace(lower(text), '\s+', '', 'g'), lower(doi)) OR len(wanted) < 3 OR len(list_filter(wanted, lambda w: list_contains(regexp_extract_all(body, '[a-z0-9]{{4,}}'), w))) >= 0.5 * len(wanted)), false) AS ok FROM t""")
+def text_is_the_papers(spark: SparkSession, d: str) -> DataFrame:
+    return papers(spark, d).select("doc_id", T.matches_paper(F.col("text"), F.col("doi"), F.col("title")).alias("ok"))
 
 
 _REFS = "x"
-for _ref, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+for _ref, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&#39;", "''"), ("&amp;", "&")):
     _REFS = f"replace({_REFS}, '{_ref}', '{_char}')"
 
 
 @query(rf"""
-WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g') AS x FROM pages),
-b AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?i)</(p|div|li|h[1-6]|tr)>|<br\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS x FROM a),
-c AS (SELECT page_id, {_REFS} AS x FROM b)
-SELECT page_id, trim(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')) AS page_text FROM c""")
+WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script.*?>.*?</script>|<style.*?>.*?</style>', ' ', 'g') AS x FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?i)<br\s*/?>|</p>|</div>|</li>|</h[1-6]>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS x FROM a), c AS (SELECT page_id, {_REFS} AS x FROM b)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(x, '[ \t\r\f\x0B]+', ' ', 'g'), '\n\s*\n+', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS page_text FROM c""")
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", T.page_text(F.col("html")).alias("page_text"))
 
 
-@query(r"SELECT page_id, len(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)))::BIGINT AS n_links, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))::BIGINT AS n_all FROM pages")
+@query(r"""
+WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS url, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) AS i FROM pages)
+SELECT page_id, url, min(i)::INTEGER AS first_at, count(*)::BIGINT AS times FROM l GROUP BY page_id, url""")
 def link_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """The links of each page, each once, where it stands first."""
     links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
-    return read(spark, d, "pages").select("page_id", F.size(F.array_distinct(links)).cast("long").alias("n_links"), F.size(links).cast("long").alias("n_all"))
+    rows = read(spark, d, "pages").select("page_id", F.posexplode(links).alias("i", "url"))
+    return rows.groupBy("page_id", "url").agg((F.min("i") + 1).alias("first_at"), F.count("*").alias("times"))
 
 
 @query(r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(url), '^https?://(www\.|m\.)?', ''), '[?#].*$', ''), '(/|\.html)$', '') AS clean_url FROM pages")
@@ -153,39 +101,79 @@ def url_normalise(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", F.regexp_replace(u, r"(/|\.html)$", "").alias("clean_url"))
 
 
-# DOIs don't occur in the tables; these literals stand for them.
-_DOIS = ["https://doi.org/10.1234/AB.c1", "doi:10.5555/x(1)y).", "10.1000/a%2Fb", "10.1000/q?ref=1", "none", "see 10.9999/zz/full", "10.1038/s1+2", "<a>10.1002/abc&amp;x</a>"]
-_DOIS_CLEAN = ["10.1234/ab.c1", "10.5555/x(1)y", "10.1000/a/b", "10.1000/q", "", "10.9999/zz", "10.1038/s1+2", "10.1002/abc"]
+#: DOIs don't occur in the tables: parts come as rows, wrapped in ways that both sides must undo.
+_WRAPS = ["https://doi.org/10.%s/AB.{k}", "doi:10.%s/x(1)y).{k}", "see 10.%s/a%%2F{k}b,", "<10.%s/q{k}?ref=1>", "10.%s/zz{k}/full", "10.%s/s{k}+2#top", "<a>10.%s/abc&amp;x{k}</a>", "no doi %s {k}", "10.%s/w[{k}]]", "URN:DOI:10.%s/v{k}/epdf/pdf"]
+
+
+def _wrapped(kind: Column, prefix: Column, key: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for i, w in enumerate(_WRAPS):
+        a, b = w.replace("%%", chr(1)).split("%s")
+        b, c = b.split("{k}")
+        out = F.when(kind == i, F.concat(F.lit(a.replace(chr(1), "%")), prefix, F.lit(b.replace(chr(1), "%")), key, F.lit(c.replace(chr(1), "%")))).otherwise(out)
+    return out
+
 
+def _wrapped_sql() -> str:
+    cases = []
+    for i, w in enumerate(_WRAPS):
+        a, b = w.replace("%%", chr(1)).split("%s")
+        b, c = b.split("{k}")
+        cases.append(f"WHEN {i} THEN '{a.replace(chr(1), '%')}' || prefix || '{b.replace(chr(1), '%')}' || p_partkey || '{c.replace(chr(1), '%')}'")
+    return "CASE p_partkey % 10 " + " ".join(cases) + " END"
 
-@query("SELECT r_regionkey, raw, clean FROM region, (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in zip(_DOIS, _DOIS_CLEAN, strict=True)) + ") AS v(raw, clean)")
+
+@query(rf"""
+WITH r AS (SELECT p_partkey, {_wrapped_sql()} AS raw FROM (SELECT p_partkey, (1000 + p_partkey % 9000)::VARCHAR AS prefix FROM part)),
+a AS (SELECT *, regexp_extract(regexp_replace(regexp_replace(trim(replace(raw, '%2F', '/')), '^(?i)(urn:doi:|doi:\s*)', ''), '^(?i)https?://(dx\.)?doi\.org/', ''), '10\.[0-9]{{4,9}}/\S+') AS m FROM r),
+b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(m, '[<>"'']+$', '')), '([?#]|&amp;|&lt;|<).*$', ''), '/(full|abstract|pdf|epdf|html)(/pdf)?$', ''), '[.,;:]+$', '') AS c FROM a),
+d AS (SELECT *, CASE WHEN len(string_split(c, ')')) > len(string_split(c, '(')) AND c LIKE '%)' THEN c[1:length(c) - 1] ELSE c END AS e FROM b)
+SELECT p_partkey, raw, CASE WHEN len(string_split(e, ']')) > len(string_split(e, '[')) AND e LIKE '%]' THEN e[1:length(e) - 1] ELSE e END AS clean FROM d""")
 def doi_normalise(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.explode(F.array(*(F.lit(x) for x in _DOIS)))
-    return read(spark, d, "region").select("r_regionkey", raw.alias("raw")).withColumn("clean", T.doi(F.col("raw")))
+    part = read(spark, d, "part").select("p_partkey", (1000 + F.col("p_partkey") % 9000).cast("string").alias("prefix"))
+    raw = part.select("p_partkey", _wrapped(F.col("p_partkey") % 10, F.col("prefix"), F.col("p_partkey").cast("string")).alias("raw"))
+    return raw.withColumn("clean", T.doi(F.col("raw")))
+
 
+_GIVEN, _FAMILY = ["Éva", "Åke", "Zoë", "Ólafur", "anna", "J.-P."], ["Ängström", "O'Neil", "Müller-Weiß", "Çelik", "de la Cruz", "Nuñez"]
 
-@query("SELECT c_custkey, lower(c_name[1:8]) || '|' || CASE WHEN c_custkey % 2 = 0 THEN 'e' ELSE 'a' END AS name_key FROM customer")
+
+@query(rf"""
+WITH n AS (SELECT c_custkey, CASE c_custkey % 2 WHEN 0 THEN g || ' ' || f || chr((65 + c_custkey % 26)::INTEGER) ELSE f || chr((65 + c_custkey % 26)::INTEGER) || ', ' || g END AS name
+  FROM (SELECT c_custkey, {_GIVEN!r}[(c_custkey % 6) + 1] AS g, {[f.replace("'", "''") for f in _FAMILY]!r}[((c_custkey // 6) % 6) + 1] AS f FROM customer)),
+p AS (SELECT c_custkey, name, lower(strip_accents(name)) AS x FROM n)
+SELECT c_custkey, name, regexp_replace(CASE WHEN contains(x, ',') THEN split_part(x, ',', 1) ELSE string_split(x, ' ')[-1] END, '[^a-z]', '', 'g') || '|' || left(regexp_replace(CASE WHEN contains(x, ',') THEN split_part(x, ',', 2) ELSE regexp_replace(x, '\S*$', '') END, '[^a-z]', '', 'g'), 1) AS name_key FROM p""".replace('"O', "'O").replace('l"', "l'"))
 def name_key(spark: SparkSession, d: str) -> DataFrame:
-    given = F.when(F.col("c_custkey") % 2 == 0, "Éva").otherwise("Åke")
-    return read(spark, d, "customer").select("c_custkey", T.name_key(F.concat(F.substring("c_name", 1, 8), F.lit(", "), given)).alias("name_key"))
+    i = F.col("c_custkey")
+    pick = lambda names, k: F.element_at(F.lit(names), (k % 6 + 1).cast("int"))
+    g, f, letter = pick(_GIVEN, i), pick(_FAMILY, F.floor(i / 6)), F.char(65 + i % 26)
+    name = F.when(i % 2 == 0, F.concat(g, F.lit(" "), f, letter)).otherwise(F.concat(f, letter, F.lit(", "), g))
+    return read(spark, d, "customer").select("c_custkey", name.alias("name")).withColumn("name_key", T.name_key(F.col("name")))
 
 
 # ---- screening ---------------------------------------------------------------------------------------------------
 
 
-@query(SCREENED + "SELECT doc_id, category FROM ranked")
+def screened(spark: SparkSession, d: str) -> DataFrame:
+    """All papers, screened by the synthetic rules."""
+    return screening.screen(papers(spark, d), RULES)
+
+
+@query(SCREENED + "SELECT doc_id, category, has_text FROM ranked")
 def category_cascade(spark: SparkSession, d: str) -> DataFrame:
-    return screened(spark, d).select("doc_id", "category")
+    return screened(spark, d).select("doc_id", "category", "has_text")
 
 
-@query(SCREENED + "SELECT category, count(*)::BIGINT AS n, (count(*) FILTER (has_text))::BIGINT AS with_text FROM ranked GROUP BY category")
+@query(SCREENED + "SELECT r.category, count(*)::BIGINT AS papers, (count(*) FILTER (has_text))::BIGINT AS with_text, (count(*) FILTER (l.quality = 1))::BIGINT AS on_list FROM ranked r LEFT JOIN labels l USING (doc_id) GROUP BY r.category")
 def category_summary(spark: SparkSession, d: str) -> DataFrame:
-    return screened(spark, d).groupBy("category").agg(F.count("*").alias("n"), F.count_if("has_text").alias("with_text"))
+    listed = read(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("doi"))
+    rows = screened(spark, d).select(F.col("doc_id").alias("doi"), "category", "has_text")
+    return reports.category_counts(rows, listed).select("category", "papers", "with_text", "on_list")
 
 
 @query(SCREENED + "SELECT doc_id, score, reasons FROM ranked")
 def score_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return screened(spark, d).select("doc_id", "score", "reasons")
+    return screened(spark, d).select("doc_id", "score", F.array_join("score_reasons", "; ").alias("reasons"))
 
 
 @query(SCREENED + "SELECT doc_id, priority FROM ranked")
@@ -193,60 +181,102 @@ def priority(spark: SparkSession, d: str) -> DataFrame:
     return screened(spark, d).select("doc_id", "priority")
 
 
-@query(SCREENED + "SELECT doc_id, ack, affil, strong FROM ranked")
-def cue_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return screened(spark, d).select("doc_id", "ack", "affil", "strong")
+@query(SCREENED + "SELECT doc_id, (score + private_points)::INTEGER AS private_score, private_priority FROM ranked WHERE private_points > 0 AND has_text")
+def private_view(spark: SparkSession, d: str) -> DataFrame:
+    """What bookings add: a second score that never touches the public one."""
+    return screened(spark, d).filter("private IS NOT NULL").select("doc_id", F.col("private.score").alias("private_score"), F.col("private.priority").alias("private_priority"))
+
+
+def _first_sql(name: str, n: int) -> str:
+    return f"array_to_string(list_transform({name}[1:{n}], lambda s: {redact_sql('s')}), ' | ')"
+
+
+@query(SCREENED + f"SELECT doc_id, {_first_sql('acks', 3)} AS acknowledgement, {_first_sql('affiliations', 2)} AS affiliation_only, {_first_sql('credits', 3)} AS credited_elsewhere, {_first_sql('aways', 2)} AS named_elsewhere, flowing AND NOT acked AS flowing_only, here FROM ranked")
+def sentence_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """What the sentences of each paper are evidence of."""
+    joined = lambda c: F.array_join(c, " | ")
+    rows = screened(spark, d)
+    return rows.select("doc_id", joined("acknowledgement").alias("acknowledgement"), joined("affiliation_only").alias("affiliation_only"), joined("credited_elsewhere").alias("credited_elsewhere"), joined("instrument_named_elsewhere").alias("named_elsewhere"), F.col("flowing_software_only").alias("flowing_only"), F.col("instrument_named_locally").alias("here"))
+
 
+@query(SCREENED + "SELECT doc_id, array_to_string(strong, ', ') AS strong, array_to_string(weak, ', ') AS weak, array_to_string(special, ', ') AS special, micro::INTEGER AS micro, network, other_local, local_email FROM ranked")
+def instrument_hits(spark: SparkSession, d: str) -> DataFrame:
+    rows = screened(spark, d)
+    listed = [F.array_join(c, ", ").alias(n) for c, n in (("instruments_strong", "strong"), ("instruments_weak", "weak"), ("techniques_specialist", "special"))]
+    return rows.select("doc_id", *listed, F.col("microscopy_terms").alias("micro"), F.col("network_named").alias("network"), F.col("other_local_imaging").alias("other_local"), "local_email")
 
-@query(SCREENED + "SELECT doc_id, terms::BIGINT AS terms, specialist::BIGINT AS specialist FROM ranked")
+
+@query(SCREENED + ", t AS (SELECT doc_id, unnest(counts) AS c FROM ranked) SELECT doc_id, c.id AS technique, c.n::INTEGER AS n FROM t")
 def pattern_counts(spark: SparkSession, d: str) -> DataFrame:
-    return screened(spark, d).select("doc_id", F.col("terms").cast("long"), F.col("specialist").cast("long"))
+    return screened(spark, d).select("doc_id", F.explode("techniques").alias("technique", "n"))
 
 
-@query(SCREENED + "SELECT doc_id, elsewhere FROM ranked WHERE elsewhere")
-def credited_elsewhere(spark: SparkSession, d: str) -> DataFrame:
-    return screened(spark, d).filter("elsewhere").select("doc_id", "elsewhere")
+@query(SCREENED + ", t AS (SELECT doc_id, unnest(prints) AS q FROM ranked) SELECT doc_id, q.id AS instrument, array_to_string(q.value, '; ') AS parts FROM t")
+def component_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return screened(spark, d).select("doc_id", F.explode("fingerprints").alias("instrument", "v")).select("doc_id", "instrument", F.array_join("v", "; ").alias("parts"))
 
 
 @query(rf"""
-WITH RECURSIVE e AS (SELECT doc_id, list_filter({PARTS}, lambda s: {word_sql('s', _P.terms)}) AS found FROM documents),
+WITH RECURSIVE e AS (SELECT doc_id, list_transform(list_filter({PARTS}, lambda s: {has_sql('s', '(?:' + RULES.evidence + ')')}), lambda s: {redact_sql('s')}) AS found FROM documents),
 p AS (SELECT doc_id, s, min(i) AS i FROM (SELECT doc_id, unnest(found) AS s, generate_subscripts(found, 1) AS i FROM e) GROUP BY doc_id, s),
 w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
 SELECT d.doc_id, coalesce(string_agg(s, ' | ' ORDER BY k), '') AS evidence FROM documents d LEFT JOIN w ON w.doc_id = d.doc_id AND k <= 14 AND before < 3500 GROUP BY d.doc_id""")
 def evidence_capped(spark: SparkSession, d: str) -> DataFrame:
-    found = F.filter(T.sentences(T.normalise(F.col("text"))), lambda s: T.has_word(s, *PROFILE.terms))
+    found = F.filter(T.sentences(T.normalise(F.col("text"))), lambda s: screening.has(s, RULES.evidence))
     return read(spark, d, "documents").select("doc_id", F.array_join(T.evidence(found), " | ").alias("evidence"))
 
 
-@query(SCREENED + ", dims AS (SELECT unnest(['thble', 'erble', 'attion', 'nosuchterm']) AS technique), hits AS (SELECT doc_id, category, unnest(list_distinct(all_words)) AS technique FROM ranked)"
-       " SELECT d.technique, count(h.doc_id)::BIGINT AS papers, (count(*) FILTER (h.category = 'A'))::BIGINT AS acknowledged, (count(*) FILTER (l.quality = 1))::BIGINT AS confirmed"
-       " FROM dims d LEFT JOIN hits h USING (technique) LEFT JOIN labels l ON l.doc_id = h.doc_id GROUP BY d.technique")
+@query(SCREENED + f", dims AS (SELECT unnest({[dict(technique=t.id, vocab=t.vocab, strength=t.strength) for t in RULES.techniques]!r}) AS t), hits AS (SELECT doc_id, category, unnest(counts).id AS technique FROM ranked WHERE has_text)"
+       " SELECT t.technique, t.vocab, t.strength, count(h.doc_id)::BIGINT AS papers, (count(*) FILTER (h.category = 'A'))::BIGINT AS acknowledging_facility, (count(*) FILTER (l.quality = 1))::BIGINT AS confirmed, (count(*) FILTER (h.category IN ('A', 'B', 'C', 'D', 'E')))::BIGINT AS leads"
+       " FROM dims LEFT JOIN hits h ON h.technique = t.technique LEFT JOIN labels l ON l.doc_id = h.doc_id GROUP BY ALL")
 def technique_table(spark: SparkSession, d: str) -> DataFrame:
-    dims = spark.createDataFrame([("thble",), ("erble",), ("attion",), ("nosuchterm",)], "technique string")
-    listed = F.array(*(F.lit(x) for x in ("thble", "erble", "attion")))
-    hits = screened(spark, d).select("doc_id", "category", F.explode(F.array_intersect(F.array_distinct("all_words"), listed)).alias("technique")).join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    counts = hits.groupBy("technique").agg(F.count("*").alias("papers"), F.count_if(F.col("category") == "A").alias("acknowledged"), F.count_if(F.col("quality") == 1).alias("confirmed"))
-    return dims.join(counts, "technique", "left").na.fill(0)
+    listed = read(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("doi"))
+    return reports.technique_counts(screened(spark, d).select(F.col("doc_id").alias("doi"), "has_text", "category", "techniques"), listed, RULES)
 
 
-@query(r"""
-WITH t AS (SELECT doc_id, lower(text) AS t FROM documents), s AS (SELECT *, string_split_regex(t, 'hehely') AS g FROM t WHERE t IS NOT NULL),
-m AS (SELECT doc_id, t, unnest(range(1, len(g))) AS k, g FROM s), o AS (SELECT doc_id, t, list_sum(list_transform(g[1:k], lambda x: length(x))) + 6 * (k - 1) AS s FROM m),
-w AS (SELECT doc_id, substring(t, (greatest(s - 600, 0) + 1)::BIGINT, (least(s + 606, length(t)) - greatest(s - 600, 0))::BIGINT) AS w FROM o),
-f AS (SELECT doc_id, w FROM w WHERE NOT contains(w, 'inoran')),
-c AS (SELECT DISTINCT doc_id, c FROM f, (VALUES ('thble'), ('erble'), ('attion')) AS v(c) WHERE contains(w, c))
-SELECT s.doc_id, (len(g) - 1)::BIGINT AS n_mentions, coalesce((SELECT string_agg(c, '; ' ORDER BY c) FROM c WHERE c.doc_id = s.doc_id), '') AS parts FROM s""")
-def component_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return screening.fingerprint(read(spark, d, "documents"), "hehely", ("thble", "erble", "attion"), "inoran")
+def _chunks_sql(parts: str) -> str:
+    return f"""list_reduce(list_prepend(chr(2), {parts}), lambda a, s: CASE WHEN length(string_split(a, chr(2))[-1]) + CASE WHEN string_split(a, chr(2))[-1] = '' THEN 0 ELSE 1 END + length(s) >= 500
+   THEN a || CASE WHEN string_split(a, chr(2))[-1] = '' THEN '' ELSE ' ' END || s || chr(2) ELSE a || CASE WHEN string_split(a, chr(2))[-1] = '' THEN '' ELSE ' ' END || s END)"""
 
 
 @query(rf"""
-WITH p AS (SELECT doc_id, {PARTS} AS parts FROM documents),
-f AS (SELECT doc_id, list_reduce(list_prepend(chr(2), parts), lambda a, s: CASE WHEN length(string_split(a, chr(2))[-1]) + CASE WHEN string_split(a, chr(2))[-1] = '' THEN 0 ELSE 1 END + length(s) >= 500
-   THEN a || CASE WHEN string_split(a, chr(2))[-1] = '' THEN '' ELSE ' ' END || s || chr(2) ELSE a || CASE WHEN string_split(a, chr(2))[-1] = '' THEN '' ELSE ' ' END || s END) AS z FROM p)
-SELECT doc_id, len(list_filter(string_split(z, chr(2)), lambda x: x <> ''))::BIGINT AS n_chunks FROM f""")
+WITH p AS (SELECT doc_id, {PARTS} AS parts FROM documents), f AS (SELECT doc_id, list_filter(string_split({_chunks_sql('parts')}, chr(2)), lambda x: x <> '') AS c FROM p)
+SELECT doc_id, unnest(c) AS chunk, generate_subscripts(c, 1)::INTEGER AS pos FROM f""")
 def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", F.size(T.chunk_pack(T.sentences(T.normalise(F.col("text"))))).cast("long").alias("n_chunks"))
+    rows = read(spark, d, "documents").select("doc_id", F.posexplode(T.chunk_pack(T.sentences(T.normalise(F.col("text"))))).alias("p", "chunk"))
+    return rows.select("doc_id", "chunk", (F.col("p") + 1).alias("pos"))
+
+
+@query(rf"""
+WITH p AS (SELECT doc_id, list_filter({PARTS}, lambda s: NOT {has_sql('s', RULES.facility_terms)}) AS parts FROM documents), f AS (SELECT doc_id, list_filter(string_split({_chunks_sql('parts')}, chr(2)), lambda x: x <> '') AS c FROM p WHERE len(parts) > 0),
+u AS (SELECT doc_id, unnest(c) AS chunk, generate_subscripts(c, 1) AS i FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len(regexp_extract_all(chunk, '{RULES.imaging}', 0, 'i')) DESC, i) AS k FROM u)
+SELECT doc_id, chunk[1:600] AS chunk, k::INTEGER AS pos FROM r WHERE k <= 6""")
+def chunk_top6(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of each paper that say most about imaging, without sentences that name the facility."""
+    best = T.imaging_chunks(F.col("text"), java_pattern(RULES.facility_terms), java_pattern(RULES.imaging))
+    rows = read(spark, d, "documents").select("doc_id", F.posexplode(best).alias("p", "chunk"))
+    return rows.select("doc_id", "chunk", (F.col("p") + 1).alias("pos"))
+
+
+@query(f"""
+WITH {PAPERS_SQL}, own AS (SELECT doi, year, unnest(local_authors) AS author FROM papers), past AS (SELECT year, unnest(local_authors) AS author FROM papers WHERE doc_id % 4 = 0)
+SELECT p.doi, p.doi IN (SELECT o.doi FROM own o JOIN past h ON o.author = h.author AND o.year <> h.year) AS repeat_user FROM papers p""")
+def repeat_user_papers(spark: SparkSession, d: str) -> DataFrame:
+    """Papers with an author of an acknowledging paper of another year; every fourth paper acknowledges."""
+    own = papers(spark, d).select("doc_id", "doi", "year", "local_authors")
+    return screening.with_history(own, own.filter("doc_id % 4 = 0")).select("doi", "repeat_user")
+
+
+@query(f"""
+WITH {PAPERS_SQL}, own AS (SELECT doi, year, unnest(local_authors) AS author FROM papers), keyed AS (SELECT doi, year, lower(split_part(author, ',', 1)) || '|' || lower(split_part(author, ', ', 2)[1]) AS key FROM own),
+b AS (SELECT DISTINCT lower(chr((65 + c_custkey % 20)::INTEGER)) || 'essoa|' || chr((97 + c_custkey % 5)::INTEGER) AS key, (2010 + c_custkey % 9)::INTEGER AS year, 'scope-' || chr((97 + c_custkey % 3)::INTEGER) AS instrument FROM customer)
+SELECT doi, count(*)::BIGINT AS n, string_agg(DISTINCT b.instrument, ', ' ORDER BY b.instrument) AS instruments FROM (SELECT DISTINCT k.doi, b.year, b.instrument FROM keyed k JOIN b ON k.key = b.key AND k.year - b.year BETWEEN -1 AND 3) b GROUP BY doi""")
+def booking_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Bookings of each paper's authors in the years that count."""
+    i = F.col("c_custkey")
+    bookings = read(spark, d, "customer").select(F.concat(F.lower(F.char(65 + i % 20)), F.lit("essoa|"), F.char(97 + i % 5)).alias("key"), (2010 + i % 9).cast("int").alias("year"), F.concat(F.lit("scope-"), F.char(97 + i % 3)).alias("instrument"))
+    rows = screening.with_bookings(papers(spark, d).select("doi", "year", "local_authors"), bookings).filter("bookings IS NOT NULL")
+    return rows.select("doi", F.size("bookings").cast("long").alias("n"), F.array_join(F.array_sort(F.array_distinct(F.transform("bookings", lambda b: b.instrument))), ", ").alias("instruments"))
 
 
 # ---- merges and joins --------------------------------------------------------------------------------------------
@@ -299,38 +329,6 @@ def repeat_user(spark: SparkSession, d: str) -> DataFrame:
     return o.join(years, "o_custkey").filter("lo <> y OR hi <> y").select("o_orderkey")
 
 
-@query("""
-WITH pasted AS (SELECT p_partkey AS pos, p_partkey % 700 AS id, p_size FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS k FROM pasted),
-held AS (SELECT s_suppkey AS id FROM supplier)
-SELECT pos, CASE WHEN h.id IS NOT NULL AND p_size > 25 AND k = 1 THEN 'moved' WHEN h.id IS NOT NULL OR k > 1 THEN 'already' WHEN p_size < 3 THEN 'not filed' ELSE 'added' END AS status
-FROM r LEFT JOIN held h ON h.id = r.id""")
-def papers_merge_status(spark: SparkSession, d: str) -> DataFrame:
-    pasted = read(spark, d, "part").select(F.col("p_partkey").alias("pos"), (F.col("p_partkey") % 700).alias("id"), "p_size")
-    r = pasted.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("pos")))
-    held = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(True).alias("held"))
-    known = F.col("held").isNotNull()
-    status = F.when(known & (F.col("p_size") > 25) & (F.col("k") == 1), "moved").when(known | (F.col("k") > 1), "already").when(F.col("p_size") < 3, "not filed").otherwise("added")
-    return r.join(held, "id", "left").select("pos", status.alias("status"))
-
-
-@query("""SELECT 'bad price' AS problem, p_partkey FROM part WHERE p_retailprice > 2000 UNION ALL SELECT 'no colour', p_partkey FROM part WHERE p_name NOT LIKE '% %'
-UNION ALL SELECT 'size', p_partkey FROM part WHERE p_size NOT BETWEEN 2 AND 49""")
-def papers_check(spark: SparkSession, d: str) -> DataFrame:
-    """All constraints in one scan: each row gives the problems it has."""
-    tests = {"bad price": F.col("p_retailprice") > 2000, "no colour": ~F.contains("p_name", F.lit(" ")), "size": ~F.col("p_size").between(2, 49)}
-    problems = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in tests.items())))
-    return read(spark, d, "part").select(F.explode(problems).alias("problem"), "p_partkey")
-
-
-@query("""SELECT p_type, count(DISTINCT p_brand)::BIGINT AS brands, string_agg(DISTINCT p_brand, '; ' ORDER BY p_brand) AS listed FROM part
-WHERE p_brand NOT IN (SELECT DISTINCT p_brand FROM part WHERE p_size = 50) OR p_size < 10 GROUP BY p_type""")
-def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
-    part = read(spark, d, "part").select("p_type", "p_brand", "p_size")
-    known = part.filter("p_size = 50").select("p_brand").distinct().withColumn("known", F.lit(True))
-    rest = part.join(known, "p_brand", "left").filter("known IS NULL OR p_size < 10")
-    return rest.groupBy("p_type").agg(F.count_distinct("p_brand").alias("brands"), F.array_join(F.array_sort(F.collect_set("p_brand")), "; ").alias("listed"))
-
-
 @query("""SELECT d.doc_id, CASE WHEN length(d.text) >= 1500 THEN 'text' WHEN p.page_id IS NOT NULL THEN 'page' WHEN b.item_id IS NOT NULL THEN 'item' ELSE 'none' END AS text_source
 FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id LEFT JOIN benchmark b ON b.item_id = d.doc_id""")
 def priority_coalesce(spark: SparkSession, d: str) -> DataFrame:
@@ -341,140 +339,6 @@ def priority_coalesce(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.when(F.col("good"), "text").when(F.col("page"), "page").when(F.col("item"), "item").otherwise("none").alias("text_source"))
 
 
-# ---- validation and review ---------------------------------------------------------------------------------------
-
-_FLAGS = SCREENED + ", f AS (SELECT r.source, r.priority <> 'low' AS flagged, coalesce(l.quality = 1, false) AS listed, has_text, r.doc_id, r.category, l.toxic, l.quality, r.priority, r.score FROM ranked r LEFT JOIN labels l USING (doc_id))"
-_WILSON = "round(greatest(0, least(1, (found / listed::DOUBLE + 1.96 * 1.96 / (2 * listed) - 1.96 * sqrt(found / listed::DOUBLE * (1 - found / listed::DOUBLE) / listed + 1.96 * 1.96 / (4.0 * listed * listed))) / (1 + 1.96 * 1.96 / listed))), 6)"
-
-
-def flags(spark: SparkSession, d: str) -> DataFrame:
-    labels = read(spark, d, "labels").select("doc_id", "quality", "toxic")
-    return screened(spark, d).select("doc_id", "source", "category", "priority", "score", "has_text").join(labels, "doc_id", "left").withColumns({"flagged": F.col("priority") != "low", "listed": F.coalesce(F.col("quality") == 1, F.lit(False))})
-
-
-@query(_FLAGS + f", c AS (SELECT source, (count(*) FILTER (listed))::BIGINT AS listed, (count(*) FILTER (listed AND flagged))::BIGINT AS found, (count(*) FILTER (flagged AND NOT listed))::BIGINT AS new FROM f GROUP BY source) SELECT *, round(CASE WHEN listed > 0 THEN found / listed::DOUBLE END, 6) AS recall, CASE WHEN listed = 0 THEN 0 ELSE {_WILSON} END AS low FROM c")
-def recall_summary(spark: SparkSession, d: str) -> DataFrame:
-    c = flags(spark, d).groupBy("source").agg(F.count_if("listed").alias("listed"), F.count_if(F.col("listed") & F.col("flagged")).alias("found"), F.count_if(F.col("flagged") & ~F.col("listed")).alias("new"))
-    low, _ = T.wilson(F.col("found").cast("double"), F.col("listed"))
-    return c.select("*", F.round(F.when(F.col("listed") > 0, F.col("found") / F.col("listed")), 6).alias("recall"), F.round(low, 6).alias("low"))
-
-
-@query(_FLAGS + " SELECT coalesce(source, 'all') AS source, (count(*) FILTER (listed))::BIGINT AS listed, (count(*) FILTER (listed AND flagged))::BIGINT AS found FROM f GROUP BY ROLLUP (source)")
-def recall_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return flags(spark, d).rollup("source").agg(F.count_if("listed").alias("listed"), F.count_if(F.col("listed") & F.col("flagged")).alias("found")).withColumn("source", F.coalesce("source", F.lit("all")))
-
-
-@query(_FLAGS + " SELECT doc_id, CASE WHEN NOT has_text THEN 'no text' WHEN category = 'G' THEN 'no evidence' WHEN score < 0 THEN 'penalised' ELSE 'below threshold' END AS missed FROM f WHERE listed AND NOT flagged")
-def miss_reasons(spark: SparkSession, d: str) -> DataFrame:
-    why = F.when(~F.col("has_text"), "no text").when(F.col("category") == "G", "no evidence").when(F.col("score") < 0, "penalised").otherwise("below threshold")
-    return flags(spark, d).filter("listed AND NOT flagged").select("doc_id", why.alias("missed"))
-
-
-_VERDICT = "CASE WHEN toxic = 1 THEN 'no' WHEN quality = 1 THEN 'yes' ELSE 'likely' END"
-
-
-@query(_FLAGS + f" SELECT priority, (count(*) FILTER ({_VERDICT} = 'yes'))::BIGINT AS yes, (count(*) FILTER ({_VERDICT} = 'likely'))::BIGINT AS likely, (count(*) FILTER ({_VERDICT} = 'no'))::BIGINT AS no FROM f WHERE quality IS NOT NULL GROUP BY priority")
-def feedback_groups(spark: SparkSession, d: str) -> DataFrame:
-    verdict = F.when(F.col("toxic") == 1, "no").when(F.col("quality") == 1, "yes").otherwise("likely")
-    return flags(spark, d).filter("quality IS NOT NULL").withColumn("verdict", verdict).groupBy("priority").pivot("verdict", ["yes", "likely", "no"]).agg(F.count("verdict")).na.fill(0)
-
-
-@query(_FLAGS + ", r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS k FROM f)"
-       " SELECT CASE WHEN k <= 5 THEN '1-5' WHEN k <= 10 THEN '6-10' WHEN k <= 20 THEN '11-20' ELSE '21+' END AS band, (count(*) FILTER (quality IS NOT NULL))::BIGINT AS reviewed, (count(*) FILTER (listed))::BIGINT AS yes FROM r GROUP BY 1")
-def feedback_bands(spark: SparkSession, d: str) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "doc_id"))
-    band = F.when(F.col("k") <= 5, "1-5").when(F.col("k") <= 10, "6-10").when(F.col("k") <= 20, "11-20").otherwise("21+")
-    return flags(spark, d).withColumn("k", k).groupBy(band.alias("band")).agg(F.count_if(F.col("quality").isNotNull()).alias("reviewed"), F.count_if("listed").alias("yes"))
-
-
-@query(_FLAGS + " SELECT doc_id, category FROM f WHERE quality = 1 AND toxic = 0 AND priority = 'low' AND category IN ('E', 'F', 'G')")
-def rules_missed(spark: SparkSession, d: str) -> DataFrame:
-    return flags(spark, d).filter("quality = 1 AND toxic = 0 AND priority = 'low' AND category IN ('E', 'F', 'G')").select("doc_id", "category")
-
-
-@query("SELECT conv_id, role AS verdict, text AS note FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")
-def verdict_carry(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "conversations").groupBy("conv_id").agg(F.max_by(F.struct(F.col("role").alias("verdict"), F.col("text").alias("note")), "turn").alias("r")).select("conv_id", "r.*")
-
-
-@query("SELECT conv_id, turn FROM conversations WHERE role = 'user' AND conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')")
-def pending_review(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "conversations").select("conv_id", "turn", "role")
-    return c.filter("role = 'user'").join(c.filter("role = 'system'").select("conv_id"), "conv_id", "left_anti").select("conv_id", "turn")
-
-
-_MAILS = r"regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')"
-
-
-@query(f"SELECT lower(email) AS email, min(email) AS spelling, count(DISTINCT doc_id)::BIGINT AS papers, string_agg(DISTINCT source, '; ' ORDER BY source) AS sources FROM (SELECT doc_id, source, unnest({_MAILS}) AS email FROM documents) GROUP BY lower(email)")
-def contact_rows(spark: SparkSession, d: str) -> DataFrame:
-    mails = read(spark, d, "documents").select("doc_id", "source", F.explode(F.regexp_extract_all("text", F.lit(T.EMAIL), F.lit(0))).alias("m"))
-    return mails.groupBy(F.lower("m").alias("email")).agg(F.min("m").alias("spelling"), F.count_distinct("doc_id").alias("papers"), F.array_join(F.array_sort(F.collect_set("source")), "; ").alias("sources"))
-
-
-# ---- ranking -----------------------------------------------------------------------------------------------------
-
-_UNIT = "WITH n AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS v FROM n), pairs AS (SELECT a.vec_id AS id, b.vec_id AS known, list_dot_product(a.v, b.v) AS cosine FROM u a JOIN u b ON a.label = 0 AND b.label = 1)"
-
-
-def vectors(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "embeddings").select("vec_id", "label", ranking.unit(F.col("embedding")).alias("v"))
-
-
-def year_pairs(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d)
-    return ranking.similarities(v.filter("label = 0").select(F.col("vec_id").alias("id"), "v"), v.filter("label = 1").select(F.col("vec_id").alias("known"), F.col("v").alias("u")))
-
-
-@query(_UNIT + " SELECT id, round(avg(cosine), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, known) AS r FROM pairs) WHERE r <= 5 GROUP BY id")
-def knn_mean(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.knn_mean(year_pairs(spark, d)).select("id", F.round("score", 6).alias("score"))
-
-
-@query(_UNIT + " SELECT DISTINCT known FROM pairs WHERE cosine > 0.3")
-def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return year_pairs(spark, d).filter("cosine > 0.3").select("known").distinct()
-
-
-@query(_UNIT + ", k AS (SELECT id, avg(cosine) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, known) AS r FROM pairs) WHERE r <= 5 GROUP BY id) SELECT id, (row_number() OVER (ORDER BY round(score, 9) DESC, id))::INTEGER AS rank FROM k")
-def rank_sheet(spark: SparkSession, d: str) -> DataFrame:
-    """A review sheet of one year: its rows are what one facility publishes in a year."""
-    k = ranking.knn_mean(year_pairs(spark, d))
-    return k.select("id", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "id")).alias("rank"))
-
-
-@query("WITH n AS (SELECT label, unnest(list_transform(embedding, lambda x: x::DOUBLE)) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM n GROUP BY label, i), l AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY label) SELECT label, i::INTEGER AS dim, round(x / n, 6) AS value FROM m JOIN l USING (label)")
-def paper_vectors(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("p", "x"))
-    m = rows.groupBy("label", (F.col("p") + 1).alias("dim")).agg(F.avg(F.col("x").cast("double")).alias("x"))
-    n = m.groupBy("label").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
-    return m.join(n, "label").select("label", "dim", F.round(F.col("x") / F.col("n"), 6).alias("value"))
-
-
-@query("SELECT e.vec_id, CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS y FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id WHERE e.label <> 0 AND NOT (l.quality = 1 AND l.toxic = 1)")
-def training_sets(spark: SparkSession, d: str) -> DataFrame:
-    e, l = read(spark, d, "embeddings").select("vec_id", "label"), read(spark, d, "labels")
-    return e.filter("label <> 0").join(l.withColumnRenamed("doc_id", "vec_id"), "vec_id").filter("NOT (quality = 1 AND toxic = 1)").select("vec_id", F.when(F.col("quality") == 1, 1).otherwise(0).alias("y"))
-
-
-@query()
-def logreg_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Iterative fitting has no SQL; a test holds it against Newton's method."""
-    rows = vectors(spark, d).join(training_sets(spark, d), "vec_id", "left").select(F.col("vec_id").alias("id"), "v", F.col("y").cast("double"))
-    return ranking.logistic_margin(rows).select("id", F.round("margin", 4).alias("margin"))
-
-
-@query(r"""
-WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.5 * (SELECT n FROM n)),
-w AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n), l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM w GROUP BY doc_id)
-SELECT doc_id, term, round(w / l, 6) AS weight FROM w JOIN l USING (doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(w / l, 6) DESC, term) <= 5""")
-def tfidf_top_terms(spark: SparkSession, d: str) -> DataFrame:
-    w = ranking.tfidf(read(spark, d, "documents").select("doc_id", "text")).withColumn("weight", F.round("weight", 6))
-    k = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term"))
-    return w.withColumn("k", k).filter("k <= 5").drop("k")
-
-
 # ---- streaming extension -----------------------------------------------------------------------------------------
 
 
@@ -483,6 +347,8 @@ def events_daily_window(spark: SparkSession, d: str) -> DataFrame:
     return stream.daily_counts(read(spark, d, "events"))
 
 
-@query("SELECT count(DISTINCT event_id)::BIGINT AS n FROM events")
+@query("SELECT event_id, arg_min(event_type, ts) AS event_type, min(ts) AS ts FROM events GROUP BY event_id")
 def events_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return stream.distinct_events(read(spark, d, "events")).agg(F.count("*").alias("n"))
+    """The first of the rows of each event."""
+    first = F.min_by(F.struct("event_type", "ts"), "ts").alias("e")
+    return read(spark, d, "events").groupBy("event_id").agg(first).select("event_id", "e.event_type", "e.ts")
