@@ -25,6 +25,8 @@ from corvane.llm.common import Workspace, ascii_lower, table, unused
 
 #: Batches that the corpus is added in; a document's rows are all in one batch.
 BATCHES = 4
+#: Lines of the corpus for each bucket of a run.
+BUCKET_LINES = 500_000
 _BLANK = "\t\n\x0b\f\r "
 HASH = ["h1", "h2"]
 
@@ -133,7 +135,7 @@ def dropped_lines(docs: DataFrame, ws: Workspace, min_chars: int, min_docs: int,
     """(doc_id, text_hash, dropped): the sorted positions of the lines that each document loses; only documents that lose some."""
     part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(batches)).cast("int")
     lines = ws.save(line_table(docs, min_chars).withColumn("part", part), "lines", "part")
-    runs = LineRuns(ws, int(ws.spark.conf.get("spark.sql.shuffle.partitions")))
+    runs = LineRuns(ws, min(50_000, max(8, -(-lines.count() // BUCKET_LINES))))
     for k in range(batches):
         runs.add(lines.filter(F.col("part") == k))
     common = ws.save(runs.common(min_docs), "common")
