@@ -8,7 +8,9 @@ covered to ``threshold`` or more contaminates the document, in whatever order it
 
 Test items are a stated query set: they are read in blocks of bounded size, each broadcast and held against all
 documents; documents are never shuffled. Null or empty texts, and items of fewer than ``min_match`` tokens, match
-nothing. Repeated documents or items give repeated rows.
+nothing. Repeated documents or items give repeated rows; null ids stay null. Hits of a document and an item are worked
+on HITS at a time, so that repetitive ones need bounded memory. Empty tables give no rows, or drop none. Further columns
+of the documents don't reach a result; ``drop_contaminated`` keeps them all.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import LETTERS, flat_bytes, grouped, mix64, small_batches, table, word_hashes
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, HITS = 16 << 20, 1 << 21
 
 
 def windows(h: np.ndarray, size: int) -> np.ndarray:
@@ -36,15 +38,19 @@ def windows(h: np.ndarray, size: int) -> np.ndarray:
     return mix64(out)
 
 
-def maximal_matches(doc_at: np.ndarray, item_at: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """(length, item position, document position) of maximal matches from seed hits."""
-    diagonal = doc_at - item_at
-    order = np.lexsort((item_at, diagonal))
-    d, t = diagonal[order], item_at[order]
-    fresh = np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1] + 1))
-    first = np.flatnonzero(fresh)
-    last = np.append(first[1:], len(d)) - 1
-    return list(zip((t[last] - t[first] + size).tolist(), t[first].tolist(), (t[first] + d[first]).tolist(), strict=True))
+def _joined(diagonal: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (diagonal, first, last item position) with those that follow each other on a diagonal made one."""
+    order = np.lexsort((first, diagonal))
+    d, a, z = diagonal[order], first[order], last[order]
+    starts = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (a[1:] != z[:-1] + 1)))
+    return d[starts], a[starts], z[np.append(starts[1:], len(d)) - 1]
+
+
+def maximal_matches(hits: Iterator[tuple[np.ndarray, np.ndarray]], size: int) -> list[tuple[int, int, int]]:
+    """(length, item position, document position) of maximal matches from seed hits (document positions, item positions), given part by part."""
+    parts = [_joined(doc_at - item_at, item_at, item_at) for doc_at, item_at in hits]
+    d, a, z = _joined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    return list(zip((z - a + size).tolist(), a.tolist(), (a + d).tolist(), strict=True))
 
 
 def tile(matches: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int]]:
@@ -92,6 +98,26 @@ class Items:
         seed = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
         order = np.argsort(seed, kind="stable")
         self.seed, self.item, self.at = seed[order], np.array(item, np.int64)[order], np.array(at, np.int64)[order]
+        # the seeds of each item by themselves, in order
+        own = np.argsort(self.item, kind="stable")
+        cuts = np.searchsorted(self.item[own], np.arange(len(ids) + 1))
+        self.own = [(self.seed[own[a:b]], self.at[own[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def touched(self, seeds: np.ndarray) -> np.ndarray:
+        """The items that hold one of some distinct seeds."""
+        lo, hi = np.searchsorted(self.seed, seeds), np.searchsorted(self.seed, seeds, side="right")
+        n = hi - lo
+        return np.unique(self.item[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+
+    def hits(self, i: int, at: np.ndarray, seeds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(document positions, item positions) of the hits with item ``i`` of the windows ``seeds`` that stand ``at`` places, HITS or so at a time."""
+        seed, place = self.own[i]
+        lo, hi = np.searchsorted(seed, seeds), np.searchsorted(seed, seeds, side="right")
+        n = hi - lo
+        some = np.flatnonzero(n)
+        part = np.cumsum(n[some]) // HITS
+        for k in np.split(some, np.flatnonzero(np.diff(part)) + 1):
+            yield np.repeat(at[k], n[k]), place[np.repeat(lo[k] - (np.cumsum(n[k]) - n[k]), n[k]) + np.arange(int(n[k].sum()))]
 
     def matches(self, data: np.ndarray, offsets: np.ndarray, threshold: float) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
         """(row, item, tiles) of the rows that cover an item to ``threshold``."""
@@ -107,23 +133,21 @@ class Items:
         hit, row = hit[inside], row[inside]
         if not len(row):
             return
-        lo, hi = np.searchsorted(self.seed, w[hit]), np.searchsorted(self.seed, w[hit], side="right")
         edges = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         for a, b in zip(edges, np.append(edges[1:], len(row)), strict=True):
             r = int(row[a])
-            n = hi[a:b] - lo[a:b]
-            seed = np.repeat(lo[a:b] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            doc_at = np.repeat(hit[a:b], n) - (ends[r] - counts[r])
-            item, item_at = self.item[seed], self.at[seed]
-            for i in np.unique(item).tolist():
-                own = item == i
+            at, seeds = hit[a:b] - (ends[r] - counts[r]), w[hit[a:b]]
+            known = np.unique(seeds)
+            for i in self.touched(known).tolist():
                 # an upper bound of what tiles can cover, from the item's positions that any seed touches
-                touched = np.zeros(self.tokens[i] + 1, np.int64)
-                np.add.at(touched, item_at[own], 1)
-                np.add.at(touched, item_at[own] + self.size, -1)
-                if (np.cumsum(touched)[:-1] > 0).sum() < threshold * self.tokens[i]:
+                seed, place = self.own[i]
+                shared = place[np.isin(seed, known)]
+                covered = np.zeros(self.tokens[i] + 1, np.int64)
+                np.add.at(covered, shared, 1)
+                np.add.at(covered, shared + self.size, -1)
+                if (np.cumsum(covered)[:-1] > 0).sum() < threshold * self.tokens[i]:
                     continue
-                tiles = tile(maximal_matches(doc_at[own], item_at[own], self.size), self.size)
+                tiles = tile(maximal_matches(self.hits(i, at, seeds), self.size), self.size)
                 if sum(t[0] for t in tiles) >= threshold * self.tokens[i]:
                     yield r, i, tiles
 
