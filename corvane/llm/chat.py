@@ -7,9 +7,10 @@ of a text. Inside roles and texts every ``<|`` becomes ``<\\|`` (and a backslash
 between ``<`` and ``|``), which is undone exactly.
 
 Rows of a conversation are ordered by turn (nulls first), then role and text. Null role or text: empty; rows
-with a null conv_id form one conversation. Conversations are streamed from sorted partitions: a very long one
-is encoded in pieces cut at turns, which added tokens make equal to encoding it whole, so memory stays bounded.
-Tables without rows give no rows.
+with a null conv_id form one conversation; repeated rows are turns like others. Conversations are streamed from sorted
+partitions: a very long one is encoded in pieces cut at turns, which added tokens make equal to encoding it whole, so
+digests need bounded memory; a formatted conversation is one row, however long. Tables without rows give no rows.
+Further columns, whatever their names, don't reach the result.
 """
 
 from __future__ import annotations
@@ -147,21 +148,26 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | No
 
 
 def format_chats(conversations: DataFrame, tokenizer_path: str) -> DataFrame:
-    """One row per piece of a conversation (one piece, unless it is very long): conv_id, formatted, token ids, loss mask by token."""
+    """One row per conversation: conv_id, formatted, token ids, loss mask by token."""
     small_batches(conversations.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(tokenizer_path)
-        piece, last = 0, None
+        parts: list[str] = []
+        ids: list[np.ndarray] = []
+        masks: list[np.ndarray] = []
         for c, turns, ends in _conversations(batches):
             text, spans = render(turns)
             e = tokenizer.encode(text, add_special_tokens=False)
-            mask = mask_of(np.array(e.offsets, np.int64).reshape(-1, 2), spans)
-            piece = piece + 1 if last == (c, False) else 0
-            last = (c, ends)
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([piece], pa.int64()), pa.array([text]), pa.array([e.ids], pa.list_(pa.int32())), pa.array([mask.tolist()], pa.list_(pa.bool_()))], ["conv_id", "piece", "formatted", "ids", "loss_mask"])
+            parts.append(text)
+            ids.append(np.array(e.ids, np.int32))
+            masks.append(mask_of(np.array(e.offsets, np.int64).reshape(-1, 2), spans))
+            if ends:
+                listed = [pa.ListArray.from_arrays(pa.array([0, sum(map(len, x))], pa.int32()), pa.array(np.concatenate(x))) for x in (ids, masks)]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array(["".join(parts)]), *listed], ["conv_id", "formatted", "ids", "loss_mask"])
+                parts, ids, masks = [], [], []
 
-    return _ordered(conversations).mapInArrow(run, "conv_id long, piece long, formatted string, ids array<int>, loss_mask array<boolean>")
+    return _ordered(conversations).mapInArrow(run, "conv_id long, formatted string, ids array<int>, loss_mask array<boolean>")
 
 
 def chat_digests(conversations: DataFrame, tokenizer_path: str) -> DataFrame:
