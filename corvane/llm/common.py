@@ -84,7 +84,7 @@ def unused(name: str, *frames: DataFrame) -> str:
     """``name`` with as many underscores before it as no column of ``frames`` has; Spark's names ignore case."""
     taken = {c.lower() for df in frames for c in df.columns}
     name = f"_{name}"
-    while name in taken:
+    while name.lower() in taken:
         name = f"_{name}"
     return name
 

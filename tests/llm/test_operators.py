@@ -333,10 +333,10 @@ def test_main_text_drops_what_is_not_the_article(spark):
 @pytest.mark.parametrize("n", [1, 199, 200, 5000])
 def test_regions_end_below_any_number_of_unclosed_elements(n):
     words = "<p>the body of the story goes on and on</p>"
-    blocks, _ = html_text.read_blocks(f"<nav>{'<font>x<br>' * n}</nav>{words}")
-    assert blocks[-1].region == html_text.NOWHERE
-    blocks, has_article = html_text.read_blocks(f"<article>{words}{'<b>x<br>' * n}</article><div>a comment</div>")
-    assert has_article and blocks[0].region == html_text.ARTICLE and blocks[-1].region == html_text.NOWHERE
+    r = html_text.read_page(f"<nav>{'<font>x<br>' * n}</nav>{words}")
+    assert r.blocks[-1].outer == 0 and r.blocks[0].outer
+    r = html_text.read_page(f"<article>{words}{'<b>x<br>' * n}</article><div>a comment</div>")
+    assert r.has_article and r.blocks[0].in_article and not r.blocks[-1].in_article
 
 
 def test_tree_learns_its_table():
