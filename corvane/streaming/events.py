@@ -1,8 +1,8 @@
-"""Event streams: windowed counts and deduplication with late data, the same expressions as in batch."""
+"""Event streams: windowed counts, deduplication and upserts with late data, the same expressions as in batch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,14 +20,39 @@ def distinct_events(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.dropDuplicates(["event_id"])
 
 
-def upsert_sink(path: str, key: str, order: str):
-    """A foreachBatch function: each batch replaces the rows of its keys unless the held row is later."""
+def _generations(spark: SparkSession, path: str) -> list[int]:
+    """The finished generations of a held table, from their folders."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath() for s in fs.listStatus(where)] if fs.exists(where) else []
+    done = [p for p in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix("generation-")) for p in done if p.getName().startswith("generation-"))
+
+
+def held_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows that ``upsert_sink`` holds; None before the first batch."""
+    found = _generations(spark, path)
+    return spark.read.parquet(f"{path}/generation-{found[-1]}") if found else None
+
+
+def upsert_sink(path: str, key: str, order: str, keep: int = 2):
+    """A foreachBatch function: each batch replaces the rows of its keys unless the held row is later by ``order``.
+
+    Rows are held in generations; a new one is written whole before older ones go, so a failure leaves the last one
+    readable. A batch that is given again changes nothing. A new checkpoint goes on from the rows that are held.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        target = f"{path}/epoch-{epoch}"
-        held = spark.read.parquet(f"{path}/epoch-{epoch - 1}") if epoch else batch.limit(0)
-        best = held.unionByName(batch).groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        best.write.mode("overwrite").parquet(target)
+        found = _generations(spark, path)
+        rows = batch.select("*")
+        if found:
+            rows = spark.read.parquet(f"{path}/generation-{found[-1]}").unionByName(rows)
+        best = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
+        number = found[-1] + 1 if found else 0
+        best.write.mode("overwrite").parquet(f"{path}/generation-{number}")
+        for old in found[: len(found) + 1 - keep] if keep else []:
+            where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation-{old}")
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
     return write

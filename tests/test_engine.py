@@ -135,6 +135,23 @@ def test_stream_equals_batch(spark, tmp_path):
     assert stream.distinct_events(batch).count() == 7
 
 
+def test_upserts_survive_restarts_and_late_rows(spark, tmp_path):
+    held, source = str(tmp_path / "held"), tmp_path / "in"
+    kind = "user_id long, ts timestamp, note string"
+    day = lambda n: dt.datetime(2024, 1, n)
+
+    def batch(name, rows, checkpoint):
+        spark.createDataFrame(rows, kind).write.parquet(str(source / name))
+        q = spark.readStream.schema(kind).option("recursiveFileLookup", True).parquet(str(source)).writeStream.foreachBatch(stream.upsert_sink(held, "user_id", "ts")).option("checkpointLocation", str(tmp_path / checkpoint)).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return {r.user_id: r.note for r in stream.held_rows(spark, held).collect()}
+
+    assert stream.held_rows(spark, held) is None
+    assert batch("one", [(1, day(2), "a"), (2, day(1), "b"), (1, day(1), "early")], "c1") == {1: "a", 2: "b"}
+    assert batch("two", [(1, day(1), "late"), (2, day(5), "c"), (3, day(1), "d")], "c1") == {1: "a", 2: "c", 3: "d"}
+    assert batch("three", [(4, day(1), "e")], "c2") == {1: "a", 2: "c", 3: "d", 4: "e"}  # a new checkpoint reads everything again
+
+
 def test_readers_and_year_partitions(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('{"doi": "doi:10.1234/A", "title": "t", "year": 2020}\n{"title": "no doi"}\n')
     got = records.read_candidates(spark, str(tmp_path / "c.jsonl"))
