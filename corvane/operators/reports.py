@@ -86,8 +86,8 @@ def band_of(rank: Column) -> Column:
 
 
 def verdict_groups(decisions: DataFrame) -> DataFrame:
-    """(group, yes, likely, no): how right each reason to list a paper was."""
-    return decisions.withColumn("group", group_of(F.col("why"))).groupBy("group").pivot("verdict", ["yes", "likely", "no"]).agg(F.count("doi")).na.fill(0)
+    """(why_group, yes, likely, no): how right each reason to list a paper was."""
+    return decisions.withColumn("why_group", group_of(F.col("why"))).groupBy("why_group").pivot("verdict", ["yes", "likely", "no"]).agg(F.count("doi")).na.fill(0)
 
 
 def rank_bands(decisions: DataFrame) -> DataFrame:
@@ -97,9 +97,9 @@ def rank_bands(decisions: DataFrame) -> DataFrame:
 
 
 def no_reasons(decisions: DataFrame) -> DataFrame:
-    """(group, reason, n) of the papers judged "no": which rule to mend first."""
+    """(why_group, reason, n) of the papers judged "no": which rule to mend first."""
     reason = F.coalesce(F.nullif("reason", F.lit("")), F.lit("(no reason given)"))
-    return decisions.filter("verdict = 'no'").groupBy(group_of(F.col("why")).alias("group"), reason.alias("reason")).agg(F.count("*").alias("n"))
+    return decisions.filter("verdict = 'no'").groupBy(group_of(F.col("why")).alias("why_group"), reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
 def rules_missed(decisions: DataFrame) -> DataFrame:
@@ -116,16 +116,16 @@ def capabilities(records: DataFrame, modules: dict[str, str], ignore: tuple[str,
 
 
 def coverage(offered: DataFrame, r: Rules) -> DataFrame:
-    """(gap, item, on): instruments without a pattern or without components, terms without a pattern and where they are offered, patterns that no instrument needs."""
+    """(gap, item, found_on): instruments without a pattern or without components, terms without a pattern and where they are offered, patterns that no instrument needs."""
     spark = offered.sparkSession
     techniques = spark.createDataFrame([(t.id,) for t in r.techniques], "term string")
     patterns = spark.createDataFrame([(i.id, bool(i.components)) for i in r.instruments], "instrument string, has_components boolean")
     active = offered.select("instrument", "name").distinct()
-    no_pattern = active.join(F.broadcast(patterns), "instrument", "left_anti").select(F.lit("no pattern").alias("gap"), F.col("instrument").alias("item"), F.col("name").alias("on"))
-    no_parts = active.join(F.broadcast(patterns.filter("NOT has_components")), "instrument", "left_semi").select(F.lit("no components").alias("gap"), F.col("instrument").alias("item"), F.col("name").alias("on"))
-    terms = offered.filter("term IS NOT NULL").groupBy("term").agg(F.array_join(F.array_sort(F.collect_set("instrument")), ", ").alias("on"))
-    no_technique = terms.join(F.broadcast(techniques), "term", "left_anti").select(F.lit("no technique").alias("gap"), F.col("term").alias("item"), "on")
-    unused = techniques.join(terms, "term", "left_anti").select(F.lit("unused technique").alias("gap"), F.col("term").alias("item"), F.lit("").alias("on"))
+    no_pattern = active.join(F.broadcast(patterns), "instrument", "left_anti").select(F.lit("no pattern").alias("gap"), F.col("instrument").alias("item"), F.col("name").alias("found_on"))
+    no_parts = active.join(F.broadcast(patterns.filter("NOT has_components")), "instrument", "left_semi").select(F.lit("no components").alias("gap"), F.col("instrument").alias("item"), F.col("name").alias("found_on"))
+    terms = offered.filter("term IS NOT NULL").groupBy("term").agg(F.array_join(F.array_sort(F.collect_set("instrument")), ", ").alias("found_on"))
+    no_technique = terms.join(F.broadcast(techniques), "term", "left_anti").select(F.lit("no technique").alias("gap"), F.col("term").alias("item"), "found_on")
+    unused = techniques.join(terms, "term", "left_anti").select(F.lit("unused technique").alias("gap"), F.col("term").alias("item"), F.lit("").alias("found_on"))
     return no_pattern.unionByName(no_parts).unionByName(no_technique).unionByName(unused)
 
 
@@ -143,11 +143,11 @@ def format_feedback(groups: list, bands: list, reasons: list, found: list) -> st
     lines = [f"{sum(g.yes + g.likely + g.no for g in groups)} decisions"]
     for g in groups:
         n = g.yes + g.likely + g.no
-        lines.append(f"  {g.group:<13} {n:>4} reviewed: {g.yes} yes, {g.likely} likely, {g.no} no  (yes {g.yes / n:.0%})")
+        lines.append(f"  {g.why_group:<13} {n:>4} reviewed: {g.yes} yes, {g.likely} likely, {g.no} no  (yes {g.yes / n:.0%})")
     if bands:
         lines.append("check list, yes by embedding rank:")
         lines += [f"  rank {b.band:<8} {b.yes:>3} yes of {b.reviewed:>3} reviewed" for b in sorted(bands, key=lambda b: int(b.band.split("-")[0].rstrip("+")))]
-    lines += [f"why not ({r.group}): {r.reason} {r.n}" for r in sorted(reasons, key=lambda r: (r.group, -r.n, r.reason))]
+    lines += [f"why not ({r.why_group}): {r.reason} {r.n}" for r in sorted(reasons, key=lambda r: (r.why_group, -r.n, r.reason))]
     if found:
         lines.append(f"{len(found)} facility papers found only by the check list:")
         lines += [f"  {m.year} rank {m.rank:>4}  {m.doi}  {m.reason}" for m in sorted(found, key=lambda m: (m.year, m.rank))]

@@ -67,25 +67,25 @@ def pending(table: DataFrame, revisit: tuple[str, ...] = ()) -> DataFrame:
 
 
 def candidates(screened: DataFrame, confirmed: DataFrame, ranked: DataFrame, kept: DataFrame, top: int = 200) -> DataFrame:
-    """(group, why, doi, embedding_rank) of a year's papers to check, most likely first: acknowledged, instrument named, much alike, earlier verdicts.
+    """(listing, why, doi, embedding_rank) of a year's papers to check, most likely first: acknowledged, instrument named, much alike, earlier verdicts.
 
     ``confirmed``, ``kept`` (doi), ``ranked`` (doi, rank). Each group is ordered by rank, those without one last.
     """
     new = screened.join(confirmed.select("doi"), "doi", "left_anti")
-    flagged = new.filter(F.col("priority").isin(*FLAGGED)).select("doi", F.when(F.col("priority") == "report", 1).otherwise(2).alias("group"))
+    flagged = new.filter(F.col("priority").isin(*FLAGGED)).select("doi", F.when(F.col("priority") == "report", 1).otherwise(2).alias("listing"))
     every_flag = screened.filter(F.col("priority").isin(*FLAGGED)).select("doi")
     alike = ranked.join(confirmed.select("doi"), "doi", "left_anti").join(every_flag, "doi", "left_anti").orderBy("rank", "doi").limit(top)
-    listed = flagged.unionByName(alike.select("doi", F.lit(3).alias("group")))
-    earlier = kept.select("doi").join(listed.select("doi"), "doi", "left_anti").join(confirmed.select("doi"), "doi", "left_anti").select("doi", F.lit(4).alias("group"))
+    listed = flagged.unionByName(alike.select("doi", F.lit(3).alias("listing")))
+    earlier = kept.select("doi").join(listed.select("doi"), "doi", "left_anti").join(confirmed.select("doi"), "doi", "left_anti").select("doi", F.lit(4).alias("listing"))
     rows = listed.unionByName(earlier).join(ranked.select("doi", F.col("rank").alias("embedding_rank")), "doi", "left")
-    g = F.col("group")
+    g = F.col("listing")
     why = F.when(g == 1, WHY_ACK).when(g == 2, WHY_INSTRUMENT).when(g == 3, F.concat(F.lit(f"{WHY_SIMILAR} (rank "), F.col("embedding_rank").cast("string"), F.lit(")"))).otherwise(WHY_EARLIER)
-    return rows.select("group", why.alias("why"), "doi", "embedding_rank")
+    return rows.select("listing", why.alias("why"), "doi", "embedding_rank")
 
 
 def in_order(rows: DataFrame) -> DataFrame:
     """``candidates`` in the order to read them."""
-    return rows.orderBy("group", F.coalesce("embedding_rank", F.lit(_FAR)), "doi")
+    return rows.orderBy("listing", F.coalesce("embedding_rank", F.lit(_FAR)), "doi")
 
 
 def acknowledges(has_text: Column, acknowledgement: Column, text: Column, r: Rules) -> Column:
@@ -103,12 +103,12 @@ def grant_cited(text: Column, r: Rules) -> Column:
 
 
 def validate_table(listed: DataFrame, screened: DataFrame, kept: DataFrame, texts: DataFrame, r: Rules) -> DataFrame:
-    """The table to validate: VALIDATE_COLUMNS and ``group``, for ``in_order``."""
+    """The table to validate: VALIDATE_COLUMNS and ``listing``, for ``in_order``."""
     rows = listed.join(screened.select("doi", "title", "journal", "priority", "score_reasons", "acknowledgement", "evidence", "has_text"), "doi", "left").join(kept, "doi", "left").join(texts.select("doi", F.col("text").alias("full")), "doi", "left")
     shown = F.substring(F.array_join(F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in ("score_reasons", "acknowledgement", "evidence"))), " | "), 1, 1500)
     made = {"link": link(F.col("doi")), "acknowledges_facility": acknowledges(F.col("has_text"), F.col("acknowledgement"), F.col("full"), r), "evidence": shown}
     rows = rows.withColumns(made)
-    return rows.select("group", *(F.coalesce(F.col(c), F.lit("")).alias(c) if c != "embedding_rank" else F.col(c) for c in VALIDATE_COLUMNS))
+    return rows.select("listing", *(F.coalesce(F.col(c), F.lit("")).alias(c) if c != "embedding_rank" else F.col(c) for c in VALIDATE_COLUMNS))
 
 
 def facility_papers(confirmed: DataFrame, kept: DataFrame, screened: DataFrame, texts: DataFrame, contacts: DataFrame, r: Rules) -> DataFrame:
@@ -200,5 +200,5 @@ def issue_link(repo: str, facility: str, dois: Column) -> Column:
 
 def ranked_in_group(listed: DataFrame) -> DataFrame:
     """``candidates`` with ``place``: their number within each group."""
-    w = Window.partitionBy("group").orderBy(F.coalesce("embedding_rank", F.lit(_FAR)), "doi")
+    w = Window.partitionBy("listing").orderBy(F.coalesce("embedding_rank", F.lit(_FAR)), "doi")
     return listed.withColumn("place", F.row_number().over(w))

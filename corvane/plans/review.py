@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators import contacts, papers as filing, reports, sheets
 from corvane.plans.catalogue import screened
-from corvane.plans.registry import PAPERS_SQL, RULES, SCREENED, has_sql, norm_sql, papers, query, read
+from corvane.plans.registry import PAPERS_SQL, RULES, SCREENED, has_sql, norm_sql, papers, query, read, stored
 
 _CONFIRMED = "confirmed AS (SELECT p.doc_id, p.doi, p.year, p.title FROM papers p JOIN labels l USING (doc_id) WHERE l.quality = 1)"
 _JOINED = SCREENED + f""", {_CONFIRMED}, j AS (SELECT r.doi, r.year, r.priority, r.category, r.has_text, r.title, r.reasons, r.doc_id, r.doc_id % 11 <> 0 AS candidate, c.doc_id IS NOT NULL AS listed, coalesce(r.priority IN ('report', 'check'), false) AS flagged
@@ -71,7 +71,7 @@ def miss_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 _DECISIONS = f"""WITH {PAPERS_SQL}, dec AS (SELECT p.year, p.doi, CASE p.doc_id % 4 WHEN 0 THEN 'new: acknowledges the facility' WHEN 1 THEN 'reads like facility papers (rank ' || (p.doc_id % 250 + 1) || ')' WHEN 2 THEN 'new: facility instrument, no acknowledgement' ELSE 'by hand' END AS why,
   (p.doc_id % 250 + 1)::INTEGER AS embedding_rank, CASE WHEN l.toxic = 1 THEN 'no' WHEN l.quality = 1 THEN 'yes' ELSE 'likely' END AS verdict, CASE p.doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'no imaging' ELSE 'other' END AS reason FROM labels l JOIN papers p USING (doc_id)),
-g AS (SELECT *, CASE WHEN why LIKE 'new: ack%' THEN 'acknowledges' WHEN why LIKE 'reads%' THEN 'check list' WHEN why LIKE 'new: fac%' THEN 'instrument' ELSE 'other' END AS "group",
+g AS (SELECT *, CASE WHEN why LIKE 'new: ack%' THEN 'acknowledges' WHEN why LIKE 'reads%' THEN 'check list' WHEN why LIKE 'new: fac%' THEN 'instrument' ELSE 'other' END AS why_group,
   CASE WHEN embedding_rank <= 50 THEN '1-50' WHEN embedding_rank <= 100 THEN '51-100' WHEN embedding_rank <= 200 THEN '101-200' ELSE '201+' END AS band FROM dec) """
 
 
@@ -89,22 +89,22 @@ def decisions_list(spark: SparkSession, d: str) -> DataFrame:
     return decided(spark, d)
 
 
-@query(_DECISIONS + """SELECT "group", (count(*) FILTER (verdict = 'yes'))::BIGINT AS yes, (count(*) FILTER (verdict = 'likely'))::BIGINT AS likely, (count(*) FILTER (verdict = 'no'))::BIGINT AS no FROM g GROUP BY 1""")
+@query(_DECISIONS + """SELECT why_group, (count(*) FILTER (verdict = 'yes'))::BIGINT AS yes, (count(*) FILTER (verdict = 'likely'))::BIGINT AS likely, (count(*) FILTER (verdict = 'no'))::BIGINT AS no FROM g GROUP BY 1""")
 def feedback_groups(spark: SparkSession, d: str) -> DataFrame:
     return reports.verdict_groups(decided(spark, d))
 
 
-@query(_DECISIONS + """SELECT band, count(*)::BIGINT AS reviewed, (count(*) FILTER (verdict = 'yes'))::BIGINT AS yes FROM g WHERE "group" = 'check list' GROUP BY 1""")
+@query(_DECISIONS + """SELECT band, count(*)::BIGINT AS reviewed, (count(*) FILTER (verdict = 'yes'))::BIGINT AS yes FROM g WHERE why_group = 'check list' GROUP BY 1""")
 def feedback_bands(spark: SparkSession, d: str) -> DataFrame:
     return reports.rank_bands(decided(spark, d))
 
 
-@query(_DECISIONS + """SELECT "group", coalesce(nullif(reason, ''), '(no reason given)') AS reason, count(*)::BIGINT AS n FROM g WHERE verdict = 'no' GROUP BY ALL""")
+@query(_DECISIONS + """SELECT why_group, coalesce(nullif(reason, ''), '(no reason given)') AS reason, count(*)::BIGINT AS n FROM g WHERE verdict = 'no' GROUP BY ALL""")
 def feedback_no_reasons(spark: SparkSession, d: str) -> DataFrame:
     return reports.no_reasons(decided(spark, d))
 
 
-@query(_DECISIONS + """SELECT year, doi, embedding_rank AS rank, reason FROM g WHERE "group" = 'check list' AND verdict = 'yes'""")
+@query(_DECISIONS + """SELECT year, doi, embedding_rank AS rank, reason FROM g WHERE why_group = 'check list' AND verdict = 'yes'""")
 def rules_missed(spark: SparkSession, d: str) -> DataFrame:
     return reports.rules_missed(decided(spark, d))
 
@@ -116,10 +116,10 @@ _KEPT = "kept AS (SELECT p.doi, CASE WHEN p.doc_id % 3 = 0 THEN 'yes' WHEN p.doc
 _RANKS = "ranks AS (SELECT doi, (doc_id * 37 % 1009 + 1)::INTEGER AS rank FROM papers WHERE year = 2018 AND doc_id % 2 = 0)"
 _CANDIDATES = (
     SCREENED + f""", {_CONFIRMED}, {_KEPT}, {_RANKS}, y AS (SELECT * FROM ranked WHERE year = 2018), fresh AS (SELECT y.* FROM y WHERE doi NOT IN (SELECT doi FROM confirmed)),
-fl AS (SELECT doi, CASE WHEN priority = 'report' THEN 1 ELSE 2 END AS "group" FROM fresh WHERE priority IN ('report', 'check')),
-al AS (SELECT doi, 3 AS "group" FROM ranks WHERE doi NOT IN (SELECT doi FROM confirmed) AND doi NOT IN (SELECT doi FROM y WHERE priority IN ('report', 'check')) ORDER BY rank, doi LIMIT 20),
-li AS (SELECT * FROM fl UNION ALL SELECT * FROM al), ea AS (SELECT doi, 4 AS "group" FROM kept WHERE doi NOT IN (SELECT doi FROM li) AND doi NOT IN (SELECT doi FROM confirmed)),
-al4 AS (SELECT "group", doi FROM li UNION ALL SELECT "group", doi FROM ea), cand AS (SELECT "group"::INTEGER AS "group", CASE "group" WHEN 1 THEN 'new: acknowledges the facility' WHEN 2 THEN 'new: facility instrument, no acknowledgement'
+fl AS (SELECT doi, CASE WHEN priority = 'report' THEN 1 ELSE 2 END AS listing FROM fresh WHERE priority IN ('report', 'check')),
+al AS (SELECT doi, 3 AS listing FROM ranks WHERE doi NOT IN (SELECT doi FROM confirmed) AND doi NOT IN (SELECT doi FROM y WHERE priority IN ('report', 'check')) ORDER BY rank, doi LIMIT 20),
+li AS (SELECT * FROM fl UNION ALL SELECT * FROM al), ea AS (SELECT doi, 4 AS listing FROM kept WHERE doi NOT IN (SELECT doi FROM li) AND doi NOT IN (SELECT doi FROM confirmed)),
+al4 AS (SELECT listing, doi FROM li UNION ALL SELECT listing, doi FROM ea), cand AS (SELECT listing::INTEGER AS listing, CASE listing WHEN 1 THEN 'new: acknowledges the facility' WHEN 2 THEN 'new: facility instrument, no acknowledgement'
   WHEN 3 THEN 'reads like facility papers (rank ' || rank || ')' ELSE 'earlier verdict (no longer a candidate)' END AS why, a.doi, rank AS embedding_rank FROM al4 a LEFT JOIN ranks r ON r.doi = a.doi) """
 )
 
@@ -139,7 +139,8 @@ def year_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def year_rows(spark: SparkSession, d: str) -> DataFrame:
-    return screened(spark, d).filter(f"year = {_YEAR}").withColumn("journal", F.col("source"))
+    rows = screened(spark, d).filter(f"year = {_YEAR}").withColumn("journal", F.col("source"))
+    return stored(rows.select("doi", "title", "journal", "priority", "category", "score_reasons", "acknowledgement", "evidence", "has_text"), "screened")
 
 
 @query(f"WITH {PAPERS_SQL}, {_KEPT} SELECT * FROM kept")
@@ -147,13 +148,13 @@ def verdict_carry(spark: SparkSession, d: str) -> DataFrame:
     return kept_verdicts(spark, d)
 
 
-@query(_CANDIDATES + 'SELECT "group", why, doi, embedding_rank, (row_number() OVER (PARTITION BY "group" ORDER BY coalesce(embedding_rank, 1000000000), doi))::INTEGER AS place FROM cand')
+@query(_CANDIDATES + 'SELECT listing, why, doi, embedding_rank, (row_number() OVER (PARTITION BY listing ORDER BY coalesce(embedding_rank, 1000000000), doi))::INTEGER AS place FROM cand')
 def candidate_list(spark: SparkSession, d: str) -> DataFrame:
     """What to validate, in the order to read it."""
     return sheets.ranked_in_group(sheets.candidates(year_rows(spark, d), confirmed(spark, d), year_ranks(spark, d), kept_verdicts(spark, d), _TOP))
 
 
-@query(_CANDIDATES + """SELECT c."group", c.why, c.doi, 'https://doi.org/' || c.doi AS link, coalesce(y.title, '') AS title, coalesce(y.source, '') AS journal,
+@query(_CANDIDATES + """SELECT c.listing, c.why, c.doi, 'https://doi.org/' || c.doi AS link, coalesce(y.title, '') AS title, coalesce(y.source, '') AS journal,
   CASE WHEN y.has_text THEN CASE WHEN y.acked THEN 'yes' ELSE 'no' END WHEN p.text IS NULL OR p.text = '' THEN 'unknown (no full text)' WHEN """ + has_sql(norm_sql("p.text"), RULES.acknowledgement) + """ THEN 'yes' ELSE 'no' END AS acknowledges_facility,
   coalesce(y.priority, '') AS priority, c.embedding_rank, coalesce(k.verdict, '') AS verdict, coalesce(k.reason, '') AS reason, coalesce(k.note, '') AS note, coalesce(starts_with(y.reasons, ''), true) AS has_reasons
   FROM cand c LEFT JOIN y ON y.doi = c.doi LEFT JOIN kept k ON k.doi = c.doi LEFT JOIN papers p ON p.doi = c.doi""")
@@ -205,7 +206,7 @@ def review_sheet(spark: SparkSession, d: str) -> DataFrame:
   list_contains(local_authors, 'Eessoa, Eina') AS known_user_match, c.doi IS NOT NULL AS listed FROM ranked r LEFT JOIN confirmed c ON c.doi = r.doi)
   SELECT doi, private_priority, private_score::INTEGER AS private_score, known_user_match FROM v WHERE category IN ('A', 'B', 'C', 'D', 'E') OR listed OR up""")
 def private_sheet(spark: SparkSession, d: str) -> DataFrame:
-    rows = screened(spark, d)
+    rows = stored(screened(spark, d).select("doi", "category", "score", "priority", "private", "local_authors"), "screened")
     users = sheets.match_users(rows, spark.createDataFrame([("Eina Eessoa",), ("nobody",)], "user string"))
     private = rows.filter("private IS NOT NULL").select("doi", "private.*")
     return sheets.private_review(rows, private, confirmed(spark, d), users).select("doi", "private_priority", "private_score", "known_user_match")
@@ -320,9 +321,9 @@ def papers_check(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH r AS (SELECT DISTINCT CASE WHEN p_size % 5 = 0 THEN 'scope-a' WHEN p_size % 5 = 1 THEN 'scope-c' ELSE 'new-' || (p_size % 5) END AS instrument, p_size FROM part), o AS (SELECT instrument, 'name of ' || instrument AS name, unnest(CASE p_size % 3 WHEN 0 THEN ['erbling', 'generic'] WHEN 1 THEN ['flim', 'sted'] ELSE [] END) AS term FROM r),
-a AS (SELECT DISTINCT instrument, 'name of ' || instrument AS name FROM r), t AS (SELECT term, string_agg(DISTINCT instrument, ', ' ORDER BY instrument) AS "on" FROM o WHERE term <> 'generic' GROUP BY term)
-SELECT 'no pattern' AS gap, instrument AS item, name AS "on" FROM a WHERE instrument NOT IN ({', '.join(repr(i.id) for i in RULES.instruments)}) UNION ALL SELECT 'no components', instrument, name FROM a WHERE instrument IN ({', '.join(repr(i.id) for i in RULES.instruments if not i.components)})
-UNION ALL SELECT 'no technique', term, "on" FROM t WHERE term NOT IN ({', '.join(repr(x.id) for x in RULES.techniques)}) UNION ALL SELECT 'unused technique', x, '' FROM (SELECT unnest([{', '.join(repr(x.id) for x in RULES.techniques)}]) AS x) WHERE x NOT IN (SELECT term FROM t)""")
+a AS (SELECT DISTINCT instrument, 'name of ' || instrument AS name FROM r), t AS (SELECT term, string_agg(DISTINCT instrument, ', ' ORDER BY instrument) AS found_on FROM o WHERE term <> 'generic' GROUP BY term)
+SELECT 'no pattern' AS gap, instrument AS item, name AS found_on FROM a WHERE instrument NOT IN ({', '.join(repr(i.id) for i in RULES.instruments)}) UNION ALL SELECT 'no components', instrument, name FROM a WHERE instrument IN ({', '.join(repr(i.id) for i in RULES.instruments if not i.components)})
+UNION ALL SELECT 'no technique', term, found_on FROM t WHERE term NOT IN ({', '.join(repr(x.id) for x in RULES.techniques)}) UNION ALL SELECT 'unused technique', x, '' FROM (SELECT unnest([{', '.join(repr(x.id) for x in RULES.techniques)}]) AS x) WHERE x NOT IN (SELECT term FROM t)""")
 def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Where rules and instrument records don't meet."""
     size = F.col("p_size")
