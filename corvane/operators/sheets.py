@@ -192,6 +192,23 @@ def paper_links(doi: Column, open_copy: Column, pmcid: Column, preprint: Column)
     return F.filter(rows, lambda x, i: ~F.exists(F.slice(rows, F.lit(1), i), lambda o: o.url == x.url))
 
 
+def escaped(c: Column) -> Column:
+    """Text as it can stand in a page; null is empty."""
+    out = F.coalesce(c.cast("string"), F.lit(""))
+    for sign, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(sign), F.lit(reference))
+    return out
+
+
+def card(table: DataFrame) -> DataFrame:
+    """(doi, card): a row of the table to validate as a piece of a page, with where the paper can be read (``links``)."""
+    places = F.array_join(F.transform("links", lambda x: F.concat(F.lit('<a href="'), escaped(x.url), F.lit('">'), escaped(x.label), F.lit("</a>"))), " &nbsp;·&nbsp; ")
+    rank = F.when(F.col("embedding_rank").isNotNull(), F.concat(F.lit(" · embedding rank "), F.col("embedding_rank").cast("string"))).otherwise("")
+    now = F.when(T.present(F.col("verdict")), F.concat(F.lit(" · <b>now: "), escaped(F.col("verdict")), F.lit("</b>"))).otherwise("")
+    parts = (F.lit("<div><b>"), escaped(F.col("title")), F.lit("</b><br>"), escaped(F.col("why")), rank, now, F.lit("<br><i>"), escaped(F.col("journal")), F.lit("</i> · "), escaped(F.col("doi")), F.lit("<br>"), places, F.lit("<br><small>"), escaped(F.substring("evidence", 1, 600)), F.lit("</small></div>"))
+    return table.select("doi", F.concat(*parts).alias("card"))
+
+
 def issue_link(repo: str, facility: str, dois: Column) -> Column:
     """A link that opens a new issue with the facility and the DOIs filled in."""
     base = repo.removesuffix(".git").rstrip("/")

@@ -207,6 +207,20 @@ def booking_import(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("group_leader", F.replace("group_leader", F.lit("¸ "), F.lit(", ")))
 
 
+@query("""SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'F')::BIGINT AS trainings, count(*)::BIGINT AS users, count(DISTINCT s_suppkey % 10)::BIGINT AS groups, 2::BIGINT AS booking_rows, 2::BIGINT AS people FROM supplier""")
+def booking_counts(spark: SparkSession, d: str) -> DataFrame:
+    users = read(spark, d, "supplier").select((F.col("s_suppkey") % 10).cast("string").alias("group"))
+    bookings = spark.createDataFrame([("A, B", "x", "2020"), ("C, D", "x", "2020")], "group_leader string, instrument string, date string")
+    return records.booking_counts(users, read(spark, d, "orders").filter("o_orderstatus = 'F'"), bookings)
+
+
+@query("SELECT c_custkey AS doi FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate > TIMESTAMP '1998-06-01' - INTERVAL 30 DAYS)")
+def texts_to_retry(spark: SparkSession, d: str) -> DataFrame:
+    """Papers that weren't looked for in vain in the last thirty days."""
+    markers = read(spark, d, "orders").select(F.col("o_custkey").alias("doi"), F.col("o_orderdate").alias("at"))
+    return records.to_retry(read(spark, d, "customer").select(F.col("c_custkey").alias("doi")), markers, F.lit("1998-06-01").cast("timestamp"))
+
+
 @query(r"SELECT item_id, trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM benchmark")
 def full_text_answers(spark: SparkSession, d: str) -> DataFrame:
     """Text of full-text answers in XML."""

@@ -222,6 +222,15 @@ def open_links(spark: SparkSession, d: str) -> DataFrame:
     return papers(spark, d).select("doi", F.array_join(F.transform(urls, lambda x: x.url), " ").alias("urls"))
 
 
+@query(f"""WITH {PAPERS_SQL}, e AS (SELECT doi, doc_id, replace(replace(replace(replace(replace(coalesce(title, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS t FROM papers)
+  SELECT doi, '<div><b>' || t || '</b><br>a &lt; b' || CASE WHEN doc_id % 2 = 0 THEN ' · embedding rank ' || doc_id ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN ' · <b>now: yes</b>' ELSE '' END || '<br><i></i> · ' || doi || '<br><a href="https://doi.org/' || doi || '">published version (DOI)</a><br><small>' || repeat('e', 600) || '</small></div>' AS card FROM e""")
+def review_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Rows to validate as pieces of a page."""
+    i, none = F.col("doc_id"), F.lit(None).cast("string")
+    rows = papers(spark, d).select("doi", "title", F.lit("a < b").alias("why"), F.when(i % 2 == 0, i).alias("embedding_rank"), F.when(i % 3 == 0, "yes").alias("verdict"), none.alias("journal"), F.lit("e" * 700).alias("evidence"), sheets.paper_links(F.col("doi"), none, none, none).alias("links"))
+    return sheets.card(rows)
+
+
 # ---- contacts --------------------------------------------------------------------------------------------------------
 
 
@@ -299,6 +308,27 @@ def papers_merge_status(spark: SparkSession, d: str) -> DataFrame:
     return filing.file_papers(pasted(spark, d), *_filed(spark, d))
 
 
+_STATUS = f"""
+WITH RECURSIVE {_LINES}, held AS (SELECT '10.1234/p' || s_suppkey AS doi, 2000 AS y FROM supplier), meta AS (SELECT '10.1234/p' || c_custkey AS doi, CASE WHEN c_custkey % 4 <> 0 THEN (2000 + c_custkey % 20)::INTEGER END AS issued FROM customer WHERE c_custkey <= 500),
+s AS (SELECT p.*, h.y AS held, m.doi IS NOT NULL AS known, m.issued FROM pasted p LEFT JOIN held h ON h.doi = p.doi LEFT JOIN meta m ON m.doi = p.doi WHERE p.doi IS NOT NULL)
+"""
+
+
+@query(_STATUS + """SELECT pos, k::INTEGER AS k, concat_ws(' ', doi, year::VARCHAR) || CASE WHEN NOT known THEN '    # not found in Crossref: check the DOI' ELSE '    # no publication year known: add the year after the DOI' END AS note
+FROM s WHERE held IS NULL AND (NOT known OR (issued IS NULL AND year IS NULL AND NOT EXISTS (SELECT 1 FROM s o WHERE o.doi = s.doi AND o.pos < s.pos AND o.year IS NOT NULL)))""")
+def papers_left_over(spark: SparkSession, d: str) -> DataFrame:
+    """Lines to hand back, with what is wrong."""
+    return filing.leftover(filing.file_papers(pasted(spark, d), *_filed(spark, d)))
+
+
+@query(_STATUS + """SELECT doi, coalesce(arg_max(year, pos) FILTER (year IS NOT NULL), any_value(held), any_value(issued))::INTEGER AS year, CASE WHEN any_value(held) IS NULL THEN 'staff' END AS source
+FROM (SELECT doi, pos, year, held, known, issued FROM s UNION ALL SELECT doi, 0, NULL, y, false, NULL FROM held) GROUP BY doi HAVING any_value(held) IS NOT NULL OR (bool_or(known) AND (any_value(issued) IS NOT NULL OR bool_or(year IS NOT NULL)))""")
+def papers_after_filing(spark: SparkSession, d: str) -> DataFrame:
+    """All filed papers with what was added and moved."""
+    held, known = _filed(spark, d)
+    return filing.filed_after(held, filing.file_papers(pasted(spark, d), held, known), known, "staff", "2024-01-01").select("doi", F.col("year").cast("int"), "source")
+
+
 @query("""
 WITH e AS (SELECT p_partkey AS pos, CASE p_size % 4 WHEN 0 THEN '2020' WHEN 1 THEN '2021' WHEN 2 THEN '2022' ELSE 'notes' END AS file, CASE WHEN p_size % 9 = 2 THEN '10.1234/UP' || p_partkey WHEN p_size % 9 = 5 THEN NULL ELSE '10.1234/p' || (100000 + p_partkey % 1500) END AS doi,
   CASE WHEN p_size % 8 = 1 THEN 'write to a.b@c.org' ELSE p_name END AS title, CASE WHEN p_size % 6 = 0 THEN '' ELSE 'staff' END AS source, CASE WHEN p_size % 10 = 7 THEN 'private' END AS note FROM part),

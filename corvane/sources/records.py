@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +56,12 @@ def read_staff(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path).filter(T.present(F.col("name"))).select(T.name_key(F.col("name")).alias("key")).distinct()
 
 
+def read_papers(spark: SparkSession, path: str) -> DataFrame:
+    """Filed papers (``write_papers``), with ``year`` from their folders and DOIs cleaned; rows without one go."""
+    kind = "doi string, title string, journal string, published string, type string, pmid string, pmcid string, europepmc_id string, source string, added string, year int"
+    return read_or_empty(spark, path, kind, "json").withColumn("doi", T.doi(F.col("doi"))).filter("doi <> ''")
+
+
 def resource_id(resource: Column, mapping: list[tuple[str, str]]) -> Column:
     """The instrument of the first name part that a resource's name holds; else the name itself."""
     plain = F.lower(F.trim(F.coalesce(resource, F.lit(""))))
@@ -140,6 +149,29 @@ def resolve_texts(papers: DataFrame, offers: DataFrame) -> DataFrame:
     return papers.select("doi").join(best, "doi", "left").select("doi", "t.*")
 
 
+def pdf_texts(files: DataFrame, read: Callable[[bytes], str | None]) -> DataFrame:
+    """(id, text): the text of each paper's first file that is a PDF and has text; ``files`` (id, pos, content).
+
+    ``read`` turns a PDF into text, null if it can't; it is called in tasks, for files that begin as PDFs do.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [read(c) for c in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["id", "pos", "text"])
+
+    kind = files.schema["id"].dataType.simpleString()
+    pdfs = files.filter(F.substring("content", 1, 4) == F.lit(b"%PDF")).select("id", F.col("pos").cast("long"), "content")
+    found = pdfs.mapInArrow(run, f"id {kind}, pos long, text string").filter(~T.blank(F.col("text")))
+    return found.groupBy("id").agg(F.min_by("text", "pos").alias("text"))
+
+
+def to_retry(papers: DataFrame, markers: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """Papers (doi) worth another look for a text: without a marker (doi, at) that none was found in the last ``days``."""
+    recent = markers.filter(F.col("at") > now - F.expr(f"INTERVAL {int(days)} DAYS")).select("doi")
+    return papers.join(recent, "doi", "left_anti")
+
+
 def reusable(text: Column, scope: Column, source: Column) -> Column:
     """Whether a held text spares another look: an article, not a part, and whole for sure or from a trusted source."""
     whole = (scope == "full") | (scope.isNull() & source.isin(*TRUSTED)) | (~scope.isin("full", "partial") & source.isin(*TRUSTED))
