@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.bpe import encode_documents
 from corvane.llm.chat import tokenizer_file
-from corvane.llm.common import Workspace, table
+from corvane.llm.common import Workspace, table, unused
 from corvane.llm.decontaminate import drop_contaminated
 from corvane.llm.line_dedup import dedup_lines
 from corvane.llm.minhash import keep_one
@@ -29,12 +29,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that stay in a later one; n_chars follows the text."""
-    kept = dedup_lines(docs, text_name="_kept")
-    text = F.when(F.col("text").isNull() & (F.col("n_dropped") == 0), F.col("text")).otherwise(F.col("_kept"))
-    named = {"text": text}
+    """All documents, without the lines that stay in a later one; n_chars follows the text. Columns keep their values whatever their names."""
+    own = {c: unused(f"own_{c}", docs) for c in docs.columns if c.lower() in ("n_lines", "n_dropped")}
+    name = unused("kept", docs)
+    kept = dedup_lines(docs.withColumnsRenamed(own), text_name=name)
+    text = F.when(F.col("text").isNull() & (F.col("n_dropped") == 0), F.col("text")).otherwise(F.col(name))
+    named = {c: F.col(n) for c, n in own.items()} | {"text": text}
     if "n_chars" in docs.columns:
-        named["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        named["n_chars"] = F.when(F.col("n_dropped") > 0, F.length(name).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return kept.select(*(named[c].alias(c) if c in named else F.col(c) for c in docs.columns))
 
 
