@@ -364,6 +364,15 @@ def test_the_pipeline_keeps_what_it_should(spark, tmp_path):
         assert stage(spark, docs, d).columns == docs.columns and stage(spark, docs.limit(0), d).count() == 0
 
 
+def test_stages_keep_columns_whose_names_clash(spark, tmp_path):
+    spark.createDataFrame([(3, 1), (4, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "no such passage at all anywhere")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    df = odd(spark, [(*r[:2], "own", *r[3:]) for r in ODD]).withColumn("n_dropped", F.lit(77))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns and {(r.n_lines, r.n_dropped) for r in out.collect()} == {("own", 77)}
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver's tables")
 def test_every_query_runs_on_the_smallest_tables(spark):
     n = {t: spark.read.parquet(f"{FOLDER}/{t}.parquet").count() for t in ("documents", "pages")}
