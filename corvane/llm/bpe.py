@@ -305,9 +305,11 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary) -> dict[bytes, list[
             yield out()
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = Workspace(docs.sparkSession, "bpe").save(counted, "words")
+    ws = Workspace(docs.sparkSession, "bpe")
+    counted = ws.save(counted, "words")
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = counted.filter(F.col("word").isNotNull() & (F.col("n") >= max(2, -(-total // (1 << LEXICON_BITS))))).toArrow()
+    ws.keep()
     merge, special = vocabulary.merger(), {s.encode() for s in vocabulary.added}
     return {w: merge(w) for w in rows.column("word").to_pylist() if w not in special}
 

@@ -50,6 +50,13 @@ class Workspace:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep(self, *names: str) -> None:
+        """Remove all tables but these."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(root):
+            self.drop(*{s.getPath().getName() for s in fs.listStatus(root)}.difference(names))
+
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of long texts small, unless the session already asks for smaller ones."""

@@ -154,8 +154,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     """
     ws = Workspace(docs.sparkSession, "lines")
     gone = dropped_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ws, min_chars, min_docs, batches)
+    gone = ws.save(gone, "dropped")
+    ws.keep("dropped")  # all that the result reads
     at, hash_, places_, own = (unused(n, docs) for n in ("gone_id", "gone_hash", "gone", "text_hash"))
-    gone = ws.save(gone, "dropped").select(F.col("doc_id").alias(at), F.col("text_hash").alias(hash_), F.col("dropped").alias(places_))
+    gone = gone.select(F.col("doc_id").alias(at), F.col("text_hash").alias(hash_), F.col("dropped").alias(places_))
     hashed = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
     match = F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.col(own) == F.col(hash_))
     joined = hashed.join(gone.hint("shuffle_hash"), match, "left")

@@ -171,6 +171,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         stars = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = ws.save(connected_components(stars.unionAll(more), ws, "cc-2"), "components-2")
     by_set = ws.save(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id")), "by-set")
+    ws.keep("signed", "by-set")  # all that the result reads
     # rows without words have nothing to look up: they don't meet in one task
     out = signed.select("doc_id", "n", "d1", "d2").filter("n > 0").join(by_set, ["d1", "d2", "n"], "left").select("doc_id", "n", "component_id")
     out = out.unionByName(signed.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))

@@ -165,7 +165,15 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_nega
     """Fit on labelled rows of ``docs``; the result depends on the texts and labels alone."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = Workspace(spark, "toxicity").save(labelled_sample(docs, labels, max_positive, max_negative), "sample")
+    ws = Workspace(spark, "toxicity")
+    try:
+        return _trained(ws.save(labelled_sample(docs, labels, max_positive, max_negative), "sample"))
+    finally:
+        ws.keep()
+
+
+def _trained(rows: DataFrame) -> Model:
+    """The model of a sample (doc_id, b, y)."""
     n_pos, n_all = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
     weights = np.zeros(1 << BITS)
     if n_pos in (0, n_all):
