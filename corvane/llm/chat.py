@@ -67,12 +67,15 @@ def mask_of(tokens: np.ndarray, spans: np.ndarray) -> np.ndarray:
 
 def masked_text(text: str, tokens: np.ndarray, mask: np.ndarray) -> str:
     """The text under masked tokens; tokens that share a character count it once."""
-    out, free = [], 0
-    for s, e in tokens[mask]:
-        if e > free:
-            out.append(text[max(s, free) : e])
-            free = e
-    return "".join(out)
+    own = tokens[mask]
+    if not len(own):
+        return ""
+    start = np.maximum(own[:, 0], np.append(0, np.maximum.accumulate(own[:, 1])[:-1]))  # what earlier tokens cover is theirs
+    more = own[:, 1] > start
+    start, end = start[more], own[more, 1]
+    first = np.flatnonzero(np.append(True, start[1:] != end[:-1])) if len(start) else np.zeros(0, int)
+    last = np.append(first[1:], len(start)) - 1
+    return "".join(text[a:b] for a, b in zip(start[first].tolist(), end[last].tolist(), strict=True))
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
