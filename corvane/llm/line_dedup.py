@@ -74,7 +74,8 @@ class LineRuns:
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch (doc_id, h1, h2)."""
-        own = self._write(lines.groupBy(*HASH).agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc")))
+        own = lines.groupBy(*HASH).agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        own = self._write(own.repartition(self.buckets, *HASH))  # a bucket a task, so a file a bucket
         runs = self.runs()
         if runs:
             batch = self.spark.table(own)
@@ -134,7 +135,8 @@ def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame, ws: Workspace, min_chars: int, min_docs: int, batches: int) -> DataFrame:
     """(doc_id, text_hash, dropped): the sorted positions of the lines that each document loses; only documents that lose some."""
     part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(batches)).cast("int")
-    lines = ws.save(line_table(docs, min_chars).withColumn("part", part), "lines", "part")
+    # sorted by part: a filter by it reads a part of each file
+    lines = ws.save(line_table(docs, min_chars).withColumn("part", part).sortWithinPartitions("part"), "lines")
     runs = LineRuns(ws, min(50_000, max(8, -(-lines.count() // BUCKET_LINES))))
     for k in range(batches):
         runs.add(lines.filter(F.col("part") == k))
