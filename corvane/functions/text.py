@@ -77,7 +77,8 @@ def between(text: Column, start: Column, end: Column) -> Column:
 
 def redact(text: Column, limit: int | None = SENTENCE_CHARS) -> Column:
     """Trimmed, mail addresses masked, cut to ``limit``: the length of an evidence sentence, None for whole texts."""
-    masked = F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), EMAIL, "[email]")
+    stripped = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    masked = F.when(F.contains(text, F.lit("@")), F.regexp_replace(stripped, EMAIL, "[email]")).otherwise(stripped)
     return masked if limit is None else F.substring(masked, 1, limit)
 
 

@@ -72,8 +72,12 @@ def fingerprint_of(text: Column, pattern: str, exclude: str | None, components:
     near = windows_around(text, java_pattern(pattern), reach)
     if exclude:
         near = F.filter(near, lambda w: ~has(w, exclude))
-    first = lambda p: F.get(F.filter(F.transform(near, lambda w: F.regexp_extract(w, java_pattern(p), 0)), lambda x: x != ""), F.lit(0))
-    return F.array_sort(F.array_compact(F.array(*(first(p) for p in components))))
+
+    def found(windows: Column) -> Column:
+        first = lambda p: F.get(F.filter(F.transform(windows, lambda w: F.regexp_extract(w, java_pattern(p), 0)), lambda x: x != ""), F.lit(0))
+        return F.array_sort(F.array_compact(F.array(*(first(p) for p in components))))
+
+    return T.let(near, found)
 
 
 def windows_around(text: Column, pattern: str, reach: int) -> Column:
@@ -121,7 +125,7 @@ def screen(papers: DataFrame, r: Rules, private_staff: tuple[str, ...] = ()) ->
         "microscopy_terms": F.regexp_count("clean", F.lit(java_pattern(r.microscopy))),
         "network_named": has(F.col("clean"), r.network),
         "other_local_imaging": has(F.col("clean"), r.other_local),
-        "local_email": has(F.col("clean"), r.email),
+        "local_email": F.contains("clean", F.lit("@")) & has(F.col("clean"), r.email),
     })
     strong = F.lit([i.id for i in r.instruments if i.strength == "strong"] or [""])
     special = F.lit([t.id for t in r.techniques if t.strength == "specialist"] or [""])
