@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -58,7 +58,7 @@ def file_papers(parsed: DataFrame, filed: DataFrame, metadata: DataFrame, allow_
 
 def leftover(statuses: DataFrame) -> DataFrame:
     """(pos, k, note): the lines to hand back, with what is wrong; only DOI and year are repeated."""
-    notes = {"unknown doi": "not found in Crossref: check the DOI", "no year": "no publication year known: add the year after the DOI"}
+    notes = {"unknown doi": "no registry knows this DOI", "no year": "which year? write it behind the DOI"}
     note = F.coalesce(*(F.when(F.col("status") == s, F.lit(f"    # {t}")) for s, t in notes.items()))
     return statuses.filter(F.col("status").isin(*notes)).select("pos", "k", F.concat(F.concat_ws(" ", "doi", F.col("year").cast("string")), note).alias("note"))
 
@@ -71,29 +71,40 @@ def filed_after(filed: DataFrame, statuses: DataFrame, metadata: DataFrame, sour
     return kept.unionByName(new, allowMissingColumns=True)
 
 
-def check_papers(papers: DataFrame, known: DataFrame, resolving: DataFrame) -> DataFrame:
-    """(doi, problem) of filed papers (file, pos, doi, ...): all that is wrong with each.
+def filed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, pos, line) of filed papers as ``records.write_papers`` leaves them, read as plain lines so that broken ones are seen: ``file`` is the year of the folder."""
+    folder = F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]*$", 1)
+    return spark.read.text(path, recursiveFileLookup=True).select(F.regexp_replace(folder, "^year=", "").alias("file"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
 
-    ``known`` (doi): what was filed before the change. ``resolving`` (doi): DOIs that are known to exist. ``file`` names
-    the file without its ending, ``pos`` the place in it; other columns than FIELDS and these aren't public.
+
+def check_papers(lines: DataFrame, known: DataFrame, resolving: DataFrame) -> DataFrame:
+    """(file, doi, problem) of filed papers (file, pos, line): all that is wrong, with a null DOI for what is wrong with a whole file.
+
+    A line is a JSON object of a paper's fields. Files not named by a year, with lines that can't be read or that are no
+    objects, are named once and their entries aren't looked at, nor counted as filed; so is one whose DOIs are out of
+    order, but its entries are. ``known`` (doi): what was filed before. ``resolving`` (doi): DOIs that registries know.
     """
-    extra = [c for c in papers.columns if c not in (*FIELDS, "file", "pos")]
-    w = Window.partitionBy("file").orderBy("pos")
-    rows = papers.withColumn("doi", F.coalesce("doi", F.lit(""))).withColumn("previous", F.lag("doi").over(w))
-    rows = rows.withColumn("earlier", F.lag("file").over(Window.partitionBy("doi").orderBy("file", "pos")))
-    rows = rows.join(known.select("doi", F.lit(False).alias("is_new")).distinct(), "doi", "left").join(resolving.select("doi", F.lit(True).alias("resolves")).distinct(), "doi", "left")
+    entry = F.from_json("line", "map<string,string>")
+    rows = lines.filter(present(F.trim("line"))).select("file", "pos", entry.alias("e"), F.expr("try_parse_json(line)").isNotNull().alias("parsed"))
+    rows = rows.withColumn("doi", F.coalesce(F.col("e").getItem("doi"), F.lit("")))
+    rows = rows.withColumn("previous", F.lag("doi").over(Window.partitionBy("file").orderBy("pos")))
+    files = rows.groupBy("file").agg(F.bool_or(~F.col("parsed")).alias("broken"), F.bool_or(F.col("parsed") & F.col("e").isNull()).alias("mixed"), F.bool_or(F.col("previous") > F.col("doi")).alias("unsorted"))
+    unusable = F.when(~F.col("file").rlike("^[0-9]+$"), "the file's name is no year").when(F.col("broken"), "lines of the file are no JSON").when(F.col("mixed"), "the file holds more than entries")
+    files = files.withColumn("unusable", unusable)
+    of_files = files.select("file", F.lit(None).cast("string").alias("doi"), F.coalesce("unusable", F.when(F.col("unsorted"), "DOIs are out of order")).alias("problem")).filter("problem IS NOT NULL")
+    rows = rows.join(files.filter("unusable IS NULL").select("file"), "file")
     right = (F.col("doi") != "") & (doi(F.col("doi")) == F.col("doi"))
-    new = right & F.col("is_new").isNull()
-    held = [F.col(c).cast("string") for c in papers.columns if c not in ("file", "pos")]
-    has_extra = [F.when(present(F.col(c).cast("string")), F.lit(c)) for c in extra]
+    good = rows.filter(right)
+    shapes = rows.filter(~right).select("file", "doi", F.lit("the DOI is missing or not in its short lower-case form").alias("problem"))
+    good = good.withColumn("earlier", F.lag("file").over(Window.partitionBy("doi").orderBy("file", "pos")))
+    good = good.join(known.select("doi", F.lit(False).alias("is_new")).distinct(), "doi", "left").join(resolving.select("doi", F.lit(True).alias("resolves")).distinct(), "doi", "left")
+    private = F.array_sort(F.array_except(F.map_keys("e"), F.lit(list(FIELDS))))
+    new = F.col("is_new").isNull()
     tests: list[Column] = [
-        F.when(~F.col("file").rlike("^[0-9]+$"), F.lit("year files are named by the year")),
-        F.when(F.col("previous") > F.col("doi"), F.lit("entries are not sorted by DOI")),
-        F.when(~right, F.lit("not a normalised DOI (lower case, no link)")),
-        F.when(right & F.col("earlier").isNotNull(), F.concat(F.lit("filed twice ("), "earlier", F.lit(" and "), "file", F.lit(")"))),
-        F.when(right & (F.size(F.array_compact(F.array(*has_extra))) > 0), F.concat(F.lit("only public metadata may be filed, not "), F.array_join(F.array(*has_extra), ", "))) if extra else F.lit(None).cast("string"),
-        F.when(right & F.exists(F.array(*held), lambda v: F.coalesce(v.rlike(_MAIL), F.lit(False))), F.lit("looks like it holds an e-mail address")),
-        F.when(new & ~F.coalesce(present(F.col("source")), F.lit(False)), F.lit("new paper without a source (how it was confirmed)")),
-        F.when(new & F.col("resolves").isNull(), F.lit("does not resolve in Crossref")),
+        F.when(F.col("earlier").isNotNull(), F.concat(F.lit("stands in "), "earlier", F.lit(" and in "), "file")),
+        F.when(F.size(private) > 0, F.concat(F.lit("has fields that aren't public: "), F.array_join(private, ", "))),
+        F.when(F.exists(F.map_values("e"), lambda v: F.coalesce(v.rlike(_MAIL), F.lit(False))), F.lit("an e-mail address is in it")),
+        F.when(new & ~F.coalesce(present(F.col("e").getItem("source")), F.lit(False)), F.lit("new, and nothing tells who confirmed it")),
+        F.when(new & F.col("resolves").isNull(), F.lit("new, and no registry knows its DOI")),
     ]
-    return rows.select("doi", F.explode(F.array_compact(F.array(*tests))).alias("problem"))
+    return of_files.unionByName(shapes).unionByName(good.select("file", "doi", F.explode(F.array_compact(F.array(*tests))).alias("problem")))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from corvane.functions.text import wilson
@@ -129,26 +132,36 @@ def coverage(offered: DataFrame, r: Rules) -> DataFrame:
     return no_pattern.unionByName(no_parts).unionByName(no_technique).unionByName(unused)
 
 
+def as_text(title: str, rows: list, **columns: Callable[[Row], object]) -> list[str]:
+    """A small collected table as aligned lines: a title, a head, a line a row; nothing where there are no rows."""
+    if not rows:
+        return []
+    cells = [[c.replace("_", " ") for c in columns]] + [[str(f(r)) for f in columns.values()] for r in rows]
+    width = [max(map(len, column)) for column in zip(*cells)]
+    return [title, *("  ".join(x.rjust(n) for x, n in zip(line, width)) for line in cells)]
+
+
+def share(part: int, whole: int) -> str:
+    """A share in percent, or a dash of nothing."""
+    return f"{100 * part / whole:.0f} %" if whole else "-"
+
+
 def format_recall(rows: list) -> str:
-    """``with_interval``'s rows, collected, as lines to read; one a year, so few."""
-    lines = [f"{'year':6}{'listed':>8}{'found':>7}{'recall':>8}{'95% CI':>12}{'w/ text':>9}{'new ack':>9}{'new instr':>11}"]
-    for r in sorted(rows, key=lambda r: r.year):
-        interval = f"{r.low:.2f}-{r.high:.2f}" if r.listed else "n/a"
-        lines.append(f"{r.year:<6}{r.listed:>8}{r.found:>7}{r.recall or 0:>8.2f}{interval:>12}{r.found_with_text:>4}/{r.listed_with_text:<4}{r.new_report:>9}{r.new_check:>11}")
-    return "\n".join(lines)
+    """``with_interval``'s rows, collected: a line a year, so few."""
+    within = lambda r: f"{100 * r.low:.0f} to {100 * r.high:.0f} %" if r.listed else "-"
+    return "\n".join(as_text(
+        "Confirmed papers that the rules found, by year", sorted(rows, key=lambda r: r.year), year=lambda r: r.year, confirmed=lambda r: r.listed, found=lambda r: r.found, recall=lambda r: share(r.found, r.listed), likely_range=within,
+        confirmed_with_text=lambda r: r.listed_with_text, found_with_text=lambda r: r.found_with_text, new_to_report=lambda r: r.new_report, new_to_check=lambda r: r.new_check,
+    ))
 
 
 def format_feedback(groups: list, bands: list, reasons: list, found: list) -> str:
-    """What verdicts say, as lines to read."""
-    lines = [f"{sum(g.yes + g.likely + g.no for g in groups)} decisions"]
-    for g in groups:
-        n = g.yes + g.likely + g.no
-        lines.append(f"  {g.why_group:<13} {n:>4} reviewed: {g.yes} yes, {g.likely} likely, {g.no} no  (yes {g.yes / n:.0%})")
-    if bands:
-        lines.append("check list, yes by embedding rank:")
-        lines += [f"  rank {b.band:<8} {b.yes:>3} yes of {b.reviewed:>3} reviewed" for b in sorted(bands, key=lambda b: int(b.band.split("-")[0].rstrip("+")))]
-    lines += [f"why not ({r.why_group}): {r.reason} {r.n}" for r in sorted(reasons, key=lambda r: (r.why_group, -r.n, r.reason))]
-    if found:
-        lines.append(f"{len(found)} facility papers found only by the check list:")
-        lines += [f"  {m.year} rank {m.rank:>4}  {m.doi}  {m.reason}" for m in sorted(found, key=lambda m: (m.year, m.rank))]
-    return "\n".join(lines)
+    """What verdicts say of the rules and the ranking: four small tables, collected."""
+    n = lambda g: g.yes + g.likely + g.no
+    tables = (
+        as_text("Verdicts by why a paper was shown", groups, shown_because=lambda g: g.why_group, verdicts=n, yes=lambda g: g.yes, likely=lambda g: g.likely, no=lambda g: g.no, share_of_yes=lambda g: share(g.yes, n(g))),
+        as_text("Check list: how far down it still pays", sorted(bands, key=lambda b: int(re.match(r"\d+", b.band)[0])), places=lambda b: b.band, verdicts=lambda b: b.reviewed, yes=lambda b: b.yes),
+        as_text("Reasons for no", sorted(reasons, key=lambda r: (r.why_group, -r.n, r.reason)), shown_because=lambda r: r.why_group, papers=lambda r: r.n, reason=lambda r: r.reason),
+        as_text("Papers that no rule found", sorted(found, key=lambda m: (m.year, m.rank)), year=lambda m: m.year, place=lambda m: m.rank, doi=lambda m: m.doi, reason=lambda m: m.reason),
+    )
+    return "\n".join("\n".join(t) for t in tables if t) or "No verdicts yet"

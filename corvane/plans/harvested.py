@@ -105,13 +105,13 @@ def landing_and_authors(spark: SparkSession, d: str) -> DataFrame:
     return _works(spark, d).select("doi", harvest.landing_url(F.col("answer")).alias("url"), names.alias("authors")).filter("url IS NOT NULL")
 
 
-@query("""WITH l AS (SELECT l_orderkey, l_linenumber AS i, 'https://oa/' || (l_partkey % 5) AS url, CASE l_linestatus WHEN 'O' THEN 'publishedVersion' ELSE CASE WHEN l_quantity > 25 THEN 'acceptedVersion' ELSE 'unknown' END END AS version FROM lineitem WHERE l_orderkey % 20 = 0 AND l_returnflag <> 'R'),
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber AS i, 'https://oa/' || (l_partkey % 5) AS url, CASE l_linestatus WHEN 'O' THEN 'publishedVersion' ELSE CASE WHEN l_quantity > 25 THEN 'acceptedVersion' ELSE 'unknown' END END AS version FROM lineitem WHERE l_returnflag <> 'R'),
 f AS (SELECT l_orderkey, url, arg_min(version, {'i': i, 'v': version}) AS version FROM l GROUP BY ALL) SELECT '10.1234/o' || l_orderkey AS doi, (row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE version WHEN 'publishedVersion' THEN 3 WHEN 'acceptedVersion' THEN 2 ELSE 0 END DESC, url) - 1)::INTEGER AS pos, url, version FROM f""")
 def open_access_locations(spark: SparkSession, d: str) -> DataFrame:
     """Open PDFs of each work, the published version first."""
     version = F.when(F.col("l_linestatus") == "O", "publishedVersion").when(F.col("l_quantity") > 25, "acceptedVersion").otherwise("unknown")
     place = F.struct(F.concat(F.lit("https://oa/"), (F.col("l_partkey") % 5).cast("string")).alias("pdf_url"), (F.col("l_returnflag") != "R").alias("is_oa"), F.lit("cc").alias("license"), version.alias("version"), F.lit("").alias("landing_page_url"))
-    rows = read(spark, d, "lineitem").filter("l_orderkey % 20 = 0").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", place.alias("p")))), lambda x: x.p).alias("locations"))
+    rows = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", place.alias("p")))), lambda x: x.p).alias("locations"))
     answers = rows.select(F.concat(F.lit("10.1234/o"), F.col("l_orderkey").cast("string")).alias("doi"), F.to_json(F.struct(F.array(F.struct("locations")).alias("results"))).alias("answer"))
     return harvest.oa_locations(answers).select("doi", "pos", "url", "version")
 

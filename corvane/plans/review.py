@@ -314,7 +314,7 @@ s AS (SELECT p.*, h.y AS held, m.doi IS NOT NULL AS known, m.issued FROM pasted
 """
 
 
-@query(_STATUS + """SELECT pos, k::INTEGER AS k, concat_ws(' ', doi, year::VARCHAR) || CASE WHEN NOT known THEN '    # not found in Crossref: check the DOI' ELSE '    # no publication year known: add the year after the DOI' END AS note
+@query(_STATUS + """SELECT pos, k::INTEGER AS k, concat_ws(' ', doi, year::VARCHAR) || CASE WHEN NOT known THEN '    # no registry knows this DOI' ELSE '    # which year? write it behind the DOI' END AS note
 FROM s WHERE held IS NULL AND (NOT known OR (issued IS NULL AND year IS NULL AND NOT EXISTS (SELECT 1 FROM s o WHERE o.doi = s.doi AND o.pos < s.pos AND o.year IS NOT NULL)))""")
 def papers_left_over(spark: SparkSession, d: str) -> DataFrame:
     """Lines to hand back, with what is wrong."""
@@ -330,20 +330,26 @@ def papers_after_filing(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT p_partkey AS pos, CASE p_size % 4 WHEN 0 THEN '2020' WHEN 1 THEN '2021' WHEN 2 THEN '2022' ELSE 'notes' END AS file, CASE WHEN p_size % 9 = 2 THEN '10.1234/UP' || p_partkey WHEN p_size % 9 = 5 THEN NULL ELSE '10.1234/p' || (100000 + p_partkey % 1500) END AS doi,
-  CASE WHEN p_size % 8 = 1 THEN 'write to a.b@c.org' ELSE p_name END AS title, CASE WHEN p_size % 6 = 0 THEN '' ELSE 'staff' END AS source, CASE WHEN p_size % 10 = 7 THEN 'private' END AS note FROM part),
-n AS (SELECT *, coalesce(doi, '') AS x, lag(coalesce(doi, '')) OVER (PARTITION BY file ORDER BY pos) AS previous, lag(file) OVER (PARTITION BY coalesce(doi, '') ORDER BY file, pos) AS earlier, coalesce(doi, '') LIKE '10.1234/p%' AS good, pos % 1500 < 600 AS known FROM e)
-SELECT x AS doi, unnest(list_filter([CASE WHEN file = 'notes' THEN 'year files are named by the year' END, CASE WHEN previous > x THEN 'entries are not sorted by DOI' END, CASE WHEN NOT good THEN 'not a normalised DOI (lower case, no link)' END, CASE WHEN good AND earlier IS NOT NULL THEN 'filed twice (' || earlier || ' and ' || file || ')' END,
-  CASE WHEN good AND note IS NOT NULL THEN 'only public metadata may be filed, not note' END, CASE WHEN good AND title LIKE '%@%' THEN 'looks like it holds an e-mail address' END, CASE WHEN good AND NOT known AND source = '' THEN 'new paper without a source (how it was confirmed)' END, CASE WHEN good AND NOT known AND (100000 + pos % 1500) % 7 = 0 THEN 'does not resolve in Crossref' END], lambda p: p IS NOT NULL)) AS problem FROM n""")
+WITH e AS (SELECT p_partkey AS pos, CASE WHEN p_size = 7 THEN '2023' WHEN p_size = 15 THEN '2024' ELSE CASE p_size % 4 WHEN 0 THEN '2020' WHEN 1 THEN '2021' WHEN 2 THEN '2022' ELSE 'notes' END END AS file,
+  CASE WHEN p_size % 9 = 2 THEN '10.1234/UP' || p_partkey WHEN p_size % 9 = 5 THEN NULL ELSE '10.1234/p' || (100000 + p_partkey % 1500) END AS doi, p_size % 8 = 1 AS mail, p_size % 6 = 0 AS unsourced, p_size % 10 = 7 AS private FROM part),
+f AS (SELECT file, bool_or(file = '2023' AND pos % 3 = 0) AS broken, bool_or(file = '2024' AND pos % 3 = 0) AS mixed FROM e GROUP BY file),
+w AS (SELECT file, CASE WHEN file = 'notes' THEN 'the file''s name is no year' WHEN broken THEN 'lines of the file are no JSON' WHEN mixed THEN 'the file holds more than entries' END AS problem FROM f),
+n AS (SELECT *, coalesce(doi, '') AS x, lag(coalesce(doi, '')) OVER (PARTITION BY file ORDER BY pos) AS previous, lag(file) OVER (PARTITION BY coalesce(doi, '') ORDER BY file, pos) AS earlier, coalesce(doi, '') LIKE '10.1234/p%' AS good, pos % 1500 < 600 AS known FROM e WHERE file IN (SELECT file FROM w WHERE problem IS NULL))
+SELECT file, NULL AS doi, problem FROM w WHERE problem IS NOT NULL UNION ALL SELECT DISTINCT file, NULL, 'DOIs are out of order' FROM n WHERE previous > x UNION ALL
+SELECT file, x, unnest(list_filter([CASE WHEN NOT good THEN 'the DOI is missing or not in its short lower-case form' END, CASE WHEN good AND earlier IS NOT NULL THEN 'stands in ' || earlier || ' and in ' || file END,
+  CASE WHEN good AND private THEN 'has fields that aren''t public: by, note' END, CASE WHEN good AND mail THEN 'an e-mail address is in it' END, CASE WHEN good AND NOT known AND unsourced THEN 'new, and nothing tells who confirmed it' END, CASE WHEN good AND NOT known AND (100000 + pos % 1500) % 7 = 0 THEN 'new, and no registry knows its DOI' END], lambda p: p IS NOT NULL)) AS problem FROM n""")
 def papers_check(spark: SparkSession, d: str) -> DataFrame:
-    """Everything that is wrong with filed papers."""
+    """Everything that is wrong with filed papers, unreadable files included."""
     i, size = F.col("p_partkey"), F.col("p_size")
     name = lambda k: F.concat(F.lit("10.1234/p"), (100000 + k).cast("string"))
     doi = F.when(size % 9 == 2, F.concat(F.lit("10.1234/UP"), i.cast("string"))).when(size % 9 == 5, None).otherwise(name(i % 1500))
-    file = F.when(size % 4 == 0, "2020").when(size % 4 == 1, "2021").when(size % 4 == 2, "2022").otherwise("notes")
-    rows = read(spark, d, "part").select(file.alias("file"), i.alias("pos"), doi.alias("doi"), F.when(size % 8 == 1, "write to a.b@c.org").otherwise(F.col("p_name")).alias("title"), F.when(size % 6 == 0, "").otherwise("staff").alias("source"), F.when(size % 10 == 7, "private").alias("note"))
+    file = F.when(size == 7, "2023").when(size == 15, "2024").when(size % 4 == 0, "2020").when(size % 4 == 1, "2021").when(size % 4 == 2, "2022").otherwise("notes")
+    private = F.when(size % 10 == 7, "private")
+    entry = F.to_json(F.struct(doi.alias("doi"), F.when(size % 8 == 1, "write to a.b@c.org").otherwise(F.col("p_name")).alias("title"), F.when(size % 6 == 0, "").otherwise("staff").alias("source"), private.alias("note"), private.alias("by")))
+    line = F.when((size == 7) & (i % 3 == 0), '{"doi": ').when((size == 15) & (i % 3 == 0), "[1, 2]").otherwise(entry)
+    lines = read(spark, d, "part").select(file.alias("file"), i.alias("pos"), line.alias("line"))
     ids = spark.range(1500)
-    return filing.check_papers(rows, ids.filter("id < 600").select(name(F.col("id")).alias("doi")), ids.filter("(100000 + id) % 7 <> 0").select(name(F.col("id")).alias("doi")))
+    return filing.check_papers(lines, ids.filter("id < 600").select(name(F.col("id")).alias("doi")), ids.filter("(100000 + id) % 7 <> 0").select(name(F.col("id")).alias("doi")))
 
 
 # ---- coverage --------------------------------------------------------------------------------------------------------

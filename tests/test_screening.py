@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import contacts, screening, sheets
 from corvane.plans import sweep
-from corvane.rules import load_rules, make_rules, rules_version
+from corvane.rules import load_rules, make_rules, problems, rules_version
 from corvane.sources import harvest, records
 
 RAW = {
@@ -107,8 +107,17 @@ def test_verdicts_are_never_guessed(spark):
 def test_rules_are_checked_and_stamped(tmp_path):
     path = tmp_path / "rules.json"
     path.write_text(json.dumps(RAW))
-    assert load_rules(path) == RULES and rules_version(path).startswith("config ")
-    for change, message in (({"score": None}, "score"), ({"institutional_sources": []}, "empty"), ({"institutional_fields": "some"}, "institutional_fields"), ({"institutional_sources": [{"name": "x", "adapter": "y"}]}, "adapter"), ({"false_positive_contexts": {}}, "affiliation")):
+    assert load_rules(path) == RULES
+    stamp = rules_version(path)
+    path.write_text(json.dumps(RAW, indent=2))
+    assert rules_version(path) == stamp
+    path.write_text(json.dumps({**RAW, "component_window_chars": 500}))
+    assert rules_version(path) != stamp
+    assert problems([]) == ["the file holds no settings by name"] and problems(RAW) == []
+    assert problems({**RAW, "score": 3, "instruments": None, "local_place_words": "", "institutional_sources": [{"name": "x"}]}) == [
+        "instruments: not set", "score: should be a mapping", "local_place_words: not set", "institutional_sources[0]: its adapter is none of ('dspace7', 'pure_oai')",
+    ]
+    for change, message in (({"score": None}, "score"), ({"institutional_sources": []}, "nothing would be screened"), ({"institutional_fields": "some"}, "institutional_fields"), ({"institutional_sources": [{"name": "x", "adapter": "y"}]}, "adapter"), ({"false_positive_contexts": {}}, "affiliation")):
         with pytest.raises(ValueError, match=message):
             make_rules({k: v for k, v in {**RAW, **change}.items() if v is not None})
 

@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from corvane.operators import ranking, reports
+from corvane.operators import papers, ranking, reports
 from corvane.plans import registry, workflow
 from corvane.sources import harvest, records
 from tests.test_screening import RULES, screened
@@ -61,14 +61,32 @@ def test_the_tables_of_a_year(spark):
 def test_feedback_is_told_in_words(spark):
     rows = [(2020, "d1", "reads like facility papers (rank 7)", 7, "yes", ""), (2020, "d2", "new: acknowledges the facility", None, "no", ""), (2020, "d3", "new: acknowledges the facility", None, "yes", "")]
     text = workflow.feedback(spark.createDataFrame(rows, "year int, doi string, why string, embedding_rank int, verdict string, reason string"))
-    assert "3 decisions" in text and "rank 1-50       1 yes of   1 reviewed" in text and "why not (acknowledges): (no reason given) 1" in text and "2020 rank    7  d1" in text
+    assert "Verdicts by why a paper was shown\nshown because  verdicts  yes  likely  no  share of yes\n" in text and "  1-50         1    1" in text
+    assert "acknowledges       1  (no reason given)" in text and "2020      7   d1" in text and workflow.feedback(spark.createDataFrame([], "year int, doi string, why string, embedding_rank int, verdict string, reason string")) == "No verdicts yet"
 
 
 def test_recall_is_told_in_words(spark):
     kind = "doi string, year int"
     counts = reports.with_interval(reports.recall(spark.createDataFrame([("a", 2020), ("b", 2020)], kind), spark.createDataFrame([("a", 2020, "report", True), ("c", 2021, "check", True)], kind + ", priority string, has_text boolean"), spark.createDataFrame([("a", 2020)], kind)))
     lines = reports.format_recall(counts.collect()).splitlines()
-    assert len(lines) == 3 and lines[1].split()[:4] == ["2020", "2", "1", "0.50"] and "n/a" in lines[2]
+    assert len(lines) == 4 and lines[2].split()[:5] == ["2020", "2", "1", "50", "%"] and lines[3].split()[:4] == ["2021", "0", "0", "-"]
+
+
+def test_filed_papers_are_checked_file_by_file(spark, tmp_path):
+    files = {
+        "2020": ['{"doi": "10.1234/b", "source": "staff"}', '{"doi": "10.1234/a", "source": "a.b@c.org"}', '{"doi": "10.1234/A"}', '{"title": "no doi"}', ""], "2021": ['{"doi": "10.1234/a", "source": "staff", "note": null}', '{"doi": "10.1234/new"}'],
+        "2022": ['{"doi": "10.1234/x"', '{"doi": "10.1234/a"}'], "2023": ['{"doi": "10.1234/a"}', '["10.1234/a"]'], "drafts": ['{"doi": "10.1234/a"}', "{"],
+    }
+    for year, lines in files.items():
+        (tmp_path / f"year={year}").mkdir()
+        (tmp_path / f"year={year}" / "part-0.json").write_text("\n".join(lines))
+    known = spark.createDataFrame([("10.1234/a",), ("10.1234/b",)], "doi string")
+    got = papers.check_papers(papers.filed_lines(spark, str(tmp_path)), known, known)
+    shape = "the DOI is missing or not in its short lower-case form"
+    assert sorted(map(tuple, got.na.fill("").collect())) == sorted([
+        ("2020", "", "DOIs are out of order"), ("2022", "", "lines of the file are no JSON"), ("2023", "", "the file holds more than entries"), ("drafts", "", "the file's name is no year"), ("2020", "10.1234/A", shape), ("2020", "", shape),
+        ("2020", "10.1234/a", "an e-mail address is in it"), ("2021", "10.1234/a", "stands in 2020 and in 2021"), ("2021", "10.1234/a", "has fields that aren't public: note"), ("2021", "10.1234/new", "new, and nothing tells who confirmed it"), ("2021", "10.1234/new", "new, and no registry knows its DOI"),
+    ])
 
 
 def test_texts_of_pdfs_and_markers(spark):
