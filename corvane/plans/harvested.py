@@ -124,6 +124,25 @@ def website_papers(spark: SparkSession, d: str) -> DataFrame:
     return harvest.website_dois(pages)
 
 
+def _oai_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as OAI-PMH answers, a page for each nation: some share a DOI, some have two."""
+    i, key = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    cell = lambda tag, x: F.concat(F.lit(f"<dc:{tag}>"), x, F.lit(f"</dc:{tag}>"))
+    ids = F.concat(cell("identifier", F.concat(F.lit("https://doi.org/10.1234/S"), (i % 40).cast("string"))), F.when(i % 7 == 0, cell("identifier", F.concat(F.lit("10.1234/t"), key))).otherwise(""), cell("identifier", F.concat(F.lit("http://portal/files/"), key)))
+    record = F.concat(F.lit("<record><header><identifier>oai:x</identifier></header><metadata><oai_dc:dc>"), F.when(i % 5 != 0, cell("title", F.concat(F.lit(" "), F.col("s_name"), F.lit(" &amp; co ")))).otherwise(""), cell("creator", F.concat(F.lit("Person, "), (i % 3).cast("string"))), ids, F.lit("</oai_dc:dc></metadata></record>"))
+    pages = read(spark, d, "supplier").select(F.col("s_nationkey").alias("page"), i.alias("i"), record.alias("r")).groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x.r), "").alias("rs"))
+    start, end = '<OAI-PMH xmlns="http://www.openarchives.org/OAI/2.0/" xmlns:oai_dc="o" xmlns:dc="d"><ListRecords>', "</ListRecords></OAI-PMH>"
+    return pages.select(F.lit(2022).alias("year"), "page", F.concat(F.lit(start), "rs", F.lit(end)).alias("answer"))
+
+
+@query("""WITH r AS (SELECT s_nationkey AS page, s_suppkey AS i, CASE WHEN s_suppkey % 5 <> 0 THEN s_name || ' & co' ELSE '' END AS title, 'Person, ' || (s_suppkey % 3) AS author, 'http://portal/files/' || s_suppkey AS file, unnest(CASE WHEN s_suppkey % 7 = 0 THEN ['10.1234/s' || (s_suppkey % 40), '10.1234/t' || s_suppkey] ELSE ['10.1234/s' || (s_suppkey % 40)] END) AS doi FROM supplier)
+SELECT doi, arg_min(title, {'p': page, 'i': i}) AS title, array_to_string(list_sort(list(DISTINCT file)), ' ') AS files, array_to_string(list_sort(list(DISTINCT author)), ' ') AS authors, 2022 AS year FROM r GROUP BY doi""")
+def oai_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records of OAI-PMH answers by DOI."""
+    rows = harvest.oai_items(_oai_pages(spark, d), "http://portal/files/")
+    return rows.select("doi", "title", F.array_join("files", " ").alias("files"), F.array_join("authors", " ").alias("authors"), "year")
+
+
 # ---- candidates, texts, logs -------------------------------------------------------------------------------------------
 
 

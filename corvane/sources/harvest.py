@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from corvane.functions.text import blank, doi, present
 
@@ -40,18 +42,18 @@ def clean_authors(names: Column) -> Column:
 # ---- DSpace ----------------------------------------------------------------------------------------------------
 
 
-def dspace_items(pages: DataFrame, year: int, doi_fields: tuple[str, ...] = ("dc.relation.doi", "dc.identifier.doi"), base_url: str = "") -> DataFrame:
+def dspace_items(pages: DataFrame, year: int | Column, doi_fields: tuple[str, ...] = ("dc.relation.doi", "dc.identifier.doi"), base_url: str = "") -> DataFrame:
     """Candidates of search pages (answer): one row an item, its DOI the first that is one among ``doi_fields``, empty if none is."""
     names = [*dict.fromkeys([*doi_fields, "dc.title", "dc.relation.ispartofjournal", "dc.okm.type", "dc.okm.discipline", "dc.okm.affiliatedauthor", "dc.contributor.organization"])]
     meta = ",".join(f"`{n}`:{_FIELD}" for n in names)
     kind = f"struct<_embedded:struct<searchResult:struct<_embedded:struct<objects:array<struct<_embedded:struct<indexableObject:struct<uuid:string,metadata:struct<{meta}>>>>>>>>>"
     item = F.from_json("answer", kind)["_embedded"]["searchResult"]["_embedded"]["objects"]
-    rows = pages.select(F.explode(item).alias("o")).select(F.col("o._embedded.indexableObject").alias("it"))
+    rows = pages.select(F.lit(year).alias("year"), F.explode(item).alias("o")).select("year", F.col("o._embedded.indexableObject").alias("it"))
     values = lambda n: F.coalesce(F.transform(F.col("it.metadata").getField(n), lambda v: v["value"]), F.array().cast("array<string>"))
     first = lambda n: F.coalesce(F.get(values(n), F.lit(0)), F.lit(""))
     dois = F.filter(F.transform(F.concat(*(values(n) for n in doi_fields)), doi), lambda d: d != "")
     return rows.select(
-        F.coalesce(F.get(dois, F.lit(0)), F.lit("")).alias("doi"), first("dc.title").alias("title"), first("dc.relation.ispartofjournal").alias("journal"), F.lit(year).alias("year"), first("dc.okm.type").alias("type"),
+        F.coalesce(F.get(dois, F.lit(0)), F.lit("")).alias("doi"), first("dc.title").alias("title"), first("dc.relation.ispartofjournal").alias("journal"), "year", first("dc.okm.type").alias("type"),
         F.array_sort(F.array_distinct(F.transform(values("dc.okm.discipline"), lambda x: F.regexp_extract(x, r"^\s*(\S+)", 1)))).alias("fields"), clean_authors(values("dc.okm.affiliatedauthor")).alias("local_authors"),
         F.transform(values("dc.contributor.organization"), lambda u: F.regexp_replace(u, r"^fi=[^|]*\|en=|\|$", "")).alias("units"), F.col("it.uuid").alias("uuid"), F.lit(base_url).alias("base_url"),
     )
@@ -66,21 +68,39 @@ def dspace_text(bundles: DataFrame) -> DataFrame:
 # ---- OAI-PMH ---------------------------------------------------------------------------------------------------
 
 
+_RECORD = "struct<header:struct<identifier:array<string>>,metadata:struct<dc:struct<title:array<string>,creator:array<string>,identifier:array<string>>>,title:array<string>,creator:array<string>,identifier:array<string>>"
+_XML = {"ignoreNamespace": "true", "mode": "FAILFAST"}
+
+
 def oai_records(spark: SparkSession, path: str, file_prefix: str = "") -> DataFrame:
-    """(doi, title, files, authors) of OAI-PMH answers: a row for each DOI of a record's identifiers; the first title wins, files and authors are gathered.
+    """(doi, title, files, authors) of the OAI-PMH answers in a folder, see ``oai_items``."""
+    raw = spark.read.format("xml").options(**_XML).option("rowTag", "record").schema(StructType.fromDDL(f"r {_RECORD}")["r"].dataType).load(path)
+    return _oai(raw.select(F.monotonically_increasing_id().alias("pos"), F.struct("*").alias("r")), file_prefix).drop("year")
+
 
-    A record with several DOIs counts for each; identifiers that begin with ``file_prefix`` are files.
+def oai_items(pages: DataFrame, file_prefix: str = "") -> DataFrame:
+    """(doi, title, files, authors, year) of OAI-PMH answers (year, page, answer): a row for each DOI of a record's identifiers; the first title wins, files and authors are gathered.
+
+    A record with several DOIs counts for each; identifiers that begin with ``file_prefix`` are files. An answer that
+    isn't XML is an error.
     """
-    kind = "title array<string>, creator array<string>, identifier array<string>"
-    nested = f"metadata struct<`oai_dc:dc`: struct<`dc:title`: array<string>, `dc:creator`: array<string>, `dc:identifier`: array<string>>>, {kind}"
-    raw = spark.read.format("xml").option("rowTag", "record").schema(nested).load(path)
-    pick = lambda n: F.filter(F.transform(F.coalesce(F.col(f"metadata.`oai_dc:dc`.`dc:{n}`"), F.col(n), F.array().cast("array<string>")), lambda v: F.trim(v)), lambda x: x != "")
-    rows = raw.select(F.monotonically_increasing_id().alias("pos"), pick("title").alias("title"), pick("creator").alias("creators"), pick("identifier").alias("ids"))
+    told = F.from_xml("answer", f"ListRecords struct<record:array<{_RECORD}>>", _XML)
+    rows = pages.select("year", "page", F.posexplode(told["ListRecords"]["record"]).alias("i", "r"))
+    return _oai(rows.select("year", F.struct("year", "page", "i").alias("pos"), "r"), file_prefix)
+
+
+def _oai(records: DataFrame, file_prefix: str) -> DataFrame:
+    """Records (pos, r) by DOI."""
+    none = F.array().cast("array<string>")
+    pick = lambda n: F.filter(F.transform(F.concat(F.coalesce(F.col(f"r.metadata.dc.{n}"), none), F.coalesce(F.col(f"r.{n}"), none)), lambda v: F.trim(v)), lambda x: x != "")
+    year = F.col("year") if "year" in records.columns else F.lit(None).cast("int")
+    rows = records.select("pos", year.alias("year"), pick("title").alias("title"), pick("creator").alias("creators"), F.concat(pick("identifier"), F.coalesce("r.header.identifier", none)).alias("ids"))
     dois = F.array_distinct(F.transform(F.regexp_extract_all(F.array_join("ids", "\n"), F.lit(_DOI), F.lit(0)), doi))
-    files = F.filter("ids", lambda x: x.startswith(file_prefix)) if file_prefix else F.array().cast("array<string>")
-    rows = rows.withColumn("files", files).select("pos", "title", "creators", "files", F.explode(dois).alias("doi")).filter("doi <> ''")
+    files = F.filter("ids", lambda x: x.startswith(file_prefix)) if file_prefix else none
+    rows = rows.withColumn("files", files).select("pos", "year", "title", "creators", "files", F.explode(dois).alias("doi")).filter("doi <> ''")
     gathered = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
-    return rows.groupBy("doi").agg(F.coalesce(F.min_by(F.get("title", F.lit(0)), "pos"), F.lit("")).alias("title"), gathered("files").alias("files"), gathered("creators").alias("authors"))
+    title = F.min_by(F.coalesce(F.get("title", F.lit(0)), F.lit("")), "pos")
+    return rows.groupBy("doi").agg(title.alias("title"), gathered("files").alias("files"), gathered("creators").alias("authors"), F.min("year").alias("year"))
 
 
 def resumption_token(answer: Column) -> Column:
@@ -102,16 +122,19 @@ def acknowledgement_query(names: Iterable[str], grants: Iterable[str], year: int
     return f"({query}) AND PUB_YEAR:{year}"
 
 
-def search_hits(pages: DataFrame, year: int, max_pages: int = 20) -> DataFrame:
-    """Candidates of search pages (page, cursor, answer). An answer that can't be read is an error, since papers would be lost unseen; a search cut at ``max_pages`` marks its rows."""
-    parsed = pages.withColumn("a", F.from_json("answer", _SEARCH))
+def search_hits(pages: DataFrame, year: int | Column, max_pages: int = 20) -> DataFrame:
+    """Candidates of search pages (page, cursor, answer). An answer that can't be read is an error, since papers would be lost unseen; a search cut at ``max_pages`` marks its rows.
+
+    A year's search is told to be cut by its pages' ``cut``, where they have it, else by the last page's cursor.
+    """
+    parsed = pages.withColumn("y", F.lit(year)).withColumn("a", F.from_json("answer", _SEARCH))
     told = F.when(F.col("a.resultList").isNull(), F.raise_error(F.lit("the search failed on a page: its results would be cut short"))).otherwise(F.col("a.resultList.result"))
-    goes_on = (F.col("a.nextCursorMark") != F.coalesce("cursor", F.lit(""))) & (F.size("a.resultList.result") > 0)
-    cut = parsed.agg(F.max(F.when(F.col("page") >= max_pages, goes_on)).alias("cut"))
-    rows = parsed.select("page", F.posexplode(told).alias("i", "h")).filter(present(F.col("h.doi"))).crossJoin(F.broadcast(cut))  # one row
+    goes_on = F.col("cut") if "cut" in pages.columns else (F.col("page") >= max_pages) & (F.col("a.nextCursorMark") != F.coalesce("cursor", F.lit(""))) & (F.size("a.resultList.result") > 0)
+    cut = parsed.groupBy("y").agg(F.coalesce(F.bool_or(goes_on), F.lit(False)).alias("discovery_truncated"))  # a row a year
+    rows = parsed.select("y", "page", F.posexplode(told).alias("i", "h")).filter(present(F.col("h.doi"))).join(cut, "y")
     return rows.select(
         doi(F.col("h.doi")).alias("doi"), F.coalesce("h.title", F.lit("")).alias("title"), F.coalesce("h.journalTitle", F.lit("")).alias("journal"), F.col("h.pmcid").alias("pmcid"),
-        F.when(F.col("h.source") == "PPR", F.col("h.id")).alias("epmc_id"), F.lit(year).alias("year"), F.coalesce("cut", F.lit(False)).alias("discovery_truncated"),
+        F.when(F.col("h.source") == "PPR", F.col("h.id")).alias("epmc_id"), F.col("y").alias("year"), "discovery_truncated",
     ).filter("doi <> ''")
 
 
@@ -124,9 +147,14 @@ def epmc_records(pages: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def batches_of(dois: DataFrame, size: int = 20) -> DataFrame:
-    """(batch, query): DOIs in batches for one question each."""
-    numbered = dois.select("doi").distinct().withColumn("batch", F.pmod(F.xxhash64("doi"), F.lit(max(1, -(-dois.count() // size)))))
-    return numbered.groupBy("batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doi")), lambda d: F.concat(F.lit('DOI:"'), d, F.lit('"'))), " OR ").alias("query"))
+    """(batch, query): DOIs in batches for one question each, ``size`` at most.
+
+    DOIs are dealt to groups of about 64 batches by a hash, and cut within these, so that no task numbers all of them.
+    """
+    group = F.pmod(F.xxhash64("doi"), F.lit(max(1, -(-dois.count() // (64 * size)))))
+    numbered = dois.select("doi").distinct().withColumn("g", group).withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("doi")) - 1)
+    asked = numbered.groupBy("g", F.floor(F.col("k") / size).alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("doi")), lambda d: F.concat(F.lit('DOI:"'), d, F.lit('"'))), " OR ").alias("query"))
+    return asked.select(F.concat_ws("-", "g", "k").alias("batch"), "query")
 
 
 def xml_text(answer: Column) -> Column:
@@ -216,56 +244,78 @@ def website_dois(pages: DataFrame) -> DataFrame:
 # ---- fetching --------------------------------------------------------------------------------------------------
 
 
+@dataclass
+class Answer:
+    """What became of a request: the body, null if there is none, and why."""
+
+    body: bytes | None
+    status: int = 0
+    url: str = ""
+    content_type: str = ""
+    error: str = ""
+
+
 @dataclass
 class Fetcher:
     """How services are asked: three tries, longer and longer waits, no second try for what isn't there, no more questions to a host that asks for long patience.
 
-    ``opener`` and ``sleep`` can be replaced; nothing is asked while tables are worked on.
+    ``opener`` and ``sleep`` can be replaced. Called with an address, it gives the body; ``answer`` also tells the rest.
     """
 
     tries: int = 3
     longest_wait: float = 120.0
-    opener: Callable[[str, float], tuple[int, bytes, dict[str, str]]] | None = None
+    opener: Callable[[str, float], tuple] | None = None
     sleep: Callable[[float], None] = time.sleep
     exhausted: set[str] = field(default_factory=set)
 
-    #: Answers that another try won't change.
+    #: Answers that another try won't change, and seconds to wait after one that asks for patience but not how much.
     FINAL = (401, 403, 404, 410)
+    PATIENCE = (10.0, 20.0, 30.0)
 
     def __call__(self, url: str, timeout: float = 60.0) -> bytes | None:
         """The body of an answer, null if there is none to be had."""
-        host = urllib.parse.urlsplit(url).netloc
+        return self.answer(url, timeout).body
+
+    def answer(self, url: str, timeout: float = 60.0) -> Answer:
+        """The last answer to up to ``tries`` requests."""
+        host = (urllib.parse.urlsplit(url).hostname or "").lower()
         if host in self.exhausted:
-            return None
+            return Answer(None, url=url, error=f"{host} asked for patience")
+        last = Answer(None, url=url, error="not asked")
         for k in range(self.tries):
             try:
-                status, body, headers = (self.opener or _open)(url, timeout)
-            except (OSError, urllib.error.URLError):
-                status, body, headers = 0, b"", {}
-            if 200 <= status < 300:
-                return body
-            if status in self.FINAL:
-                return None
-            wait = 2.0**k
-            if status == 429:
-                told = headers.get("Retry-After", "")
-                if b"budget" in body.lower() or (told.isdigit() and float(told) > self.longest_wait):
-                    self.exhausted.add(host)
-                    return None
-                wait = min(float(told), self.longest_wait) if told.isdigit() else wait
+                status, body, headers, *final = (self.opener or _open)(url, timeout)
+            except (OSError, urllib.error.URLError) as e:
+                last, wait = Answer(None, url=url, error=f"{type(e).__name__}: {e}"), 2.0**k
+            else:
+                told = {k.lower(): v for k, v in headers.items()}
+                fine = 200 <= status < 300
+                last = Answer(body if fine else None, status, final[0] if final else url, told.get("content-type", ""), "" if fine else f"status {status}")
+                if fine or status in self.FINAL:
+                    return last
+                wait = 2.0**k
+                if status == 429:
+                    after = told.get("retry-after", "")
+                    wait = float(after) if after.isdigit() else self.PATIENCE[min(k, len(self.PATIENCE) - 1)]
+                    if b"budget" in body.lower() or wait > self.longest_wait:
+                        self.exhausted.add(host)
+                        return last
             if k + 1 < self.tries:
                 self.sleep(wait)
-        return None
+        return last
 
-    def json(self, url: str) -> dict:
-        """An answer read as JSON; empty if there is none."""
+    def json(self, url: str) -> dict | None:
+        """An answer read as JSON; null if there is none, or it isn't JSON."""
         body = self(url)
-        return json.loads(body) if body else {}
+        try:
+            return json.loads(body) if body else None
+        except ValueError:
+            return None
 
 
-def _open(url: str, timeout: float) -> tuple[int, bytes, dict[str, str]]:
+def _open(url: str, timeout: float) -> tuple[int, bytes, dict[str, str], str]:
     try:
         with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": "corvane"}), timeout=timeout) as r:
-            return r.status, r.read(), dict(r.headers)
+            return r.status, r.read(), dict(r.headers), r.url
     except urllib.error.HTTPError as e:
-        return e.code, e.read(), dict(e.headers)
+        return e.code, e.read(), dict(e.headers), url
