@@ -208,12 +208,12 @@ def instrument_hits(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SCREENED + ", t AS (SELECT doc_id, unnest(counts) AS c FROM ranked) SELECT doc_id, c.id AS technique, c.n::INTEGER AS n FROM t")
 def pattern_counts(spark: SparkSession, d: str) -> DataFrame:
-    return screened(spark, d).select("doc_id", F.explode("techniques").alias("technique", "n"))
+    return screened(spark, d).select("doc_id", F.explode_outer("techniques").alias("technique", "n")).filter("technique IS NOT NULL")
 
 
 @query(SCREENED + ", t AS (SELECT doc_id, unnest(prints) AS q FROM ranked) SELECT doc_id, q.id AS instrument, array_to_string(q.value, '; ') AS parts FROM t")
 def component_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return screened(spark, d).select("doc_id", F.explode("fingerprints").alias("instrument", "v")).select("doc_id", "instrument", F.array_join("v", "; ").alias("parts"))
+    return screened(spark, d).select("doc_id", F.explode_outer("fingerprints").alias("instrument", "v")).filter("instrument IS NOT NULL").select("doc_id", "instrument", F.array_join("v", "; ").alias("parts"))
 
 
 @query(rf"""

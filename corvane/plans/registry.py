@@ -37,9 +37,8 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 _own_folder: list[str] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as written to the folder that the cluster names in ``spark.checkpoint.dir``: what several parts of a query read is worked out once."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster names in ``spark.checkpoint.dir``; only on a local master that names none, in a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
@@ -48,9 +47,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         if not _own_folder:
             _own_folder.append("file://" + tempfile.mkdtemp(prefix="corvane-"))
         base = _own_folder[0]
-    path = f"{base.rstrip('/')}/corvane-{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/corvane-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as written to the shared folder: what several parts of a query read is worked out once."""
+    path = shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # ---- documents as papers: what the tables lack follows from the id by rules that SQL can state too ------------------

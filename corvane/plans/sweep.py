@@ -22,13 +22,32 @@ def collect(institutional: list[tuple[str, DataFrame]], hits: DataFrame, r: Rule
     return records.with_identifiers(records.universe(listed, harvest.is_science(F.col("fields"))), hits)
 
 
+def texts_of(papers: DataFrame, held: DataFrame, offers: DataFrame) -> DataFrame:
+    """(doi, text, source, url, license, version, is_new) of ``papers``, a row each: a held text that spares another look, else the first usable offer, else what is held all the same.
+
+    ``held`` (doi, text, scope, source) has a row a DOI at most; ``offers`` as for ``records.resolve_texts``. Texts that
+    come from an offer are new.
+    """
+    own = held.select("doi", F.col("text").alias("held"), F.col("source").alias("held_source"), records.reusable(F.col("text"), F.col("scope"), F.col("source")).alias("enough"))
+    known = papers.select("doi").join(own, "doi", "left")
+    found = records.resolve_texts(papers.join(own.filter("enough").select("doi"), "doi", "left_anti"), offers)
+    rows = known.join(found, "doi", "left").withColumn("is_new", T.present(F.col("text")))
+    other = lambda c, h: F.when(F.col("is_new"), F.col(c)).when(T.present(F.col("held")), F.col(h))
+    kept = [F.when(F.col("is_new"), F.col(c)).alias(c) for c in ("url", "license", "version")]
+    return rows.select("doi", other("text", "held").alias("text"), other("source", "held_source").alias("source"), *kept, F.coalesce("is_new", F.lit(False)).alias("is_new"))
+
+
 def sweep(candidates: DataFrame, log: DataFrame, held: DataFrame, offers: DataFrame, acknowledged: DataFrame, r: Rules, bookings: DataFrame | None = None, staff: tuple[str, ...] = (), limit: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(screened rows to append, private rows, texts to store) of the candidates that aren't done yet."""
+    """(screened rows to append, private rows, texts to store) of the candidates that aren't done yet.
+
+    A paper without any text is left alone if the log has a row with text of it.
+    """
     todo = records.to_do(candidates, log, held, limit)
-    texts = records.resolve_texts(todo, offers)
-    rows = todo.join(texts.select("doi", "text", F.col("source").alias("text_source")), "doi", "left")
+    texts = texts_of(todo, held, offers)
+    had = log.filter("has_text").select("doi").distinct().withColumn("_had", F.lit(True))
+    rows = todo.join(texts.select("doi", "text", F.col("source").alias("text_source")), "doi", "left").join(had, "doi", "left").filter("text IS NOT NULL OR _had IS NULL").drop("_had")
     public, private = screening.split_private(screening.screen(with_people(rows, acknowledged, bookings), r, staff))
-    return public.drop("text"), private, texts.filter("text IS NOT NULL")
+    return public.drop("text"), private, texts.filter("is_new").drop("is_new")
 
 
 def with_people(rows: DataFrame, acknowledged: DataFrame, bookings: DataFrame | None) -> DataFrame:

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from corvane.plans import harvested, ranked, review  # noqa: F401  they register their queries
+from corvane.plans import harvested, ranked, review, streamed  # noqa: F401  they register their queries
 from corvane.plans.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"

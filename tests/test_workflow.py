@@ -118,6 +118,6 @@ def test_searches_that_fail_or_are_cut(spark):
 
 
 def test_queries_have_sql_or_a_reason():
-    from corvane.plans import catalogue, harvested, ranked, review  # noqa: F401  they register their queries
+    from corvane.plans import catalogue, harvested, ranked, review, streamed  # noqa: F401  they register their queries
 
     assert set(registry.QUERIES) - set(registry.ORACLES) == {"logreg_rank", "embedded_papers"}
