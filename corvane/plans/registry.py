@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators.storage import shared_folder, stored  # noqa: F401  the queries take them from here
 from corvane.rules import NEVER, load_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,29 +33,6 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-_own_folder: list[str] = []
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names in ``spark.checkpoint.dir``; only on a local master that names none, in a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if not _own_folder:
-            _own_folder.append("file://" + tempfile.mkdtemp(prefix="corvane-"))
-        base = _own_folder[0]
-    return f"{base.rstrip('/')}/corvane-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as written to the shared folder: what several parts of a query read is worked out once."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 # ---- documents as papers: what the tables lack follows from the id by rules that SQL can state too ------------------
 
 DOI_SQL = "CASE doc_id % 10 WHEN 0 THEN '10.5281/z' WHEN 1 THEN '10.1101/p' ELSE '10.1234/d' END || doc_id"

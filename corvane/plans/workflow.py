@@ -21,22 +21,27 @@ def rejected(decisions: DataFrame) -> DataFrame:
     return decisions.filter("verdict = 'no'").select("doi").distinct()
 
 
-def prepare(year: int, store: DataFrame, known_store: DataFrame, others: DataFrame, screened: DataFrame, confirmed: DataFrame, decisions: DataFrame, stamp: Column) -> DataFrame:
-    """The check list of a year: its vectors (``store``: doi, vector) scored by what confirmed papers of other years and rejected ones teach.
+def prepare(year: int, store: DataFrame, known_store: DataFrame, others: DataFrame, screened: DataFrame, confirmed: DataFrame, decisions: DataFrame, stamp: Column, stop: tuple[str, ...] = ()) -> DataFrame:
+    """The check list of a year: its papers (``store``: doi, vector, chunk_text) scored by what confirmed papers of other years and rejected ones teach, by vectors and by words.
 
-    ``known_store`` and ``others`` (doi, vector): vectors of known papers and of other years' papers.
+    ``known_store`` and ``others`` (doi, vector, chunk_text): known papers and those of other years. Versions of a paper
+    of the year teach nothing. ``stop``: words that don't count. Without chunk_text, papers score 0 by words.
     """
     known = known_papers(confirmed, decisions)
     flagged = screened.filter(f"year <> {int(year)} AND priority IN ('report', 'check')").select("doi")
     pos, neg = ranking.training_sets(year, known, store, others, flagged, rejected(decisions))
-    vector = lambda df: df.select("doi", F.transform("vector", lambda x: x.cast("double")).alias("v"))
-    number = lambda c: F.xxhash64(c)  # noqa: E731  # known papers are compared by a number of their DOI
-    rows = vector(store).select(number("doi").alias("id"), "doi", F.lit(year).alias("year"), "v")
-    good = vector(known_store.join(pos, "doi", "left_semi")).select(number("doi").alias("known"), F.lit(-1).alias("known_year"), F.col("v").alias("u"))
-    bad = vector(others.join(neg, "doi", "left_semi")).select("v")
-    scores = ranking.year_scores(rows.select("id", "year", "v"), good, bad).join(rows.select("id", "doi"), "id")
-    own = screened.filter(F.col("year") == year)
-    return sweep.rank(scores.select(F.lit(year).alias("year"), F.col("doi").alias("id"), F.col("score").alias("embedding"), F.lit(0.0).alias("tfidf")), own, known, stamp)
+    vector = F.transform("vector", lambda x: x.cast("double"))
+    rows = store.select(F.col("doi").alias("id"), F.lit(year).alias("year"), vector.alias("v"))
+    good, bad = known_store.join(pos, "doi", "left_semi"), others.join(neg, "doi", "left_semi")
+    held = good.select(F.col("doi").alias("known"), F.lit(-1).alias("known_year"), vector.alias("u"))
+    scores = ranking.year_scores(rows, held, bad.select(vector.alias("v"))).withColumnRenamed("score", "embedding")
+    if "chunk_text" in store.columns:
+        taught = good.join(ranking.near_versions(rows, held).select(F.col("known").alias("doi")), "doi", "left_anti").select(F.col("doi").alias("known"), F.lit(-1).alias("known_year"), F.col("chunk_text").alias("text"))
+        by_words = ranking.tfidf_scores(store.select(F.col("doi").alias("id"), F.lit(year).alias("year"), F.col("chunk_text").alias("text")), taught, bad.select(F.col("chunk_text").alias("text")), stop)
+        scores = scores.join(by_words.withColumnRenamed("score", "tfidf"), "id")
+    else:
+        scores = scores.withColumn("tfidf", F.lit(0.0))
+    return sweep.rank(scores.select(F.lit(year).alias("year"), "id", "embedding", "tfidf"), screened.filter(F.col("year") == year), known, stamp)
 
 
 def collect(year: int, screened: DataFrame, confirmed: DataFrame, ranked: DataFrame, previous: DataFrame, texts: DataFrame, contacts: DataFrame, universe: DataFrame, r: Rules, top: int = 200) -> tuple[dict[str, DataFrame], DataFrame]:

@@ -15,8 +15,8 @@ def store(spark, ids, rng, centre):
     rows = []
     for i in ids:
         v = rng.normal(size=6) * 0.2 + centre
-        rows.append((f"10.1/{i}", (v / np.linalg.norm(v)).tolist()))
-    return spark.createDataFrame(rows, "doi string, vector array<double>")
+        rows.append((f"10.1/{i}", (v / np.linalg.norm(v)).tolist(), f"{'cells imaged' if centre[0] else 'survey of prices'} paper {i}"))
+    return spark.createDataFrame(rows, "doi string, vector array<double>, chunk_text string")
 
 
 def test_a_year_is_ranked_by_what_other_years_teach(spark):
@@ -31,9 +31,10 @@ def test_a_year_is_ranked_by_what_other_years_teach(spark):
     ranked = workflow.prepare(2020, own, known, others, screened_, confirmed, decisions, F.lit("stamp"))
     rows = {r.id: r for r in ranked.collect()}
     assert sorted(r.embedding_rank for r in rows.values()) == list(range(1, 11)) and all(rows[f"10.1/g{i}"].embedding_rank <= 5 for i in range(5))
+    assert all(rows[f"10.1/g{i}"].tfidf_rank <= 5 and rows[f"10.1/g{i}"].tfidf > rows[f"10.1/b{i}"].tfidf for i in range(5))
     assert rows["10.1/g1"].listed and rows["10.1/g2"].listed and rows["10.1/g0"].flagged and not rows["10.1/g3"].listed and rows["10.1/g3"].rules_version == "stamp"
     hits = ranking.top_hits(ranked, ("embedding", "tfidf", "microscopy_terms"), (5, 10)).collect()
-    assert {r.n: (r.embedding, r.new) for r in hits} == {5: (2, 2), 10: (2, 7)}
+    assert {r.n: (r.embedding, r.tfidf, r.new) for r in hits} == {5: (2, 2, 2), 10: (2, 2, 7)}
     assert workflow.format_hits(hits, 2, 10).splitlines()[0] == "10 papers ranked, 2 of them confirmed"
     alone = workflow.prepare(2020, own, known, others.limit(0), screened_, confirmed, decisions, F.lit("stamp"))
     assert {r.id for r in alone.filter("embedding_rank <= 5").collect()} == {f"10.1/g{i}" for i in range(5)}
@@ -120,4 +121,4 @@ def test_searches_that_fail_or_are_cut(spark):
 def test_queries_have_sql_or_a_reason():
     from corvane.plans import catalogue, harvested, ranked, review, streamed  # noqa: F401  they register their queries
 
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"logreg_rank", "embedded_papers"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"logreg_rank", "embedded_papers", "tfidf_logreg"}
