@@ -1,12 +1,13 @@
 """Main text of web pages: flat text blocks judged by a decision tree over shallow features.
 
 A page is read once into a flat list of blocks, the texts between block-level tags. Each block is described by its
-word count and link density, those of the blocks before and after it, whether it stands in an article and whether it is
-a heading; where an element around it is one that holds no article as a rule (nav, aside, form ...) or bears a name like
-"sidebar", also by that element's share of the text around it. A menu or a sidebar holds a small share; a form or an
-oddly named element that wraps the whole page holds all of it, so its name rules out nothing. A decision tree (Gini,
-depth at most 7), trained on the small labelled table below, says which blocks are content. Scripts, styles, comments
-in the markup, form controls and embedded media never make blocks. Tags are read as the HTML standard's tokenizer does.
+word count and link density, those of the blocks before and after it, whether it stands in an article, is a heading or,
+outside an article, a copyright line, and by what is around it: an element that holds no article as a rule (nav, aside, form ...) or one
+with a name like "sidebar". Such an element keeps its text out however much of it there is. Only where nothing but links
+stands outside of them is the page taken to be wrapped in one, which then is looked into; reader comments and hidden
+elements never are. A decision tree (Gini, depth at most 7), trained on the small labelled table below, says which blocks
+are content. Scripts, styles, comments in the markup, form controls and embedded media never make blocks. Tags are read
+as the HTML standard's tokenizer does.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by
 an empty line. Null and empty pages, and pages without content, give an empty text. Very long pages are read
@@ -32,6 +33,7 @@ from corvane.llm.common import small_batches, table
 _ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>"'][^\s>]*+)|(?=>)))?+""")
 _TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|</(?![A-Za-z])[^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]*+[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+|(?=>)))?+)*+[\s/]*+)>?""", re.S)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_NOTICE = re.compile(r"(?i)\A\W*(?:©|\(c\)|copyright\s*(?:©|\(c\)|\d{4}))|\ball rights reserved\W*\Z")
 
 # Names of elements by how they are read.
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
@@ -39,7 +41,8 @@ SKIPPED = frozenset("head noscript template select button iframe object svg math
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"html", "body"}
-OUTER = frozenset("nav footer aside form dialog menu".split())
+OUTER = frozenset("nav footer aside menu".split())
+FORMS = frozenset(("form", "dialog"))
 CONTENT = frozenset(("article", "main"))
 #: Words in a class, id or role that name what isn't the article.
 OUTER_NAMES = frozenset(
@@ -47,131 +50,171 @@ OUTER_NAMES = frozenset(
     "comment comments commentlist respond reply replies disqus discussion cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login "
     "search share sharing social related recommended recommendations pagination pager toolbar copyright disclaimer contentinfo complementary alert skip".split()
 )
+#: Those of them that name what readers wrote.
+READERS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
 #: Parts of a class that make it tell what an element has or how it is set, not what it is: "has-sidebar", "comments-open".
 STATES = frozenset("has no not with without is hide hidden show open opened closed enabled disabled".split())
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "has_article", "heading", "outer", "held")
-#: Where splits are equally good, what stands around the block and the block itself decide rather than its neighbours.
-SPLIT_ORDER, LEAST_ROWS = (10, 6, 7, 1, 0, 8, 9, 5, 3, 4, 2), 2
-#: Kinds of elements around a block that hold no article as a rule.
-NONE, ELEMENT, NAMED = range(3)
-#: Hand-labelled blocks: the features in order (link densities in percent; outer 0 none, 1 an element, 2 a name; held: the
-#: percent of the text around it that the outer element holds, 100 without one), then 1 for content.
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "has_article", "heading", "outer", "notice")
+#: A split leaves at least so many rows on each side.
+LEAST_ROWS = 2
+#: Kinds of elements around a block that hold no article as a rule: by element, by name, forms; reader comments and what is hidden hold none ever.
+NONE, ELEMENT, NAMED, FORM, NEVER = range(5)
+#: Hand-labelled blocks: the features in order (link densities in percent; outer 0 none, 1 by element, 2 by name; notice: a copyright line outside an article), then 1 for content.
 LABELLED = """
 1 100 0 0 1 100 0 1 0 1 0 0
 1 100 1 100 1 100 0 1 0 1 0 0
 2 100 1 100 3 100 0 0 0 1 0 0
-6 100 2 100 8 0 0 1 0 1 3 0
-4 0 0 0 2 100 0 0 0 1 2 0
-12 0 60 0 0 0 0 1 0 1 8 0
-35 0 80 0 0 0 0 1 0 1 12 0
-9 22 45 0 0 0 0 0 0 1 4 0
-60 4 90 0 40 10 0 0 0 1 20 0
+6 100 2 100 8 0 0 1 0 1 0 0
+4 0 0 0 2 100 0 0 0 1 0 0
+12 0 60 0 0 0 0 1 0 1 0 0
+35 0 80 0 0 0 0 1 0 1 0 0
+9 22 45 0 0 0 0 0 0 1 0 0
+60 4 90 0 40 10 0 0 0 1 0 0
 3 0 2 100 30 0 0 1 1 1 0 0
-25 0 3 100 9 0 0 0 0 1 6 0
-80 0 70 0 12 0 0 1 0 1 15 0
-8 0 1 100 9 0 1 1 0 2 4 0
-30 0 1 100 10 0 0 1 0 2 11 0
-14 50 9 0 11 0 0 0 0 2 2 0
-45 0 120 0 38 0 0 1 0 2 35 0
-70 2 44 0 60 0 0 0 0 2 60 0
-5 0 40 0 22 0 0 1 1 2 7 0
-120 0 35 0 90 0 0 1 0 2 84 0
-3 0 80 0 66 0 0 0 1 2 1 0
-7 100 7 100 7 100 1 1 0 2 70 0
+25 0 3 100 9 0 0 0 0 1 0 0
+80 0 70 0 12 0 0 1 0 1 0 0
+8 0 1 100 9 0 1 1 0 2 0 0
+30 0 1 100 10 0 0 1 0 2 0 0
+14 50 9 0 11 0 0 0 0 2 0 0
+45 0 120 0 38 0 0 1 0 2 0 0
+70 2 44 0 60 0 0 0 0 2 0 0
+5 0 40 0 22 0 0 1 1 2 0 0
+120 0 35 0 90 0 0 1 0 2 0 0
+3 0 80 0 66 0 0 0 1 2 0 0
+7 100 7 100 7 100 1 1 0 2 0 0
 18 0 16 0 50 0 0 0 0 2 0 0
-9 0 8 0 60 0 1 1 1 0 100 1
-4 0 30 0 55 0 1 1 1 0 100 1
-11 0 1 100 70 0 1 0 1 0 100 1
-60 0 9 0 75 0 1 1 0 0 100 1
-75 0 60 0 48 0 1 1 0 0 100 1
-150 3 75 0 90 2 1 1 0 0 100 1
-22 0 90 0 10 0 1 1 0 0 100 1
-5 0 66 0 33 0 1 1 0 0 100 1
-1 0 40 0 50 0 1 1 0 0 100 1
-2 0 8 0 12 0 1 1 0 0 100 1
-12 33 60 0 80 0 1 1 0 0 100 1
-8 50 42 0 39 0 1 1 0 0 100 1
-30 20 55 0 14 0 1 1 0 0 100 1
-7 0 6 0 9 0 1 1 0 0 100 1
-40 0 7 0 0 0 1 1 0 0 100 1
-3 0 2 0 1 100 1 1 0 0 100 1
-90 0 10 0 6 100 1 0 0 0 100 1
-16 0 4 100 25 0 1 1 0 0 100 1
-400 0 10 0 0 0 1 1 0 0 100 1
-900 1 10 0 25 0 1 1 0 0 100 1
-25 0 900 0 300 0 1 1 0 0 100 1
-200 0 0 0 0 0 1 1 0 0 100 1
-10 0 12 0 4 100 1 1 1 0 100 1
-10 0 3 0 500 0 1 1 1 0 100 1
-1 0 1 0 1 0 1 1 0 0 100 1
-3 33 200 0 12 0 1 1 0 0 100 1
-20 60 100 0 70 0 1 1 0 0 100 1
-45 45 45 0 60 20 1 1 0 0 100 1
-250 12 60 5 9 0 1 1 0 0 100 1
-6 0 12 0 200 0 1 1 0 0 100 1
-6 0 250 0 12 30 1 1 0 0 100 1
-4 100 60 0 5 100 1 1 0 0 100 0
-5 100 4 100 6 100 1 1 0 0 100 0
-9 89 5 100 40 0 1 1 0 0 100 0
-2 100 70 0 3 100 1 0 0 0 100 0
-12 83 30 0 10 90 1 1 0 0 100 0
-3 0 1 100 8 0 0 1 0 0 100 0
-12 0 2 100 9 0 0 1 0 0 100 0
-40 0 8 0 60 0 0 1 0 0 100 0
-6 0 90 0 12 0 0 1 1 0 100 0
-25 30 70 0 5 0 0 1 0 0 100 0
-100 5 30 0 20 0 0 1 0 0 100 0
-9 0 1 100 64 0 0 0 1 0 100 1
-5 0 35 0 48 0 0 0 1 0 100 1
-10 0 6 100 40 0 0 0 1 0 100 1
-55 0 9 0 62 0 0 0 0 0 100 1
-80 3 55 0 41 0 0 0 0 0 100 1
-38 10 44 0 52 5 0 0 0 0 100 1
-18 0 70 0 66 0 0 0 0 0 100 1
-24 0 60 0 3 100 0 0 0 0 100 1
-30 0 4 100 28 0 0 0 0 0 100 1
-12 0 50 0 45 0 0 0 0 0 100 1
-6 0 48 0 51 0 0 0 0 0 100 1
-14 0 33 0 60 10 0 0 0 0 100 1
-400 0 10 0 0 0 0 0 0 0 100 1
-19 0 5 0 10 11 0 0 0 0 100 1
-18 11 19 0 10 0 0 0 0 0 100 1
-10 0 18 11 3 0 0 0 0 0 100 1
-22 8 15 0 20 0 0 0 0 0 100 1
-16 0 20 5 0 0 0 0 0 0 100 1
-5 0 1 100 19 0 0 0 1 0 100 1
-4 0 12 0 30 0 0 0 1 0 100 1
-7 0 1 100 300 0 0 0 1 0 100 1
-200 3 6 0 12 0 0 0 0 0 100 1
-11 0 11 0 12 0 0 0 0 0 100 1
-2 100 3 100 2 100 0 0 0 0 100 0
-8 75 10 0 60 0 0 0 0 0 100 0
-5 0 1 100 2 100 0 0 0 0 100 0
-4 0 2 100 6 0 0 0 0 0 100 0
-7 0 5 0 3 100 0 0 0 0 100 0
-30 70 2 100 20 80 0 0 0 0 100 0
-15 60 70 0 9 100 0 0 0 0 100 0
-3 0 2 100 4 100 0 0 1 0 100 0
-6 0 4 0 5 0 0 0 0 0 100 0
-45 55 3 100 8 100 0 0 0 0 100 0
-60 2 9 0 75 0 0 0 0 1 100 1
-120 0 60 2 80 0 0 0 0 1 99 1
-45 3 70 0 5 100 0 0 0 1 98 1
-9 0 1 100 60 0 0 0 1 1 100 1
-80 0 9 0 60 0 1 1 0 1 100 1
-12 0 60 0 80 0 1 1 0 1 99 1
-70 0 12 0 66 0 0 0 0 2 100 1
-35 4 90 0 40 0 0 0 0 2 97 1
-150 0 8 0 30 0 1 1 0 2 100 1
-8 0 2 100 70 0 1 1 1 2 98 1
-4 100 60 0 5 100 0 0 0 1 100 0
-6 83 4 100 3 100 0 0 0 2 99 0
-3 0 2 100 40 100 0 0 0 1 98 0
-40 0 30 0 55 0 0 1 0 2 82 0
-66 0 40 0 50 0 0 0 0 2 88 0
-90 0 66 0 35 0 1 1 0 2 86 0
-25 0 14 0 30 0 0 1 0 1 75 0
+9 0 8 0 60 0 1 1 1 0 0 1
+4 0 30 0 55 0 1 1 1 0 0 1
+11 0 1 100 70 0 1 0 1 0 0 1
+60 0 9 0 75 0 1 1 0 0 0 1
+75 0 60 0 48 0 1 1 0 0 0 1
+150 3 75 0 90 2 1 1 0 0 0 1
+22 0 90 0 10 0 1 1 0 0 0 1
+5 0 66 0 33 0 1 1 0 0 0 1
+1 0 40 0 50 0 1 1 0 0 0 1
+2 0 8 0 12 0 1 1 0 0 0 1
+12 33 60 0 80 0 1 1 0 0 0 1
+8 50 42 0 39 0 1 1 0 0 0 1
+30 20 55 0 14 0 1 1 0 0 0 1
+7 0 6 0 9 0 1 1 0 0 0 1
+40 0 7 0 0 0 1 1 0 0 0 1
+3 0 2 0 1 100 1 1 0 0 0 1
+90 0 10 0 6 100 1 0 0 0 0 1
+16 0 4 100 25 0 1 1 0 0 0 1
+400 0 10 0 0 0 1 1 0 0 0 1
+900 1 10 0 25 0 1 1 0 0 0 1
+25 0 900 0 300 0 1 1 0 0 0 1
+200 0 0 0 0 0 1 1 0 0 0 1
+10 0 12 0 4 100 1 1 1 0 0 1
+10 0 3 0 500 0 1 1 1 0 0 1
+1 0 1 0 1 0 1 1 0 0 0 1
+3 33 200 0 12 0 1 1 0 0 0 1
+20 60 100 0 70 0 1 1 0 0 0 1
+45 45 45 0 60 20 1 1 0 0 0 1
+250 12 60 5 9 0 1 1 0 0 0 1
+6 0 12 0 200 0 1 1 0 0 0 1
+6 0 250 0 12 30 1 1 0 0 0 1
+4 100 60 0 5 100 1 1 0 0 0 0
+5 100 4 100 6 100 1 1 0 0 0 0
+9 89 5 100 40 0 1 1 0 0 0 0
+2 100 70 0 3 100 1 0 0 0 0 0
+12 83 30 0 10 90 1 1 0 0 0 0
+3 0 1 100 8 0 0 1 0 0 0 0
+12 0 2 100 9 0 0 1 0 0 0 0
+40 0 8 0 60 0 0 1 0 0 0 0
+6 0 90 0 12 0 0 1 1 0 0 0
+25 30 70 0 5 0 0 1 0 0 0 0
+100 5 30 0 20 0 0 1 0 0 0 0
+9 0 1 100 64 0 0 0 1 0 0 1
+5 0 35 0 48 0 0 0 1 0 0 1
+10 0 6 100 40 0 0 0 1 0 0 1
+55 0 9 0 62 0 0 0 0 0 0 1
+80 3 55 0 41 0 0 0 0 0 0 1
+38 10 44 0 52 5 0 0 0 0 0 1
+18 0 70 0 66 0 0 0 0 0 0 1
+24 0 60 0 3 100 0 0 0 0 0 1
+30 0 4 100 28 0 0 0 0 0 0 1
+12 0 50 0 45 0 0 0 0 0 0 1
+6 0 48 0 51 0 0 0 0 0 0 1
+14 0 33 0 60 10 0 0 0 0 0 1
+400 0 10 0 0 0 0 0 0 0 0 1
+19 0 5 0 10 11 0 0 0 0 0 1
+18 11 19 0 10 0 0 0 0 0 0 1
+10 0 18 11 3 0 0 0 0 0 0 1
+22 8 15 0 20 0 0 0 0 0 0 1
+16 0 20 5 0 0 0 0 0 0 0 1
+5 0 1 100 19 0 0 0 1 0 0 1
+4 0 12 0 30 0 0 0 1 0 0 1
+7 0 1 100 300 0 0 0 1 0 0 1
+200 3 6 0 12 0 0 0 0 0 0 1
+11 0 11 0 12 0 0 0 0 0 0 1
+2 100 3 100 2 100 0 0 0 0 0 0
+8 75 10 0 60 0 0 0 0 0 0 0
+5 0 1 100 2 100 0 0 0 0 0 0
+4 0 2 100 6 0 0 0 0 0 0 0
+7 0 5 0 3 100 0 0 0 0 0 0
+30 70 2 100 20 80 0 0 0 0 0 0
+15 60 70 0 9 100 0 0 0 0 0 0
+3 0 2 100 4 100 0 0 1 0 0 0
+6 0 4 0 5 0 0 0 0 0 0 0
+45 55 3 100 8 100 0 0 0 0 0 0
+60 2 9 0 75 0 0 0 0 0 0 1
+120 0 60 2 80 0 0 0 0 0 0 1
+45 3 70 0 5 100 0 0 0 0 0 1
+9 0 1 100 60 0 0 0 1 0 0 1
+80 0 9 0 60 0 1 1 0 0 0 1
+12 0 60 0 80 0 1 1 0 0 0 1
+70 0 12 0 66 0 0 0 0 0 0 1
+35 4 90 0 40 0 0 0 0 0 0 1
+150 0 8 0 30 0 1 1 0 0 0 1
+8 0 2 100 70 0 1 1 1 0 0 1
+4 100 60 0 5 100 0 0 0 0 0 0
+6 83 4 100 3 100 0 0 0 0 0 0
+3 0 2 100 40 100 0 0 0 0 0 0
+40 0 30 0 55 0 0 1 0 2 0 0
+66 0 40 0 50 0 0 0 0 2 0 0
+90 0 66 0 35 0 1 1 0 2 0 0
+25 0 14 0 30 0 0 1 0 1 0 0
+2 0 0 0 0 0 0 0 0 0 0 1
+1 0 0 0 0 0 0 0 0 0 0 1
+30 0 0 0 0 0 0 0 0 0 0 1
+3 0 0 0 0 0 1 1 0 0 0 1
+4 0 0 0 9 0 0 0 1 0 0 1
+9 0 4 0 0 0 0 0 0 0 0 1
+12 100 60 0 80 0 1 1 0 0 0 1
+8 100 45 0 30 0 1 1 0 0 0 1
+20 100 35 5 60 0 1 1 0 0 0 1
+6 100 120 0 90 0 1 1 0 0 0 1
+5 0 40 0 0 0 0 0 0 0 1 0
+7 0 60 2 4 100 0 0 0 0 1 0
+4 0 55 0 0 0 1 1 0 0 0 1
+3 0 9 0 15 0 1 1 0 0 0 1
+9 11 3 100 0 0 0 1 0 0 1 0
+12 0 90 0 0 0 0 0 0 0 1 0
+3 0 0 0 0 0 0 0 0 0 1 0
+15 0 70 0 2 100 0 1 0 0 1 0
+300 0 200 0 180 0 0 1 0 2 0 0
+150 2 90 0 120 0 0 0 0 2 0 0
+90 0 60 0 200 0 1 1 0 2 0 0
+220 0 30 0 40 0 0 1 0 1 0 0
+110 0 80 0 95 0 0 0 0 1 0 0
+60 0 400 0 55 0 0 0 0 2 0 0
+2 0 0 0 0 0 0 0 0 2 0 0
+40 0 0 0 0 0 0 0 0 1 0 0
+5 60 0 0 19 0 0 0 0 0 0 0
+7 71 0 0 30 0 0 0 0 0 0 0
+4 100 0 0 12 0 0 0 0 0 0 0
+9 66 2 100 45 0 0 0 0 0 0 0
+3 66 0 0 60 0 0 0 0 0 0 0
+12 75 0 0 80 0 0 0 0 0 0 0
+6 83 5 80 25 0 0 0 0 0 0 0
+10 60 70 0 0 0 0 0 0 0 0 0
+8 87 40 0 3 0 0 0 0 0 0 0
+14 71 22 0 6 0 0 0 0 0 0 0
+5 100 0 0 40 0 0 1 0 0 0 0
+11 63 3 100 7 0 0 1 0 0 0 0
+6 100 50 0 0 0 0 1 0 0 0 0
 """
 
 
@@ -193,11 +236,11 @@ class Node:
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 7) -> Node:
-    """A decision tree by Gini impurity; of equally good splits the first in SPLIT_ORDER."""
+    """A decision tree by Gini impurity; of equally good splits the first, by feature and threshold."""
     share = float(y.mean()) if len(y) else 0.0
     best = (share * (1 - share) * len(y) - 1e-9, -1, 0.0)
     if depth:
-        for f in SPLIT_ORDER:
+        for f in range(x.shape[1]):
             values = np.unique(x[:, f])
             for t in (values[1:] + values[:-1]) / 2:
                 low = x[:, f] <= t
@@ -240,13 +283,13 @@ class _Reader:
     parents: list[int] = field(default_factory=lambda: [-1])  # of outer elements; the page is the first
     kinds: list[int] = field(default_factory=lambda: [NONE])
     plain: list[int] = field(default_factory=lambda: [0])  # words outside links that stand right in each
+    holds: list[bool] = field(default_factory=lambda: [False])  # whether an article begins right in each
     outer: int = 0
     linked: int = 0
     articles: int = 0
     anchors: int = 0
     heading: int = 0
     skipped: int = 0
-    has_article: bool = False
 
     def text(self, raw: str) -> None:
         if not self.skipped and raw:
@@ -272,8 +315,10 @@ class _Reader:
             self.parents.append(self.outer)
             self.kinds.append(kind)
             self.plain.append(0)
+            self.holds.append(False)
             self.outer = len(self.parents) - 1
-        self.has_article |= article
+        elif article:
+            self.holds[self.outer] = True
         self.articles += article
         self.anchors += name == "a"
         self.skipped += name in SKIPPED
@@ -302,17 +347,30 @@ class _Reader:
         self.pop_to(k)
         return True
 
-    def surroundings(self) -> list[tuple[int, int]]:
-        """(kind, held) by outer element: of it and those around it, the one that holds the least share of the text around it, and that share in percent."""
-        total = list(self.plain)
-        for k in range(len(total) - 1, 0, -1):
-            total[self.parents[k]] += total[k]
-        out, around = [(NONE, 100)], [0] * len(total)
-        for k in range(1, len(total)):  # parents come first
-            up = self.parents[k]
-            around[k] = around[up] + self.plain[up]  # text that stands right in the elements around this one
-            share = 100 * total[k] // (total[k] + around[k]) if total[k] else 0
-            out.append(min(out[up], (self.kinds[k], share), key=lambda x: x[1]) if up else (self.kinds[k], share))
+    def surroundings(self) -> list[int]:
+        """By outer element, whether it or one around it keeps its text out: 0 no, 1 by element, 2 by name.
+
+        An element that wraps the page doesn't: where nothing but links stands outside such elements, the one that holds
+        an article, or else the form or oddly named element with the most text, is looked into instead, and so on.
+        """
+        children: dict[int, list[int]] = {}
+        article, words = list(self.holds), list(self.plain)
+        for k in range(len(self.parents) - 1, 0, -1):  # parents come first
+            children.setdefault(self.parents[k], []).append(k)
+            if self.kinds[k] != NEVER:
+                article[self.parents[k]] |= article[k]
+                words[self.parents[k]] += words[k]
+        wraps, at = {0}, 0
+        while not self.holds[at] and not self.plain[at]:
+            inside = [k for k in children.get(at, []) if self.kinds[k] != NEVER and (article[k] or (self.kinds[k] != ELEMENT and words[k]))]
+            if not inside:
+                break
+            at = max(inside, key=lambda k: (article[k], words[k], -k))
+            wraps.add(at)
+        out = [0] * len(self.parents)
+        for k in range(1, len(out)):
+            own = 0 if k in wraps else 1 if self.kinds[k] in (ELEMENT, FORM) else 2
+            out[k] = max(out[self.parents[k]], own)
         return out
 
 
@@ -337,7 +395,7 @@ def is_outer_name(token: str, whole: bool) -> bool:
 
 def role_of(name: str, raw: str, in_article: bool) -> tuple[bool, int]:
     """Whether an element is an article, and what kind of outer element it is."""
-    kind = ELEMENT if name in OUTER or (name == "header" and not in_article) else NONE
+    kind = FORM if name in FORMS else ELEMENT if name in OUTER or (name == "header" and not in_article) else NONE
     article = name in CONTENT
     if raw and name not in ("html", "body"):
         found = attributes_of(raw)
@@ -345,10 +403,10 @@ def role_of(name: str, raw: str, in_article: bool) -> tuple[bool, int]:
         article |= role in ("main", "article")
         style = found.get("style", "").replace(" ", "").lower()
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
-            return article, NAMED
-        named = any(is_outer_name(token, article) for key in ("class", "id", "role") for token in found.get(key, "").split())
+            return article, NEVER
+        named = [token for key in ("class", "id", "role") for token in found.get(key, "").split() if is_outer_name(token, article)]
         if named and not (name == "main" or role == "main"):
-            return article, NAMED
+            return article, NEVER if any(READERS.intersection(p.lower() for p in _PARTS.findall(t)) for t in named) else NAMED
     return article, kind
 
 
@@ -397,7 +455,8 @@ def describe(r: _Reader) -> list[tuple]:
     """The features of each block."""
     none = Block("", 0, 0, 0, 0, 0)
     around, outside = [none, *r.blocks, none], r.surroundings()
-    return [(b.words, b.links, p.words, p.links, n.words, n.links, b.in_article, int(r.has_article), b.heading, *outside[b.outer]) for p, b, n in zip(around, r.blocks, around[2:], strict=False)]
+    has_article = int(any(h and not o for h, o in zip(r.holds, outside, strict=True)))  # one that isn't kept out
+    return [(b.words, b.links, p.words, p.links, n.words, n.links, b.in_article, has_article, b.heading, outside[b.outer], int(not b.in_article and bool(_NOTICE.search(b.text)))) for p, b, n in zip(around, r.blocks, around[2:], strict=False)]
 
 
 def main_text(page: str | None, tree: Node) -> str:

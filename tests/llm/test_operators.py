@@ -336,7 +336,7 @@ def test_regions_end_below_any_number_of_unclosed_elements(n):
     r = html_text.read_page(f"<nav>{'<font>x<br>' * n}</nav>{words}")
     assert r.blocks[-1].outer == 0 and r.blocks[0].outer
     r = html_text.read_page(f"<article>{words}{'<b>x<br>' * n}</article><div>a comment</div>")
-    assert r.has_article and r.blocks[0].in_article and not r.blocks[-1].in_article
+    assert r.holds[0] and r.blocks[0].in_article and not r.blocks[-1].in_article
 
 
 def test_tree_learns_its_table():

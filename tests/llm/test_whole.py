@@ -170,7 +170,7 @@ def test_very_long_pages_are_read_in_time():
     tree = html_text.train()
     page = "<article>" + "<p>Some words of a very long article that never ends, it seems.</p>" * 20_000 + "</article>" + "<div><b>" * 20_000 + "<a" * 20_000 + ' "' * 20_000
     assert len(html_text.main_text(page, tree)) > 1_000_000
-    assert html_text.main_text("&lt;&#x41;&amp;amp;" * 3, tree) == "" or True
+    assert html_text.main_text("&lt;&#x41;&amp;amp;" * 3, tree) == "<A&amp;" * 3
 
 
 # ---- neighbours
