@@ -260,26 +260,36 @@ def _linked(percent: int):
     return run
 
 
+def _dealt(named: DataFrame, ws: Workspace) -> DataFrame:
+    """Members (bucket, band, doc_id, n, component) of buckets that hold several components, dealt into cells: those outside a bucket's largest component, the few, as x, and all as y.
+
+    Either side is cut by its own size into parts of at most BLOCK members or BLOCK_SHINGLES shingles on average; a
+    member goes to the cells of its part with each part of the other side. So beside one outsider each member moves once.
+    """
+    sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("part"), F.sum("n").alias("size"))
+    largest = F.struct("part", "component")
+    sizes = sizes.groupBy("bucket").agg(F.max_by("component", largest).alias("main"), F.sum("part").alias("all"), F.sum("size").alias("all_size"), F.max("part").alias("most"), F.max_by("size", largest).alias("most_size"))
+    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    sizes = sizes.select("bucket", "main", parts(F.col("all") - F.col("most"), F.col("all_size") - F.col("most_size")).alias("xs"), parts(F.col("all"), F.col("all_size")).alias("ys"))
+    rows = named.join(ws.save(sizes, "main"), "bucket").withColumn("few", F.col("component") != F.col("main"))
+    place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    cells = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    as_x = F.when(F.col("few"), cells("ys", lambda k: F.struct(place("xs").alias("x_block"), k.alias("y_block")))).otherwise(F.array().cast("array<struct<x_block:int,y_block:int>>"))
+    as_y = cells("xs", lambda k: F.struct(k.alias("x_block"), place("ys").alias("y_block")))
+    rows = rows.select("bucket", "band", "doc_id", "n", "component", "few", place("xs").alias("x"), place("ys").alias("y"), F.explode(F.array_distinct(F.concat(as_x, as_y))).alias("cell"))
+    return rows.select("bucket", "band", "cell.x_block", "cell.y_block", "doc_id", "n", "component", (F.col("few") & (F.col("cell.x_block") == F.col("x"))).alias("few"), (F.col("cell.y_block") == F.col("y")).alias("many"))
+
+
 def _across(members: DataFrame, sketches: DataFrame, texts: DataFrame, found: DataFrame, ws: Workspace, percent: int) -> DataFrame:
     """Links between different components of a bucket: members outside the largest one against all others.
 
-    Buckets of more than BLOCK members or BLOCK_SHINGLES shingles are worked on in pairs of parts. A first pass finds
-    the members with a likely partner; only their texts are brought together, and pairs stay inside tasks.
+    Large buckets are worked on in cells (``_dealt``). A first pass finds the members with a likely partner; only their
+    texts are brought together, and pairs stay inside tasks.
     """
     named = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "band", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     named = ws.save(named, "named")
-    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    open_ = ws.save(named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), parts.alias("blocks")).filter("lo <> hi").select("bucket", "blocks"), "open")
-    named = ws.save(named.join(open_, "bucket"), "open-members")
-    main = named.groupBy("bucket", "component").agg(F.count("*").alias("part")).groupBy("bucket").agg(F.max_by("component", F.struct("part", "component")).alias("main"))
-    rows = named.join(ws.save(main, "main"), "bucket").withColumn("few", F.col("component") != F.col("main"))
-    blocks = F.col("blocks")
-    own, every = F.pmod(F.xxhash64("doc_id"), blocks).cast("int"), F.sequence(F.lit(0), blocks - 1)
-    as_x = F.when(F.col("few"), F.transform(every, lambda k: F.struct(own.alias("x_block"), k.alias("y_block"))))
-    as_y = F.transform(every, lambda k: F.struct(k.alias("x_block"), own.alias("y_block")))
-    cells = F.array_distinct(F.concat(F.coalesce(as_x, F.filter(as_y, lambda c: F.lit(False))), as_y))
-    rows = rows.select("bucket", "band", "doc_id", "n", "component", "few", own.alias("block"), F.explode(cells).alias("cell"))
-    rows = rows.select("bucket", "band", "cell.x_block", "cell.y_block", "doc_id", "n", "component", (F.col("few") & (F.col("cell.x_block") == F.col("block"))).alias("few"), (F.col("cell.y_block") == F.col("block")).alias("many"))
+    open_ = ws.save(named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket"), "open")
+    rows = _dealt(ws.save(named.join(open_, "bucket"), "open-members"), ws)
     rows = rows.join(sketches, "doc_id").select("bucket", "band", "x_block", "y_block", "doc_id", "n", "component", "few", "many", "sketch")
     keys = ["bucket", "x_block", "y_block"]
     kinds = "bucket long, band int, x_block int, y_block int, doc_id long, n long, component long, few boolean, many boolean, sketch binary"
