@@ -29,3 +29,18 @@ def stored(df: DataFrame, name: str, schema: StructType | None = None) -> DataFr
     path = shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)
+
+
+def finished(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """The numbers of the tables ``<prefix><n>`` in a folder that Spark has committed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath() for s in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(int(p.getName().removeprefix(prefix)) for p in names if p.getName().startswith(prefix) and fs.exists(hadoop.Path(p, "_SUCCESS")))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table's folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

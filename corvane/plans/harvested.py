@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.plans.registry import PAPERS_SQL, papers, query, read
+from corvane.plans.registry import PAPERS_SQL, papers, query, read, shared_folder
 from corvane.sources import harvest, records
+from corvane.sources.text_store import TextStore
 
 
 def _values(*cs: Column) -> Column:
@@ -233,6 +234,19 @@ def booking_counts(spark: SparkSession, d: str) -> DataFrame:
     return records.booking_counts(users, read(spark, d, "orders").filter("o_orderstatus = 'F'"), bookings)
 
 
+@query("""WITH t AS (SELECT '10.1234/s' || doc_id AS doi, CASE WHEN doc_id % 3 = 0 THEN 'later' ELSE source END AS source, CASE WHEN doc_id % 3 = 0 THEN text || ' again' ELSE text END AS text FROM documents WHERE doc_id % 4 <> 1 OR doc_id % 3 = 0)
+SELECT doi, source, md5(text) AS text_md5 FROM t WHERE doi IN (SELECT '10.1234/s' || doc_id FROM labels WHERE quality = 1)""")
+def stored_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts stored in two goes, the second replacing a third of the first, then looked up for confirmed papers."""
+    doi = lambda c: F.concat(F.lit("10.1234/s"), c.cast("string"))
+    rows = read(spark, d, "documents").select("doc_id", doi(F.col("doc_id")).alias("doi"), "source", "text")
+    store = TextStore(spark, shared_folder(spark, "texts"), 32)
+    store.store(rows.filter("doc_id % 4 <> 1"))
+    store.store(rows.filter("doc_id % 3 = 0").select("doi", F.lit("later").alias("source"), F.concat("text", F.lit(" again")).alias("text")))
+    wanted = read(spark, d, "labels").filter("quality = 1").select(doi(F.col("doc_id")).alias("doi"))
+    return store.look_up(wanted).select("doi", "source", F.md5("text").alias("text_md5"))
+
+
 @query("SELECT c_custkey AS doi FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate > TIMESTAMP '1998-06-01' - INTERVAL 30 DAYS)")
 def texts_to_retry(spark: SparkSession, d: str) -> DataFrame:
     """Papers that weren't looked for in vain in the last thirty days."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators.storage import finished, remove
+
 
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Events and mean value per day and type; on a stream, days close once the watermark has passed."""
@@ -20,18 +22,9 @@ def distinct_events(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.dropDuplicates(["event_id"])
 
 
-def _generations(spark: SparkSession, path: str) -> list[int]:
-    """The finished generations of a held table, from their folders."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath() for s in fs.listStatus(where)] if fs.exists(where) else []
-    done = [p for p in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(p.getName().removeprefix("generation-")) for p in done if p.getName().startswith("generation-"))
-
-
 def held_rows(spark: SparkSession, path: str) -> DataFrame | None:
     """The rows that ``upsert_sink`` holds; None before the first batch."""
-    found = _generations(spark, path)
+    found = finished(spark, path, "generation-")
     return spark.read.parquet(f"{path}/generation-{found[-1]}") if found else None
 
 
@@ -44,7 +37,7 @@ def upsert_sink(path: str, key: str, order: str, keep: int = 2):
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        found = _generations(spark, path)
+        found = finished(spark, path, "generation-")
         rows = batch.select("*")
         if found:
             rows = spark.read.parquet(f"{path}/generation-{found[-1]}").unionByName(rows)
@@ -52,7 +45,6 @@ def upsert_sink(path: str, key: str, order: str, keep: int = 2):
         number = found[-1] + 1 if found else 0
         best.write.mode("overwrite").parquet(f"{path}/generation-{number}")
         for old in found[: len(found) + 1 - keep] if keep else []:
-            where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation-{old}")
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            remove(spark, f"{path}/generation-{old}")
 
     return write
