@@ -1,17 +1,21 @@
 """Rule screening of papers: sentence evidence, fingerprints, category, additive score with reasons, priority.
 
 ``screen`` needs the columns ``doi`` and ``text``; what else is known of a paper (``META``) is used where the column is
-there and counts as unknown where it isn't. Sentences that no rule cares for are left out by one pattern before the
-others look at them, so a text is scanned once for most rules. Everything is a column expression; nothing is shuffled.
+there and counts as unknown where it isn't. Plain strings that a rule's matches need are looked for first, in the text and
+in each sentence, and only where one stands is the pattern tried; sentences that no rule cares for are left out by one
+pattern before the others look at them. Everything is a column expression; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.rules import LEADS, NEVER, Rules, any_of, java_pattern
+from corvane.rules import LEADS, NEVER, Rules, any_of, java_pattern, literals
 
 #: Columns that may be known of a paper, and their types. ``bookings``: those of its authors; ``author_keys``: name keys.
 META = {
@@ -26,6 +30,26 @@ def has(text: Column, pattern: str) -> Column:
     return F.lit(False) if pattern == NEVER else text.rlike(java_pattern(pattern))
 
 
+def folded(text: Column) -> Column:
+    """Lower case, with the letters beyond ASCII that patterns take for ASCII ones as these: what ``may`` looks at."""
+    for other, letter in (("\u017f", "s"), ("\u0131", "i"), ("\u0130", "i"), ("\u212a", "k")):
+        text = F.replace(text, F.lit(other), F.lit(letter))
+    return F.lower(text)
+
+
+def may(low: Column, pattern: str) -> Column:
+    """Whether a pattern can match a ``folded`` text at all: a plain search for strings that its matches need spares most texts the pattern."""
+    if pattern == NEVER:
+        return F.lit(False)
+    needed = literals(pattern)
+    return F.lit(True) if needed is None else reduce(or_, (F.contains(low, F.lit(x)) for x in needed))
+
+
+def sentences_with(parts: Column, pattern: str) -> Column:
+    """The sentences that a pattern matches in; each is folded once."""
+    return F.filter(parts, lambda s: T.let(folded(s), lambda low: may(low, pattern)) & has(s, pattern))
+
+
 def cue(s: Column, r: Rules) -> Column:
     """Whether a sentence thanks or credits: it holds a cue, also as part of a word."""
     return F.lower(s).rlike("|".join(f"\\Q{c}\\E" for c in r.cues))
@@ -101,13 +125,18 @@ def screen(papers: DataFrame, r: Rules, private_staff: tuple[str, ...] = ()) ->
     hidden = any_of([rf"(?i:\b{T.quoted(k.split('|')[1])}\w*\.?\s+{T.quoted(k.split('|')[0])}\b)" for k in private_staff if all(k.split("|"))])
     wanted = any_of([p for p in (r.acknowledgement, r.other_facilities, r.generic_facility, *(i.pattern for i in r.instruments)) if p != NEVER])
     clean = T.normalise(F.coalesce("text", F.lit("")))
-    rows = with_meta(papers).withColumn("clean", clean).withColumn("parts", T.sentences(F.col("clean")))
-    # a name is case-sensitive in thanks, so its sentences are found by the cues
-    told = F.filter("parts", lambda s: has(s, wanted) | (cue(s, r) if staff != NEVER or hidden != NEVER else F.lit(False)))
+    rows = with_meta(papers).withColumn("clean", clean).withColumns({"low": folded(F.col("clean")), "parts": T.sentences(F.col("clean"))})
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    if staff != NEVER or hidden != NEVER:  # a name is case-sensitive in thanks, so its sentences are found by the cues
+        told = F.filter("parts", lambda s: has(s, wanted) | cue(s, r))
+    else:
+        told = F.when(may(F.col("low"), wanted), sentences_with(F.col("parts"), wanted)).otherwise(none("string"))
     rows = rows.withColumn("told", F.transform(told, lambda s: classified(s, r, staff)))
     having = lambda test: F.transform(F.filter("told", test), lambda x: x.s)
-    prints = [F.struct(F.lit(i.id).alias("key"), fingerprint_of(F.col("clean"), i.pattern, i.exclude, i.components, r.window).alias("value")) for i in r.instruments if i.components]
-    counts = [F.struct(F.lit(t.id).alias("key"), F.regexp_count("clean", F.lit(java_pattern(t.pattern))).alias("value")) for t in r.techniques]
+    seen = lambda p: may(F.col("low"), p)
+    number = lambda p: F.when(seen(p), F.regexp_count("clean", F.lit(java_pattern(p)))).otherwise(0)
+    prints = [F.struct(F.lit(i.id).alias("key"), F.when(seen(i.pattern), fingerprint_of(F.col("clean"), i.pattern, i.exclude, i.components, r.window)).otherwise(none("string")).alias("value")) for i in r.instruments if i.components]
+    counts = [F.struct(F.lit(t.id).alias("key"), number(t.pattern).alias("value")) for t in r.techniques]
     pairs = lambda xs, kind: F.filter(F.array(*xs), lambda x: F.size(x.value) > 0 if kind == _WORDS else x.value > 0) if xs else F.array().cast(f"array<struct<key:string,value:{kind}>>")
     rows = rows.withColumns({
         "has_text": F.col("clean") != "",
@@ -122,9 +151,9 @@ def screen(papers: DataFrame, r: Rules, private_staff: tuple[str, ...] = ()) ->
         "found": F.array_distinct(F.flatten(F.transform("told", lambda x: x.instruments))),
         "prints": pairs(prints, _WORDS),
         "counts": pairs(counts, "int"),
-        "microscopy_terms": F.regexp_count("clean", F.lit(java_pattern(r.microscopy))),
-        "network_named": has(F.col("clean"), r.network),
-        "other_local_imaging": has(F.col("clean"), r.other_local),
+        "microscopy_terms": number(r.microscopy),
+        "network_named": seen(r.network) & has(F.col("clean"), r.network),
+        "other_local_imaging": seen(r.other_local) & has(F.col("clean"), r.other_local),
         "local_email": F.contains("clean", F.lit("@")) & has(F.col("clean"), r.email),
     })
     strong = F.lit([i.id for i in r.instruments if i.strength == "strong"] or [""])
@@ -221,7 +250,7 @@ def scored(rows: DataFrame, r: Rules, private_staff: tuple[str, ...]) -> DataFra
         "priority": F.when(searched, "check").when(F.col("has_text"), rank(total(F.col("terms")))),
         "score_reasons": F.when(searched, F.array(F.lit("Europe PMC acknowledgement match; full text unavailable"))).when(F.col("has_text"), reasons).otherwise(F.array().cast(_WORDS)),
         "private": F.when(F.col("has_text") & (F.size("private_terms") > 0), F.struct(more.alias("score"), rank(more).alias("priority"), said(F.col("private_terms")).alias("reasons"))),
-        "evidence": F.when(F.col("category").isin(*LEADS), T.evidence(F.filter("parts", lambda s: has(s, r.evidence)))).otherwise(F.array().cast(_WORDS)),
+        "evidence": F.when(F.col("category").isin(*LEADS), T.evidence(sentences_with(F.col("parts"), r.evidence))).otherwise(F.array().cast(_WORDS)),
     })
     short = lambda c, n: F.transform(F.slice(c, 1, n), lambda s: T.redact(s))
     rows = rows.withColumns({"acknowledgement": short("acks", 3), "affiliation_only": short("affiliations", 2), "credited_elsewhere": short("credits", 3), "instrument_named_elsewhere": short("aways", 2)})

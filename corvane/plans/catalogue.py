@@ -222,7 +222,7 @@ p AS (SELECT doc_id, s, min(i) AS i FROM (SELECT doc_id, unnest(found) AS s, gen
 w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
 SELECT d.doc_id, coalesce(string_agg(s, ' | ' ORDER BY k), '') AS evidence FROM documents d LEFT JOIN w ON w.doc_id = d.doc_id AND k <= 14 AND before < 3500 GROUP BY d.doc_id""")
 def evidence_capped(spark: SparkSession, d: str) -> DataFrame:
-    found = F.filter(T.sentences(T.normalise(F.col("text"))), lambda s: screening.has(s, RULES.evidence))
+    found = screening.sentences_with(T.sentences(T.normalise(F.col("text"))), RULES.evidence)
     return read(spark, d, "documents").select("doc_id", F.array_join(T.evidence(found), " | ").alias("evidence"))
 
 

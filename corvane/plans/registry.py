@@ -30,7 +30,16 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A table. Long texts in fewer pieces than there are cores are dealt over these first; a piece is a file or row group at least, so only small tables are."""
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if its files are fewer and so small that no partition is full."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores or len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 # ---- documents as papers: what the tables lack follows from the id by rules that SQL can state too ------------------

@@ -1,13 +1,14 @@
 """The screening rules on invented sentences of the real domain."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import contacts, screening, sheets
 from corvane.plans import sweep
-from corvane.rules import load_rules, make_rules, problems, rules_version
+from corvane.rules import NEVER, literals, load_rules, make_rules, problems, rules_version
 from corvane.sources import harvest, records
 
 RAW = {
@@ -176,3 +177,23 @@ def test_bookings_and_staff_are_read(spark, tmp_path):
     (tmp_path / "s.csv").write_text("name\n\"Smith, Jane\"\n\n")
     assert [r.key for r in records.read_staff(spark, str(tmp_path / "s.csv")).collect()] == ["smith|j"]
     assert records.read_or_empty(spark, str(tmp_path / "nothing"), "a int").count() == 0
+
+
+def test_literals_that_matches_need():
+    cases = {
+        "thble (of|the)": ("thble ",), "a|bcd": None, "core|facility": ("core", "facility"), "(?:a|bc)def+": ("de",), r"\bSTEDY 5": ("stedy 5",), "x?": None, "abc(def)?": ("abc",), "(abc)+d{2,}": ("abc",), "light[- ]sheet": ("light",), "(?!x)x": None,
+        r"(imag(e|ing)|foo) (core|unit)": None, "(?=abcdef)ghi": ("ghi",), r"\p{L}+abc": None, "Åbo akademi": ("bo akademi",), "(?-i:LSM) ?880": ("lsm",), ".*": None, "": None,
+    }
+    assert {p: literals(p) for p in cases} == {**cases, "(?:a|bc)def+": None, r"(imag(e|ing)|foo) (core|unit)": ("core", "unit")}
+
+
+def test_a_plain_search_rules_out_no_match(spark):
+    rng = random.Random(12)
+    patterns = [i.pattern for i in RULES.instruments] + [RULES.acknowledgement, RULES.generic_facility, RULES.microscopy, RULES.other_institution, "skin|kiosk", "(sis|kik)+i", NEVER]
+    pieces = ["airy", "LSM", " 880", "lsm880", "STEDY", " 5", "ﬁ", "\u017fKI\u0130", "s\u0131s", "\u212aIK", "k\u0131os\u212a", "\u017fis", "i", "example imaging ", "core", "Facility", "micro\u017fcop", "univer\u017fity", "İ", "ß", " "]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 6))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in patterns:
+        row = df.agg(F.count_if(screening.has(F.col("t"), p)).alias("all"), F.count_if(screening.has(F.col("t"), p) & ~screening.may(screening.folded(F.col("t")), p)).alias("lost")).first()
+        assert row.lost == 0 and (p == NEVER or literals(p) is not None)
+    assert df.filter(screening.has(F.col("t"), "skin|kiosk")).count() and df.filter(screening.has(F.col("t"), "(sis|kik)+i")).count()
