@@ -56,17 +56,20 @@ class LineRuns:
         self.levels: dict[int, list[str]] = {}
         self.repeats: list[DataFrame] = []
         self.name, self.made = f"corvane_lines_{uuid.uuid4().hex[:12]}", 0
+        self.tables: set[str] = set()  # all that stand in the catalog, finished or not
 
     def _write(self, df: DataFrame) -> str:
         self.made += 1
         name = f"{self.name}_{self.made}"
+        self.tables.add(name)
         writer = df.write.mode("overwrite").option("compression", "zstd").option("path", f"{self.ws.root}/{name}")
         writer.bucketBy(self.buckets, *HASH).sortBy(*HASH).format("parquet").saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE {name}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self.ws.drop(name)
+        self.tables.discard(name)
 
     def runs(self) -> list[DataFrame]:
         """All runs, of which no two hold the same hash."""
@@ -118,11 +121,10 @@ class LineRuns:
         return out
 
     def close(self) -> None:
-        """Remove the runs."""
-        for names in self.levels.values():
-            for name in names:
-                self._drop(name)
+        """Remove the runs, also those that a failure left half made."""
         self.levels.clear()
+        for name in sorted(self.tables):
+            self._drop(name)
 
 
 def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -138,10 +140,12 @@ def dropped_lines(docs: DataFrame, ws: Workspace, min_chars: int, min_docs: int,
     # sorted by part: a filter by it reads a part of each file
     lines = ws.save(line_table(docs, min_chars).withColumn("part", part).sortWithinPartitions("part"), "lines")
     runs = LineRuns(ws, min(50_000, max(8, -(-lines.count() // BUCKET_LINES))))
-    for k in range(batches):
-        runs.add(lines.filter(F.col("part") == k))
-    common = ws.save(runs.common(min_docs), "common")
-    runs.close()
+    try:
+        for k in range(batches):
+            runs.add(lines.filter(F.col("part") == k))
+        common = ws.save(runs.common(min_docs), "common")
+    finally:
+        runs.close()
     # both sides are plain exchanges, so a line that a third of all documents holds is split by AQE
     gone = lines.select("doc_id", "text_hash", "pos", "h1", "h2").join(common, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     gone = ws.save(gone.select("doc_id", "text_hash", "pos"), "gone")
