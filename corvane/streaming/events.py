@@ -22,29 +22,65 @@ def distinct_events(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.dropDuplicates(["event_id"])
 
 
+def _manifest(spark: SparkSession, path: str) -> tuple[int, int, dict[int, int]]:
+    """Number of the last manifest (-1: none), how many buckets there are, and which generation holds each bucket with rows."""
+    found = finished(spark, path, "manifest-")
+    if not found:
+        return -1, 0, {}
+    rows = spark.read.parquet(f"{path}/manifest-{found[-1]}").collect()  # a row a bucket at most
+    return found[-1], rows[0].buckets if rows else 0, {r.bucket: r.generation for r in rows}
+
+
+def _rows_in(spark: SparkSession, path: str, where: dict[int, int], buckets: list[int]) -> DataFrame | None:
+    folders = [f"{path}/generation-{where[b]}/bucket={b}" for b in buckets if b in where]
+    return spark.read.parquet(*folders) if folders else None
+
+
 def held_rows(spark: SparkSession, path: str) -> DataFrame | None:
-    """The rows that ``upsert_sink`` holds; None before the first batch."""
-    found = finished(spark, path, "generation-")
-    return spark.read.parquet(f"{path}/generation-{found[-1]}") if found else None
+    """The rows that ``upsert_sink`` holds; None before the first row."""
+    _, _, where = _manifest(spark, path)
+    return _rows_in(spark, path, where, sorted(where))
 
 
-def upsert_sink(path: str, key: str, order: str, keep: int = 2):
+def upsert_sink(path: str, key: str, order: str, keep: int = 2, buckets: int = 64):
     """A foreachBatch function: each batch replaces the rows of its keys unless the held row is later by ``order``.
 
-    Rows are held in generations; a new one is written whole before older ones go, so a failure leaves the last one
-    readable. A batch that is given again changes nothing. A new checkpoint goes on from the rows that are held.
+    Rows are held in buckets by a hash of their key. A batch rewrites the buckets of its keys alone, as a new generation;
+    then a manifest says which generation holds which bucket, so a failure in between leaves the last one in force.
+    What none of the last ``keep`` manifests names is removed. A batch that is given again changes nothing. A new
+    checkpoint goes on from the rows that are held. The first batch fixes the number of buckets.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        found = finished(spark, path, "generation-")
-        rows = batch.select("*")
-        if found:
-            rows = spark.read.parquet(f"{path}/generation-{found[-1]}").unionByName(rows)
-        best = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        number = found[-1] + 1 if found else 0
-        best.write.mode("overwrite").parquet(f"{path}/generation-{number}")
-        for old in found[: len(found) + 1 - keep] if keep else []:
-            remove(spark, f"{path}/generation-{old}")
+        last, fixed, where = _manifest(spark, path)
+        count = fixed or buckets
+        bucket = F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+        batch = batch.persist()
+        try:
+            touched = sorted(r.b for r in batch.select(bucket.alias("b")).distinct().collect())  # at most as many as there are buckets
+            if not touched:
+                return
+            held = _rows_in(spark, path, where, touched)
+            rows = batch if held is None else held.unionByName(batch)
+            best = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
+            best.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/generation-{last + 1}")
+        finally:
+            batch.unpersist()
+        now = where | dict.fromkeys(touched, last + 1)
+        spark.createDataFrame([(b, g, count) for b, g in now.items()], "bucket int, generation int, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest-{last + 1}")
+        if keep:
+            _sweep(spark, path, keep)
 
     return write
+
+
+def _sweep(spark: SparkSession, path: str, keep: int) -> None:
+    """Remove manifests but the last ``keep``, and generations that none of these name."""
+    manifests = finished(spark, path, "manifest-")
+    for old in manifests[:-keep]:
+        remove(spark, f"{path}/manifest-{old}")
+    named = {r.generation for m in manifests[-keep:] for r in spark.read.parquet(f"{path}/manifest-{m}").select("generation").distinct().collect()}
+    for g in finished(spark, path, "generation-"):
+        if g not in named:
+            remove(spark, f"{path}/generation-{g}")

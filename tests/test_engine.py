@@ -152,6 +152,31 @@ def test_upserts_survive_restarts_and_late_rows(spark, tmp_path):
     assert batch("three", [(4, day(1), "e")], "c2") == {1: "a", 2: "c", 3: "d", 4: "e"}  # a new checkpoint reads everything again
 
 
+def test_a_batch_rewrites_the_buckets_of_its_keys_alone(spark, tmp_path):
+    path = str(tmp_path / "held")
+    sink = stream.upsert_sink(path, "k", "v", keep=2, buckets=8)
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v int, note string")
+    read = lambda: {r.k: (r.v, r.note) for r in stream.held_rows(spark, path).collect()}
+    folders = lambda g: {p.name for p in (tmp_path / "held" / f"generation-{g}").glob("bucket=*")}
+    sink(rows(*((f"k{i}", 1, "first") for i in range(200)), (None, 1, "no key")), 0)
+    assert len(folders(0)) == 8
+    sink(rows(("k5", 2, "second"), ("k6", 0, "late")), 1)
+    assert 1 <= len(folders(1)) <= 2 and read() == {**{f"k{i}": (1, "first") for i in range(200)}, None: (1, "no key"), "k5": (2, "second")}
+    sink(rows(), 2)  # nothing to do
+    sink(rows(("k5", 2, "second"), ("k6", 0, "late")), 1)  # given again
+    assert read()["k5"] == (2, "second") and len(read()) == 201
+    for n in range(4):
+        sink(rows(*((f"k{i}", 3 + n, "all") for i in range(200)), (None, 3 + n, "all")), 3 + n)
+    assert read() == {**{f"k{i}": (6, "all") for i in range(200)}, None: (6, "all")}
+    assert len(list((tmp_path / "held").glob("manifest-*"))) == 2 and len(list((tmp_path / "held").glob("generation-*"))) == 2
+    # a batch that broke off before its manifest doesn't count, and the next one takes its place
+    (tmp_path / "held" / "generation-7").mkdir()
+    (tmp_path / "held" / "generation-7" / "_SUCCESS").write_text("")
+    assert read()["k1"] == (6, "all")
+    sink(rows(("k1", 9, "new")), 9)
+    assert read()["k1"] == (9, "new") and read()["k2"] == (6, "all")
+
+
 def test_readers_and_year_partitions(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('{"doi": "doi:10.1234/A", "title": "t", "year": 2020}\n{"title": "no doi"}\n')
     got = records.read_candidates(spark, str(tmp_path / "c.jsonl"))
