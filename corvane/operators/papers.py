@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions.text import doi, present
+from corvane.sources.harvest import website_dois
 
 #: The public fields of a filed paper, and what DOIs and years look like in pasted text.
 FIELDS = ("doi", "title", "journal", "published", "type", "pmid", "pmcid", "europepmc_id", "source", "added")
@@ -71,6 +72,18 @@ def filed_after(filed: DataFrame, statuses: DataFrame, metadata: DataFrame, sour
     return kept.unionByName(new, allowMissingColumns=True)
 
 
+def import_website(pages: DataFrame, filed: DataFrame, metadata: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
+    """A facility's publication pages (year, html) taken in: the filed papers after it, and each DOI's status as ``file_papers`` tells it.
+
+    A DOI on pages of several years counts under the first. Papers that are filed already stay in their year, whatever
+    the pages say. DOIs that ``metadata`` (doi, issued_year, and any fields) lacks aren't filed.
+    """
+    found = website_dois(pages)
+    parsed = found.select(F.col("year").alias("pos"), F.col("doi").alias("k"), "doi", F.col("year").cast("int").alias("year"))
+    statuses = file_papers(parsed, filed, metadata, allow_moves=False)
+    return filed_after(filed, statuses, metadata, "website", today), statuses.select("doi", "year", "status", "filed_year")
+
+
 def filed_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, line) of filed papers as ``records.write_papers`` leaves them, read as plain lines so that broken ones are seen: ``file`` is the year of the folder."""
     folder = F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]*$", 1)

@@ -204,8 +204,8 @@ def scored(rows: DataFrame, r: Rules, private_staff: tuple[str, ...]) -> DataFra
         reason(F.least(F.col("best") * w["component"], F.lit(w["component_max"])), F.concat(F.col("best").cast("string"), F.lit(" instrument component(s)"))),
         reason(F.least(n_special * w["specialist_technique"], F.lit(w["specialist_technique_max"])), F.concat(F.lit("technique: "), F.array_join("techniques_specialist", ", "))),
         term(F.col("local_email"), "local_email", F.lit("/".join(r.domains) + " e-mail")),
-        term(F.col("instrument_named_locally"), "instrument_named_with_turku"),
-        term(F.size(authors) >= 3, "many_local_authors", F.concat(F.size(authors).cast("string"), F.lit(" UTU authors"))),
+        term(F.col("instrument_named_locally"), r.near_place),
+        term(F.size(authors) >= 3, "many_local_authors", F.concat(F.size(authors).cast("string"), F.lit(f" {r.authors_name} authors"))),
         term(F.exists("units", lambda u: has(u, r.units)), "life_science_unit"),
         term(F.col("repeat_user"), "repeat_user", F.lit("repeat facility user group")),
         term(F.col("staff_thanked"), "staff_thanked", F.lit("facility staff thanked")),

@@ -151,29 +151,46 @@ def build(screened: DataFrame, confirmed: DataFrame, ranked: DataFrame, previous
     return tables, open_.filter("verdict = 'yes'").select(F.format_string("%s %s", "doi", F.lit(str(year))).alias("line"))
 
 
-def review_rows(screened: DataFrame, listed: DataFrame) -> DataFrame:
-    """The public review sheet: leads and confirmed papers (doi), flat, with ``review_place`` to order by."""
-    rows = screened.join(listed.select("doi", F.lit(True).alias("confirmed")).distinct(), "doi", "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))
-    rows = rows.filter(F.col("category").isin(*LEADS) | F.col("confirmed"))
+def _with_listed(screened: DataFrame, listed: DataFrame) -> DataFrame:
+    rows = screened.join(listed.select("doi", F.lit(True).alias("confirmed")).distinct(), "doi", "left")
+    return rows.withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))
+
+
+def _public_columns() -> list[Column]:
+    """The public review sheet's columns, in order."""
     joined = lambda c, by="; ": F.coalesce(F.array_join(F.col(c), by), F.lit(""))
     prints = F.array_join(F.transform(F.map_entries("fingerprints"), lambda e: F.concat(e.key, F.lit(": "), F.array_join(e.value, ", "))), "; ")
     meaning = F.element_at(F.create_map(*(F.lit(x) for pair in CATEGORIES.items() for x in pair)), F.col("category"))
     thanks = F.when(F.size("acknowledgement") > 0, F.col("acknowledgement")).otherwise(F.col("affiliation_only"))
     cut = lambda c, n: F.coalesce(F.substring(c, 1, n), F.lit(""))
-    return rows.select(
+    return [
         "priority", "score", joined("score_reasons").alias("score_reasons"), "category", meaning.alias("category_meaning"), "confirmed", "doi", "title", joined("local_authors").alias("local_authors"), "local_email",
         joined("instruments_strong").alias("instruments_strong"), joined("instruments_weak").alias("instruments_weak"), joined("techniques_specialist").alias("techniques_specialist"), "microscopy_terms", cut(prints, 400).alias("fingerprint"),
         cut(F.array_join("credited_elsewhere", " | "), 400).alias("credited_elsewhere"), "other_local_imaging", cut(F.array_join(thanks, " | "), 800).alias("acknowledgement"), cut(F.array_join("evidence", " | "), 2500).alias("evidence"),
-        F.struct((-F.coalesce("score", F.lit(0))).alias("score"), F.col("category"), F.col("doi")).alias("review_place"),
-    )
+    ]
+
+
+def _place(score: Column) -> Column:
+    return F.struct((-F.coalesce(score, F.lit(0))).alias("score"), F.col("category"), F.col("doi")).alias("review_place")
+
+
+def review_rows(screened: DataFrame, listed: DataFrame) -> DataFrame:
+    """The public review sheet: leads and confirmed papers (doi), flat, with ``review_place`` to order by."""
+    rows = _with_listed(screened, listed).filter(F.col("category").isin(*LEADS) | F.col("confirmed"))
+    return rows.select(*_public_columns(), _place(F.col("score")))
 
 
 def private_review(screened: DataFrame, private: DataFrame, listed: DataFrame, users: DataFrame) -> DataFrame:
-    """The private sheet: what bookings and staff lists (``private``: doi, score, priority, reasons) and known users (doi) add. Kept apart from the public one."""
-    rows = screened.select("doi", "category", F.col("score").alias("public_score"), F.col("priority").alias("public_priority")).join(private, "doi", "left")
-    rows = rows.join(listed.select("doi", F.lit(True).alias("confirmed")).distinct(), "doi", "left").join(users.select("doi", F.lit(True).alias("user")).distinct(), "doi", "left")
-    rows = rows.filter(F.col("category").isin(*LEADS) | F.col("confirmed").isNotNull() | F.col("priority").isin(*FLAGGED))
-    return rows.select("doi", F.coalesce("priority", "public_priority").alias("private_priority"), F.coalesce("score", "public_score", F.lit(0)).alias("private_score"), F.coalesce(F.array_join("reasons", "; "), F.lit("")).alias("private_reasons"), F.coalesce("user", F.lit(False)).alias("known_user_match"), "category")
+    """The private sheet: what bookings and staff lists (``private``: doi, score, priority, reasons) and known users (doi) add, before the public columns.
+
+    ``review_place`` orders it by the private score. Kept apart from the public sheet, which shows nothing of these.
+    """
+    more = private.select("doi", F.col("score").alias("_score"), F.col("priority").alias("_priority"), F.col("reasons").alias("_reasons"))
+    rows = _with_listed(screened, listed).join(more, "doi", "left").join(users.select("doi", F.lit(True).alias("_user")).distinct(), "doi", "left")
+    rows = rows.filter(F.col("category").isin(*LEADS) | F.col("confirmed") | F.col("_priority").isin(*FLAGGED))
+    score = F.coalesce("_score", "score", F.lit(0))
+    own = (F.coalesce("_priority", "priority").alias("private_priority"), score.alias("private_score"), F.coalesce(F.array_join("_reasons", "; "), F.lit("")).alias("private_reasons"), F.coalesce("_user", F.lit(False)).alias("known_user_match"))
+    return rows.select(*own, *_public_columns(), _place(score))
 
 
 def match_users(papers: DataFrame, users: DataFrame) -> DataFrame:

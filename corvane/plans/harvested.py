@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators import papers as filing
 from corvane.plans.registry import PAPERS_SQL, papers, query, read, shared_folder
 from corvane.sources import harvest, records
 from corvane.sources.text_store import TextStore
@@ -120,9 +121,24 @@ def open_access_locations(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT '10.1234/w' || (o_orderkey % 300) AS doi, min(year(o_orderdate))::INTEGER AS year FROM orders GROUP BY 1")
 def website_papers(spark: SparkSession, d: str) -> DataFrame:
     """DOIs on pages by year; one on several keeps the first."""
+    return harvest.website_dois(_website(spark, d))
+
+
+def _website(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as a facility's publication pages, some for each year."""
     cell = F.concat(F.lit('<a href="https://doi.org/10.1234/W'), (F.col("o_orderkey") % 300).cast("string"), F.lit('">x</a>'))
-    pages = read(spark, d, "orders").select(F.year("o_orderdate").alias("year"), cell.alias("c")).groupBy("year", F.pmod(F.xxhash64("c"), F.lit(16)).alias("part")).agg(F.array_join(F.collect_set("c"), "\n").alias("html"))
-    return harvest.website_dois(pages)
+    pages = read(spark, d, "orders").select(F.year("o_orderdate").alias("year"), cell.alias("c")).groupBy("year", F.pmod(F.xxhash64("c"), F.lit(16)).alias("part"))
+    return pages.agg(F.array_join(F.collect_set("c"), "\n").alias("html"))
+
+
+@query("""WITH site AS (SELECT o_orderkey % 300 AS i, min(year(o_orderdate))::INTEGER AS year FROM orders GROUP BY 1), held AS (SELECT n_nationkey AS i, 1990 AS year FROM nation)
+SELECT '10.1234/w' || coalesce(h.i, s.i) AS doi, coalesce(h.year, s.year)::INTEGER AS year, CASE WHEN h.i IS NULL THEN 'website' END AS source FROM held h FULL JOIN site s ON s.i = h.i WHERE h.i IS NOT NULL OR EXISTS (SELECT 1 FROM customer WHERE c_custkey = s.i)""")
+def website_import(spark: SparkSession, d: str) -> DataFrame:
+    """Filed papers after a website is taken in: filed ones stay in their year, unknown ones aren't filed."""
+    name = lambda c: F.concat(F.lit("10.1234/w"), F.col(c).cast("string")).alias("doi")
+    held = read(spark, d, "nation").select(name("n_nationkey"), F.lit(1990).alias("year"))
+    known = read(spark, d, "customer").select(name("c_custkey"), F.lit("2001").alias("issued_year"))
+    return filing.import_website(_website(spark, d), held, known, "2024-01-01")[0].select("doi", F.col("year").cast("int").alias("year"), "source")
 
 
 def _oai_pages(spark: SparkSession, d: str) -> DataFrame:

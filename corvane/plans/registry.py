@@ -132,7 +132,7 @@ def _screened_sql() -> str:
     terms = ", ".join([
         term("acked", "acknowledgement"), term("len(strong) > 0", "strong_instrument", "'instrument: ' || array_to_string(strong, ', ')"), f"{{'p': least(best * {w['component']}, {w['component_max']}), 'w': best || ' instrument component(s)'}}",
         f"{{'p': least(len(special) * {w['specialist_technique']}, {w['specialist_technique_max']}), 'w': 'technique: ' || array_to_string(special, ', ')}}", term("local_email", "local_email", f"'{'/'.join(r.domains)} e-mail'"),
-        term("here", "instrument_named_with_turku"), term("len(local_authors) >= 3", "many_local_authors", "len(local_authors) || ' UTU authors'"), term(f"len(list_filter(units, lambda u: {has_sql('u', r.units)})) > 0", "life_science_unit"),
+        term("here", r.near_place), term("len(local_authors) >= 3", "many_local_authors", f"len(local_authors) || ' {r.authors_name} authors'"), term(f"len(list_filter(units, lambda u: {has_sql('u', r.units)})) > 0", "life_science_unit"),
         term("repeat_user", "repeat_user", "'repeat facility user group'"), term("NOT acked AND len(credits) > 0", "credited_elsewhere"), term("NOT acked AND len(aways) > 0", "instrument_named_elsewhere"), term(f"NOT acked AND {alone}", "single_local_author"),
         term(f"NOT acked AND len(fields) > 0 AND len(list_filter(fields, lambda f: {field})) = 0", "non_life_science_field"), term(f"NOT acked AND (starts_with(type, 'A2') OR {has_sql(chr(99) + 'oalesce(title, ' + repr('') + ')', r.review_title)})", "review"),
         term(starts(r.preprints), "preprint"), term(starts(r.datasets), "not_a_paper", "'dataset, not a paper'"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import contacts, papers as filing, reports, sheets
+from corvane.operators import contacts, papers as filing, reports, screening, sheets
 from corvane.plans.catalogue import screened
 from corvane.plans.registry import PAPERS_SQL, RULES, SCREENED, has_sql, norm_sql, papers, query, read, stored
 
@@ -194,22 +194,32 @@ def set_verdict(spark: SparkSession, d: str) -> DataFrame:
     return sheets.set_verdict(table, first.upper(), " NO", "other", "by hand").select("doi", "verdict", "reason")
 
 
-@query(SCREENED + f""", {_CONFIRMED} SELECT r.doi, r.priority, r.score, r.reasons AS score_reasons, r.category, c.doi IS NOT NULL AS confirmed, array_to_string(r.local_authors, '; ') AS local_authors, array_to_string(strong, '; ') AS instruments_strong, array_to_string(special, '; ') AS techniques_specialist,
-  array_to_string(list_transform(prints, lambda q: q.id || ': ' || array_to_string(q.value, ', ')), '; ')[1:400] AS fingerprint FROM ranked r LEFT JOIN confirmed c ON c.doi = r.doi WHERE r.category IN ('A', 'B', 'C', 'D', 'E') OR c.doi IS NOT NULL""")
+_SHEET = """r.doi, r.priority, r.score, r.reasons AS score_reasons, r.category, c.doi IS NOT NULL AS confirmed, array_to_string(r.local_authors, '; ') AS local_authors, array_to_string(strong, '; ') AS instruments_strong, array_to_string(special, '; ') AS techniques_specialist,
+  array_to_string(list_transform(prints, lambda q: q.id || ': ' || array_to_string(q.value, ', ')), '; ')[1:400] AS fingerprint"""
+_SHEET_COLUMNS = ("doi", "priority", "score", "score_reasons", "category", "confirmed", "local_authors", "instruments_strong", "techniques_specialist", "fingerprint")
+
+
+@query(SCREENED + f""", {_CONFIRMED} SELECT {_SHEET} FROM ranked r LEFT JOIN confirmed c ON c.doi = r.doi WHERE r.category IN ('A', 'B', 'C', 'D', 'E') OR c.doi IS NOT NULL""")
 def review_sheet(spark: SparkSession, d: str) -> DataFrame:
     """The public review sheet of leads and confirmed papers."""
     rows = sheets.review_rows(screened(spark, d), confirmed(spark, d))
-    return rows.select("doi", "priority", "score", "score_reasons", "category", "confirmed", "local_authors", "instruments_strong", "techniques_specialist", "fingerprint")
+    return rows.select(*_SHEET_COLUMNS)
+
+
+_BOOKED, _USED = (f"+{RULES.weights[k]} {why}" for k, why in (("group_booked", "group booked the facility"), ("booked_instrument_used", "booked instrument named in paper")))
 
 
-@query(SCREENED + f""", {_CONFIRMED}, v AS (SELECT r.doi, r.category, CASE WHEN private_points > 0 AND has_text THEN private_priority ELSE priority END AS private_priority, coalesce(score, 0) + CASE WHEN has_text THEN private_points ELSE 0 END AS private_score, private_points > 0 AND has_text AND private_priority IN ('report', 'check') AS up,
-  list_contains(local_authors, 'Eessoa, Eina') AS known_user_match, c.doi IS NOT NULL AS listed FROM ranked r LEFT JOIN confirmed c ON c.doi = r.doi)
-  SELECT doi, private_priority, private_score::INTEGER AS private_score, known_user_match FROM v WHERE category IN ('A', 'B', 'C', 'D', 'E') OR listed OR up""")
+@query(SCREENED + f""", {_CONFIRMED}, v AS (SELECT {_SHEET}, CASE WHEN private_points > 0 AND has_text THEN private_priority ELSE priority END AS private_priority, (coalesce(score, 0) + CASE WHEN has_text THEN private_points ELSE 0 END)::INTEGER AS private_score,
+  CASE WHEN NOT has_text OR private_points = 0 THEN '' WHEN private_points = {RULES.weights["group_booked"]} THEN '{_BOOKED}' ELSE '{_BOOKED}; {_USED}' END AS private_reasons, list_contains(r.local_authors, 'Eessoa, Eina') AS known_user_match, private_points > 0 AND has_text AND private_priority IN ('report', 'check') AS up
+  FROM ranked r LEFT JOIN confirmed c ON c.doi = r.doi)
+  SELECT * EXCLUDE (up) FROM v WHERE category IN ('A', 'B', 'C', 'D', 'E') OR confirmed OR up""")
 def private_sheet(spark: SparkSession, d: str) -> DataFrame:
-    rows = stored(screened(spark, d).select("doi", "category", "score", "priority", "private", "local_authors"), "screened")
+    """The private review sheet: what private inputs add, then the public columns."""
+    rows = stored(screened(spark, d), "screened")
     users = sheets.match_users(rows, spark.createDataFrame([("Eina Eessoa",), ("nobody",)], "user string"))
-    private = rows.filter("private IS NOT NULL").select("doi", "private.*")
-    return sheets.private_review(rows, private, confirmed(spark, d), users).select("doi", "private_priority", "private_score", "known_user_match")
+    public, private = screening.split_private(rows)
+    sheet = sheets.private_review(public, private, confirmed(spark, d), users)
+    return sheet.select("private_priority", "private_score", "private_reasons", "known_user_match", *_SHEET_COLUMNS)
 
 
 @query(f"""WITH {PAPERS_SQL}, l AS (SELECT doi, list_filter(['https://doi.org/' || doi, CASE doc_id % 3 WHEN 0 THEN 'https://doi.org/' || doi WHEN 1 THEN 'https://repo/' || doc_id ELSE '' END, CASE WHEN doc_id % 2 = 0 THEN 'https://europepmc.org/article/PMC/PMC' || doc_id END], lambda x: x <> '') AS u FROM papers)

@@ -19,7 +19,7 @@ RAW = {
     "instruments": {"lsm": {"strength": "weak", "pattern": "LSM ?880", "components": ["airyscan", "zen blue|zen black"]}, "sted": {"strength": "strong", "pattern": "STEDY 5", "exclude": "histology"}},
     "techniques": {"sted": {"vocab": "m", "strength": "specialist", "pattern": "stimulated emission"}}, "other_facilities": ["other imaging unit"], "generic_imaging_facility": "imaging (core|unit)", "not_light_microscopy": "electron microscop",
     "score": {"acknowledgement": 10, "strong_instrument": 4, "component": 1, "component_max": 4, "specialist_technique": 1, "specialist_technique_max": 3, "local_email": 1, "credited_elsewhere": -5, "report": 10, "check": 5, "single_local_author": -2, "many_local_authors": 1,
-              "life_science_unit": 1, "non_life_science_field": -3, "review": -3, "preprint": -2, "not_a_paper": -6, "instrument_named_with_turku": 1, "instrument_named_elsewhere": -2, "repeat_user": 2, "staff_thanked": 4, "staff_author": 3, "group_booked": 2, "booked_instrument_used": 3},
+              "life_science_unit": 1, "non_life_science_field": -3, "review": -3, "preprint": -2, "not_a_paper": -6, "instrument_named_with_exampletown": 1, "instrument_named_elsewhere": -2, "repeat_user": 2, "staff_thanked": 4, "staff_author": 3, "group_booked": 2, "booked_instrument_used": 3},
     "facility_staff": ["Smith, Jane"], "life_science_fields": ["118"], "life_science_units": "biolog", "review_title": r"\breview\b", "dataset_doi_prefixes": ["10.5281/"], "preprint_doi_prefixes": ["10.1101/"], "local_place_words": "exampletown", "other_institution": r"\buniversity\b",
     "local_email_domains": ["example.edu"], "europepmc_search_terms": ["Example Imaging Facility"],
 }
@@ -64,7 +64,7 @@ def test_every_term_of_the_score(spark):
     want = {"plain": 4, "mail": 5, "here": 5, "away": 2, "three": 5, "alone": 2, "alone2": 4, "unit": 5, "user": 6, "staff": 8, "field": 1, "field2": 4, "type": 1, "title": 1, "10.1101/x": 2, "10.5281/x": 4, "credit": -1, "credit em": 4, "acked": 10}
     assert {k: r.score for k, r in got.items()} == want
     assert got["10.5281/x"].priority == "low" and got["acked"].priority == "report" and got["staff"].priority == "check" and got["mail"].score_reasons == ["+4 instrument: sted", "+1 example.edu e-mail"]
-    assert got["10.5281/x"].score_reasons == ["+10 acknowledgement", "-6 dataset, not a paper"] and got["three"].score_reasons[-1] == "+1 3 UTU authors"
+    assert got["10.5281/x"].score_reasons == ["+10 acknowledgement", "-6 dataset, not a paper"] and got["three"].score_reasons[-1] == "+1 3 local authors"
 
 
 def test_private_inputs_never_touch_the_public_score(spark):

@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from corvane.operators import papers, ranking, reports
+from corvane.operators import papers, ranking, reports, sheets
 from corvane.plans import registry, workflow
 from corvane.sources import harvest, records
 from tests.test_screening import RULES, screened
@@ -122,3 +122,32 @@ def test_queries_have_sql_or_a_reason():
     from corvane.plans import catalogue, harvested, ranked, review, streamed  # noqa: F401  they register their queries
 
     assert set(registry.QUERIES) - set(registry.ORACLES) == {"logreg_rank", "embedded_papers", "tfidf_logreg"}
+
+
+def test_a_website_files_new_papers_and_moves_none(spark):
+    page = lambda *dois: " ".join(f'<a href="https://doi.org/{d}">x</a>' for d in dois)
+    pages = spark.createDataFrame([(2021, page("10.1234/A", "10.1234/held")), (2020, page("10.1234/a", "10.1234/a", "10.1234/unknown")), (2019, None), (2018, "")], "year int, html string")
+    filed = spark.createDataFrame([("10.1234/held", 2010, "staff"), ("10.1234/other", 2011, "staff")], "doi string, year int, source string")
+    known = spark.createDataFrame([("10.1234/a", "2019", "T"), ("10.1234/held", "2021", "H")], "doi string, issued_year string, title string")
+    after, statuses = papers.import_website(pages, filed, known, "2024-01-01")
+    assert sorted((r.doi, r.year, r.source, r.title, r.added) for r in after.collect()) == [("10.1234/a", 2020, "website", "T", "2024-01-01"), ("10.1234/held", 2010, "staff", None, None), ("10.1234/other", 2011, "staff", None, None)]
+    assert sorted((r.doi, r.status) for r in statuses.collect()) == [("10.1234/a", "added"), ("10.1234/held", "already"), ("10.1234/unknown", "unknown doi")]
+    again, told = papers.import_website(pages, after, known, "2025-01-01")
+    assert again.count() == 3 and {r.status for r in told.collect()} == {"already", "unknown doi"}
+    assert papers.import_website(pages.limit(0), filed, known, "2024-01-01")[0].count() == 2
+
+
+def test_the_private_sheet_has_the_public_columns_and_its_own_order(spark):
+    empty = [(k, None) for k in ("local_email", "other_local_imaging")]
+    row = lambda doi, category, score, priority: {"doi": doi, "category": category, "score": score, "priority": priority, "title": "t", **dict(empty)}
+    words = "array<string>"
+    kind = f"doi string, category string, score int, priority string, title string, local_email boolean, other_local_imaging boolean, score_reasons {words}, local_authors {words}, instruments_strong {words}, instruments_weak {words}, techniques_specialist {words}, microscopy_terms int, fingerprints map<string,{words}>, credited_elsewhere {words}, acknowledgement {words}, affiliation_only {words}, evidence {words}"
+    rows = spark.createDataFrame([row("a", "A", 10, "report"), row("b", "G", 1, "low"), row("c", "G", 1, "low"), row("d", "G", None, None), row("e", "B", 4, "low")], kind)
+    private = spark.createDataFrame([("b", 7, "check", ["+3 x", "+3 y"]), ("c", 2, "low", ["+1 x"]), ("e", 14, "report", ["+10 x"])], "doi string, score int, priority string, reasons array<string>")
+    listed, users = spark.createDataFrame([("d",), ("d",)], "doi string"), spark.createDataFrame([("a",), ("a",)], "doi string")
+    public = sheets.review_rows(rows, listed)
+    sheet = sheets.private_review(rows, private, listed, users)
+    assert sheet.columns == ["private_priority", "private_score", "private_reasons", "known_user_match", *public.columns]
+    got = sheet.orderBy("review_place").collect()
+    assert [(r.doi, r.private_priority, r.private_score, r.private_reasons, r.known_user_match, r.score, r.confirmed) for r in got] == [("e", "report", 14, "+10 x", False, 4, False), ("a", "report", 10, "", True, 10, False), ("b", "check", 7, "+3 x; +3 y", False, 1, False), ("d", None, 0, "", False, None, True)]
+    assert [r.doi for r in public.orderBy("review_place").collect()] == ["a", "e", "d"]
