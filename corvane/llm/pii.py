@@ -20,6 +20,7 @@ import hashlib
 import ipaddress
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -229,18 +230,63 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in counts), pa.array(hashes, pa.string()), pa.array(bases, pa.list_(span)), pa.array(founds, pa.list_(cand))], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "found"])
 
 
-def fit_labelers(rows: list[tuple[int, str, bool, int]], rounds: int = 50) -> dict[tuple[int, str, bool], float]:
-    """EM over counted vote patterns (kind, votes, whether base, count): the posterior that a candidate with these votes is personal data.
+@dataclass(frozen=True)
+class SpanModel:
+    """What fitting learns, by kind: how labelers vote in either class, and the final classifier's weights.
+
+    ``prior`` is the share of personal data among candidates; ``rates`` holds for each class (no, yes) and labeler how
+    often it votes against, for, and abstains; ``weights`` begin with the intercept. A saved model judges the same text
+    alike in every table; kinds that it never saw have nothing added.
+    """
+
+    prior: dict[int, float]
+    rates: dict[int, np.ndarray]  # (2, labelers, 3)
+    weights: dict[int, np.ndarray]
+
+    def posterior(self, kind: int, votes: str) -> float:
+        """How likely a candidate with these votes is personal data, as the labelers see it."""
+        if kind not in self.prior:
+            return 0.0
+        own = [int(v) for v in votes]
+        like = [np.log(p) + sum(np.log(self.rates[kind][c, j, v]) for j, v in enumerate(own)) for c, p in enumerate((1 - self.prior[kind], self.prior[kind]))]
+        return float(1 / (1 + np.exp(np.clip(like[0] - like[1], -30, 30))))
+
+    def probability(self, kind: int, features: str) -> float:
+        """The classifier's probability of a row of features, seen in fitting or not."""
+        if kind not in self.weights:
+            return 0.0
+        return float(1 / (1 + np.exp(-np.clip(np.array([1.0, *map(int, features)]) @ self.weights[kind], -30, 30))))
+
+    def write(self, spark: SparkSession, path: str) -> None:
+        """Save as a small table (kind, prior, rates, weights)."""
+        rows = [(k, self.prior[k], self.rates[k].ravel().tolist(), self.weights[k].tolist()) for k in sorted(self.prior)]
+        spark.createDataFrame(rows, _MODEL_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> SpanModel:
+        """A model as ``write`` left it."""
+        rows = spark.read.schema(_MODEL_SCHEMA).parquet(path).collect()  # a row a kind
+        return SpanModel({r.kind: r.prior for r in rows}, {r.kind: np.array(r.rates).reshape(2, -1, 3) for r in rows}, {r.kind: np.array(r.weights) for r in rows})
+
+
+_MODEL_SCHEMA = "kind int, prior double, rates array<double>, weights array<double>"
+
+
+def fit_labelers(rows: list[tuple[int, str, bool, int]], rounds: int = 50) -> tuple[dict[int, float], dict[int, np.ndarray], dict[tuple[int, str, bool], float]]:
+    """EM over counted vote patterns (kind, votes, whether base, count): each kind's prior and rates of votes, and the posterior that a candidate with these votes is personal data.
 
     Two classes per kind; each labeler has its own rate of votes for, against and abstentions in each class. Base spans
     are personal data by definition: they stay in their class and show what labelers say of it.
     """
+    priors: dict[int, float] = {}
+    rates: dict[int, np.ndarray] = {}
     out: dict[tuple[int, str, bool], float] = {}
     for kind in sorted({r[0] for r in rows}):
         own = [(v, b, n) for k, v, b, n in sorted(rows) if k == kind]
         n, base = np.array([c for _, _, c in own], float), np.array([b for _, b, _ in own])
         votes = np.array([[int(c) for c in v] for v, _, _ in own])
         post = np.where(base, 1.0, np.clip(0.5 + ((votes == 1).sum(1) - (votes == 0).sum(1)) / votes.shape[1], 0.05, 0.95))
+        rate = np.empty((2, votes.shape[1], 3))
         for _ in range(rounds):
             prior = (0.5 + (n * post).sum()) / (1 + n.sum())
             like = np.empty((2, len(own)))
@@ -248,16 +294,18 @@ def fit_labelers(rows: list[tuple[int, str, bool, int]], rounds: int = 50) -> di
                 like[c] = np.log(prior if c else 1 - prior)
                 for j in range(votes.shape[1]):
                     # one pseudo-count; a labeler is taken to be right rather than wrong
-                    rate = np.array([w[votes[:, j] == v].sum() + (1.5 if v == c else 0.5) for v in range(3)])
-                    like[c] += np.log(rate / rate.sum())[votes[:, j]]
+                    seen = np.array([w[votes[:, j] == v].sum() + (1.5 if v == c else 0.5) for v in range(3)])
+                    rate[c, j] = seen / seen.sum()
+                    like[c] += np.log(rate[c, j])[votes[:, j]]
             post = np.where(base, 1.0, 1 / (1 + np.exp(np.clip(like[0] - like[1], -30, 30))))
+        priors[kind], rates[kind] = float(prior), rate
         out |= {(kind, v, bool(b)): float(p) for (v, b, _), p in zip(own, post, strict=True)}
-    return out
+    return priors, rates, out
 
 
-def fit_classifier(rows: list[tuple[int, str, float, float]], rounds: int = 25) -> dict[tuple[int, str], float]:
-    """Logistic regression (Newton, ridge) for each kind from (kind, features, posterior mass, count): probability by feature row."""
-    out: dict[tuple[int, str], float] = {}
+def fit_classifier(rows: list[tuple[int, str, float, float]], rounds: int = 25) -> dict[int, np.ndarray]:
+    """Logistic regression (Newton, ridge) for each kind from (kind, features, posterior mass, count): weights by kind, the intercept first."""
+    out: dict[int, np.ndarray] = {}
     for kind in sorted({r[0] for r in rows}):
         own = sorted(r for r in rows if r[0] == kind)
         x = np.array([[1.0, *map(int, f)] for _, f, _, _ in own])
@@ -268,27 +316,40 @@ def fit_classifier(rows: list[tuple[int, str, float, float]], rounds: int = 25)
             grad = x.T @ (scale * (y / n - p)) - 1e-3 * w
             hess = (x * (scale * p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-3 * np.eye(x.shape[1])
             w += np.linalg.solve(hess, grad)
-        out |= {(kind, f): float(1 / (1 + np.exp(-np.clip(x[i] @ w, -30, 30)))) for i, (_, f, _, _) in enumerate(own)}
+        out[kind] = w
     return out
 
 
-def find_pii(docs: DataFrame, threshold: float = 0.9, workspace: Workspace | None = None) -> DataFrame:
-    """Personal data of ``docs`` (doc_id, text): base counts and hash, base and all spans in text form, candidates and how many of them were added.
+def scan(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """Base spans and candidates with votes and features of every whole text (doc_id, text), written once: no text is in the result."""
+    small_batches(docs.sparkSession)
+    return ws.save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan, _SCAN_SCHEMA), "scan")
 
-    The scan's result (spans and votes, no texts) is written once; EM and the classifier read counts of it.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    ws = workspace or Workspace(spark, "pii")
-    scanned = ws.save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan, _SCAN_SCHEMA), "scan")
-    flat = scanned.select(F.explode("found").alias("c")).select("c.kind", "c.votes", "c.features", "c.is_base")
+
+def _candidate_rows(scanned: DataFrame) -> DataFrame:
+    return scanned.select(F.explode("found").alias("c")).select("c.kind", "c.votes", "c.features", "c.is_base")
+
+
+def fit(scanned: DataFrame) -> SpanModel:
+    """Reliabilities by EM and the classifier trained on its posteriors, from counts over all candidates of ``scan``."""
+    flat = _candidate_rows(scanned)
     by_votes = flat.groupBy("kind", "votes", "is_base").agg(F.count("*").alias("n")).collect()  # at most 2 * 4 * 3**6 rows
-    posterior = fit_labelers([(r.kind, r.votes, r.is_base, r.n) for r in by_votes])
-    weighed = spark.createDataFrame([(*k, p) for k, p in posterior.items()] or [(-1, "", False, 0.0)], "kind int, votes string, is_base boolean, p double")
+    prior, rates, posterior = fit_labelers([(r.kind, r.votes, r.is_base, r.n) for r in by_votes])
+    weighed = scanned.sparkSession.createDataFrame([(*k, p) for k, p in posterior.items()] or [(-1, "", False, 0.0)], "kind int, votes string, is_base boolean, p double")
     mass = flat.groupBy("kind", "votes", "is_base", "features").agg(F.count("*").alias("n")).join(F.broadcast(weighed), ["kind", "votes", "is_base"])
     by_features = mass.groupBy("kind", "features").agg(F.sum(F.col("n") * F.col("p")).alias("m"), F.sum("n").alias("n")).collect()  # at most 4 * 4 * 2**8 rows
-    model = fit_classifier([(r.kind, r.features, r.m, r.n) for r in by_features])
-    accepted = sorted(f"{k}{f}" for (k, f), p in model.items() if p >= threshold)
+    return SpanModel(prior, rates, fit_classifier([(r.kind, r.features, r.m, r.n) for r in by_features]))
+
+
+def find_pii(docs: DataFrame, threshold: float = 0.9, workspace: Workspace | None = None, model: SpanModel | None = None) -> DataFrame:
+    """Personal data of ``docs`` (doc_id, text): base counts and hash, base and all spans in text form, candidates and how many of them were added.
+
+    ``model`` is one that ``fit`` gave, here or elsewhere; without one it is fitted to these documents.
+    """
+    scanned = scan(docs, workspace or Workspace(docs.sparkSession, "pii"))
+    model = model or fit(scanned)
+    rows = _candidate_rows(scanned).filter("NOT is_base").select("kind", "features").distinct().collect()  # at most 4 * 4 * 2**8 rows
+    accepted = sorted(f"{r.kind}{r.features}" for r in rows if model.probability(r.kind, r.features) >= threshold)
     name = F.array(*(F.lit(k) for k in KINDS))
     added = F.filter("found", lambda c: ~c.is_base & F.concat(c.kind.cast("string"), c.features).isin(accepted) if accepted else F.lit(False))
     spans = F.array_sort(F.concat("base", F.transform(added, lambda c: F.struct(c.start.alias("start"), c.kind.alias("kind"), c.end.alias("end")))))

@@ -137,6 +137,31 @@ def test_the_classifier_accepts_and_rejects(spark):
     assert got[-1].spans == got[-2].spans == "" and got[None].n_email == 1
 
 
+def test_a_saved_model_judges_alike_in_any_table(spark, tmp_path):
+    rng, rows = random.Random(8), []
+    for _ in range(30):
+        rows += [(len(rows) + k, f"word {x} word") for k, x in enumerate(x for lines in labelled_lines(rng) for x in lines)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ws = Workspace(spark, "test")
+    scanned = pii.scan(df, ws)
+    fitted = pii.fit(scanned)
+    fitted.write(spark, str(tmp_path / "model"))
+    model = pii.SpanModel.read(spark, str(tmp_path / "model"))
+    whole = {r.doc_id: r.spans for r in pii.find_pii(df).collect()}
+    assert {r.doc_id: r.spans for r in pii.find_pii(df, model=model).collect()} == whole
+    few = [r for r in rows if r[0] % 17 == 3]  # too few to learn from
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(few, "doc_id long, text string"), model=model).collect()}
+    assert got == {i: whole[i] for i, _ in few}
+    # what labelers say of a candidate follows from the saved rates as EM left it
+    votes = scanned.selectExpr("explode(found) AS c").groupBy("c.kind", "c.votes", "c.is_base").count().collect()
+    posterior = pii.fit_labelers([(r.kind, r.votes, r.is_base, r["count"]) for r in votes])[2]
+    assert all(abs(model.posterior(k, v) - p) < 1e-9 for (k, v, is_base), p in posterior.items() if not is_base) and any(not b for _, _, b in posterior)
+    assert pii.SpanModel({}, {}, {}).probability(0, "1") == pii.SpanModel({}, {}, {}).posterior(0, "1") == 0.0
+    nothing = pii.fit(pii.scan(df.limit(0), Workspace(spark, "none")))
+    nothing.write(spark, str(tmp_path / "nothing"))
+    assert pii.find_pii(df, model=pii.SpanModel.read(spark, str(tmp_path / "nothing"))).agg({"n_added": "sum"}).first()[0] == 0
+
+
 def test_no_candidate_touches_a_base_span():
     rng = random.Random(6)
     for _ in range(2000):
