@@ -221,3 +221,17 @@ def test_whole_texts_are_redacted(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.redacted for r in catalogue.QUERIES["redact_whole_texts"](spark, str(tmp_path)).collect()}
     assert got == {1: "[email] " + "x " * 5000 + "[email] end", 2: None, 3: ""}
+
+
+def test_page_text_leaves_cut_references_and_hard_blanks_as_the_sql_does(spark):
+    import duckdb
+
+    from corvane.plans.registry import ORACLES, QUERIES
+
+    pages = ["<title>a&&&amp</title><p>x</p>", "<p>R&ampD &lt b&gt; &notit; &amp;lt; &nbsp;</p>", "&nbsp;a<p>b&nbsp;</p>\n&nbsp;\n&copy;&#39;", "&amp", "", None]
+    rows = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string").toPandas()
+    con = duckdb.connect()
+    con.register("pages", rows)
+    want = dict(con.sql(ORACLES["html_to_text"]).fetchall())
+    got = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string").select("page_id", T.page_text(F.col("html")))
+    assert QUERIES["html_to_text"] and dict(map(tuple, got.collect())) == want
