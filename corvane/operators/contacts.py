@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 
 # What addresses, markers and names look like, and which addresses aren't authors'.
-EMAIL = r"(?<![\p{L}\p{N}_.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![\p{L}\p{N}_.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 MARKER = r"(?i:correspond|to whom|e-?mail|contact)|✉|\*\s*(?=[A-Z])"
 NOT_PERSONAL = (
     r"(?i)^(permissions?|info|editor|editorial|office|support|help|noreply|no-reply|reprints?|journals?|admin|contact|enquiries|service|submissions?|press|orders|subscriptions?|datasharing|data)@|"
@@ -56,7 +56,7 @@ def name_for(email: Column, authors: Column) -> Column:
 
 def _hits(clean: Column) -> Column:
     """The addresses of a text that may be authors', with how near to a marker each stands and what stands before it."""
-    found = F.zip_with(T.spans(clean, EMAIL), F.regexp_extract_all(clean, F.lit(EMAIL), F.lit(0)), lambda x, m: F.struct(x.s.alias("s"), x.e.alias("e"), F.rtrim(m, F.lit(".")).alias("email")))
+    found = F.transform(T.matches(clean, EMAIL), lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), F.rtrim(x.m, F.lit(".")).alias("email")))
     own = F.filter(found, lambda x: ~x.email.rlike(NOT_PERSONAL) & ~x.email.rlike(FILE_ENDING))
     start = F.struct(F.lit(-(10**9)).alias("end"), F.lit(False).alias("marked"), F.array().cast(f"array<{_HIT}>").alias("hits"))
 

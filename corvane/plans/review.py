@@ -256,7 +256,8 @@ def contact_extract(spark: SparkSession, d: str) -> DataFrame:
     marked = F.concat(body, F.lit("Editor: editor@nature.com. Correspondence to: Maria Other, "), mail, F.lit(". See fig1@x.png. "), body, body, F.lit("Web: someone@else.org. "), body)
     text = F.when(i % 4 == 3, F.concat(body, F.lit(" permissions@elsevier.com "))).otherwise(marked)
     authors = F.when(i % 4 == 0, F.array(F.concat(f, F.lit(", "), g), F.lit("Other, Maria"))).when(i % 4 == 1, F.array(F.lit("Paul Else"), F.concat(g, F.lit(" "), f))).otherwise(F.array(F.lit("Else, Paul")))
-    got = read(spark, d, "customer").select("c_custkey", contacts.corresponding(text, authors).alias("c"))
+    keys = read(spark, d, "customer").select("c_custkey").repartition(spark.sparkContext.defaultParallelism)  # a file of narrow rows is one piece; the texts are made behind the deal
+    got = keys.select("c_custkey", contacts.corresponding(text, authors).alias("c"))
     joined = lambda n: F.array_join(F.transform("c", lambda x: x[n]), "; ")
     return got.select("c_custkey", joined("email").alias("emails"), joined("name").alias("names"))
 

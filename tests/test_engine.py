@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import os
 import re
 
 import numpy as np
@@ -235,3 +236,13 @@ def test_page_text_leaves_cut_references_and_hard_blanks_as_the_sql_does(spark):
     want = dict(con.sql(ORACLES["html_to_text"]).fetchall())
     got = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string").select("page_id", T.page_text(F.col("html")))
     assert QUERIES["html_to_text"] and dict(map(tuple, got.collect())) == want
+
+
+def test_contacts_are_dealt_over_the_cores_and_matches_carry_their_text(spark):
+    from corvane.plans.review import contact_extract
+
+    if os.path.isdir("/root/testdata/sf0.001"):
+        rows = contact_extract(spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+        assert len(rows) >= spark.sparkContext.defaultParallelism
+    got = value(spark, T.matches(F.lit("ab1cd22"), "[0-9]+"))
+    assert [tuple(x) for x in got] == [(2, 3, "1"), (5, 7, "22")] and value(spark, T.matches(F.lit("none"), "[0-9]+")) == [] and value(spark, T.matches(F.lit(None).cast("string"), "x")) is None
