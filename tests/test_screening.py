@@ -197,3 +197,16 @@ def test_a_plain_search_rules_out_no_match(spark):
         row = df.agg(F.count_if(screening.has(F.col("t"), p)).alias("all"), F.count_if(screening.has(F.col("t"), p) & ~screening.may(screening.folded(F.col("t")), p)).alias("lost")).first()
         assert row.lost == 0 and (p == NEVER or literals(p) is not None)
     assert df.filter(screening.has(F.col("t"), "skin|kiosk")).count() and df.filter(screening.has(F.col("t"), "(sis|kik)+i")).count()
+
+
+def test_private_rows_are_the_screened_ones_and_cost_one_look(spark):
+    text = "We thank the Example Imaging Core. Confocal microscopy, confocal microscopy, confocal microscopy and confocal microscopy were used."
+    rows = [(f"d{i}", text if i % 2 else "Nothing.", 2020, ["A, B"], [(2020 - i, "scope")] if i % 3 else None) for i in range(12)]
+    papers = spark.createDataFrame(rows, "doi string, text string, year int, local_authors array<string>, bookings array<struct<year:int,instrument:string>>")
+    for staff in ((), ("a|b",)):
+        whole = screening.screen(papers, RULES, staff)
+        want = {r.doi: r.private for r in whole.collect() if r.private}
+        got = screening.private_rows(papers, RULES, staff).select("doi", "private")
+        assert {r.doi: r.private for r in got.collect()} == want and len(want) == (12 if staff else len(want))
+        assert {r.doi: r.score for r in screening.split_private(whole)[1].collect()} == {d: p.score for d, p in want.items()}
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") < 20
