@@ -1,4 +1,4 @@
-"""When to look again for a text: a marker of a vain search is state with an event-time timer, and expires by itself.
+"""When to look again for a text: a marker of a vain search is a session window of its paper, and expires in event time.
 
 Rows (doi, found, at) tell of searches. A search in vain marks its paper for ``days``; the paper is due for another look
 when these are over and nothing newer was heard of it, whether found or not. What comes out doesn't depend on how rows are
@@ -7,69 +7,22 @@ cut into batches, as long as they arrive in order of time, give or take the wate
 
 from __future__ import annotations
 
-import datetime as dt
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-_DAY = 24 * 3600 * 1000
-_EPOCH = dt.datetime(1970, 1, 1)
-
-
-class Markers(StatefulProcessor):
-    """One paper's marker: the time of its last search, in vain or not, and a timer for its end."""
-
-    def __init__(self, days: int) -> None:
-        self.span = days * _DAY
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.marker = handle.getValueState("marker", "at long")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        heard: dict[int, bool] = {}  # a paper's searches in a batch; of two at once the one that found something counts
-        for r in rows:
-            heard[r.ms] = heard.get(r.ms, False) or r.found
-        marked = self.marker.get()[0] if self.marker.exists() else None
-        before = marked
-        for at in sorted(heard):
-            if marked is not None and at < marked:
-                continue  # late news of what is known better
-            if marked is not None and at > marked + self.span:
-                yield self.due(key, marked)
-            marked = None if heard[at] else at
-        if marked != before:
-            if before is not None:
-                self.handle.deleteTimer(before + self.span)
-            if marked is None:
-                self.marker.clear()
-            else:
-                self.marker.update((marked,))
-                self.handle.registerTimer(marked + self.span)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        at = expiredTimerInfo.getExpiryTimeInMs() - self.span
-        if self.marker.exists() and self.marker.get()[0] == at:
-            self.marker.clear()
-            yield self.due(key, at)
-
-    def due(self, key, at: int) -> Row:
-        return Row(doi=key[0], due_ms=at + self.span)
-
-    def close(self) -> None:
-        pass
 
 
 def due_again(searches: DataFrame, days: int = 30, late: str = "1 day") -> DataFrame:
-    """(doi, due): papers of a stream (doi, found, at) whose marker has expired, as soon as the watermark passes its end."""
-    rows = searches.select(F.col("doi").cast("string").alias("doi"), F.coalesce("found", F.lit(False)).alias("found"), "at").filter("doi IS NOT NULL AND at IS NOT NULL")
-    rows = rows.withColumn("ms", F.unix_millis("at")).withWatermark("at", late)
-    out = rows.groupBy("doi").transformWithState(Markers(days), "doi string, due_ms long", "Append", "EventTime")
-    return out.select("doi", F.timestamp_millis("due_ms").alias("due"))
+    """(doi, due): papers of a stream (doi, found, at) whose marker has expired, as soon as the watermark passes its end.
+
+    Searches that follow each other within ``days`` are one session; it ends as the last one's marker does. Of two searches
+    at once the one that found something counts.
+    """
+    rows = searches.select(F.col("doi").cast("string").alias("doi"), F.coalesce("found", F.lit(False)).alias("found"), F.timestamp_millis(F.unix_millis("at")).alias("at")).filter("doi IS NOT NULL AND at IS NOT NULL")
+    sessions = rows.withWatermark("at", late).groupBy("doi", F.session_window("at", f"{24 * days} hours").alias("s"))  # hours: a day may have 23
+    last = sessions.agg(F.max(F.struct("at", "found")).alias("last"))
+    return last.filter(~F.col("last.found")).select("doi", F.col("s.end").alias("due"))
 
 
 def with_timers(spark: SparkSession) -> None:
-    """Timers need the state store that keeps more than one column family."""
+    """Keep the state on disk: there is an open session for each paper, too many for an executor's heap."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

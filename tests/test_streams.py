@@ -106,6 +106,18 @@ def test_markers_expire_in_event_time(spark, tmp_path, together):
     assert again == {d for d, _ in got}
 
 
+def test_late_news_of_a_vain_search_marks_no_found_paper(spark, tmp_path):
+    """Rows within the watermark's delay count at their time, and no Python sees them."""
+    folder, kind = f"file://{tmp_path}", "doi string, found boolean, at timestamp"
+    retries.with_timers(spark)
+    for rows in ([("a", True, 12.0), ("b", False, 12.0)], [("a", False, 11.5), ("b", True, 11.5)], [("z", True, 70.0)]):
+        spark.createDataFrame([(d, f, at(x)) for d, f, x in rows], kind).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        due = retries.due_again(spark.readStream.schema(kind).parquet(f"{folder}/in"))
+        assert "Python" not in due._jdf.queryExecution().analyzed().toString()
+        due.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert [tuple(r) for r in spark.read.schema("doi string, due timestamp").parquet(f"{folder}/out").collect()] == [("b", at(42))]
+
+
 # ---- a sweep with held texts
 
 
