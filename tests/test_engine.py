@@ -246,3 +246,10 @@ def test_contacts_are_dealt_over_the_cores_and_matches_carry_their_text(spark):
         assert len(rows) >= spark.sparkContext.defaultParallelism
     got = value(spark, T.matches(F.lit("ab1cd22"), "[0-9]+"))
     assert [tuple(x) for x in got] == [(2, 3, "1"), (5, 7, "22")] and value(spark, T.matches(F.lit("none"), "[0-9]+")) == [] and value(spark, T.matches(F.lit(None).cast("string"), "x")) is None
+
+
+def test_words_of_an_article_are_counted_to_the_last_that_matters(spark):
+    for n in (T.ARTICLE_WORDS - 1, T.ARTICLE_WORDS):
+        text = "ab 1 " * 300 + "word, " * n
+        assert value(spark, T.article_check(F.lit(text)))["reason"] == ("low_text_density" if n < T.ARTICLE_WORDS else "")
+    assert value(spark, F.lit("ab 1 " * 40000 + "word, " * 199).rlike(T.MANY_WORDS)) is False
